@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, line_dedup, mixing, quality_rules, sharding
+from rillflow.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, toxicity
 from rillflow.llm.common import table
 
 
@@ -32,6 +32,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,6 +68,9 @@ def queries() -> dict:
         "op1_interleaved_shards": op1_interleaved_shards,
         "op2_poisson_mixture": op2_poisson_mixture,
         "op5_line_dedup": op5_line_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_quality_model": op8_quality_model,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
     }
