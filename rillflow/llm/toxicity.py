@@ -21,25 +21,29 @@ from rillflow.llm.labelled import fit_rows, held_out
 BITS = 20
 #: Separators: all ASCII but letters and digits.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+HEADS = (4, 5, 6)
 _PAIR = [(int(a) | 1, int(b) | 1) for a, b in W.constants(21, 6).reshape(3, 2)]
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.15
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 5.0
     l2: float = 1.0
-    epochs: int = 5
-    max_rows: int = 6000
+    epochs: int = 3
+    max_rows: int = 16000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(coordinate, text) of words, pairs of neighbours and pairs that skip one or two words."""
+    """(coordinate, text) of words, their first 4, 5 and 6 bytes (so that inflected forms meet), pairs of neighbours and pairs that skip one or two words."""
     found = W.find(data, offsets, APART)
     h, owner = found.hashes(), found.owner()
     cut = W.U64(64 - BITS)
     codes, texts = [h >> cut], [owner]
+    for size in HEADS:
+        codes.append(W.mix(found.heads(size)) >> cut)
+        texts.append(owner)
     with np.errstate(over="ignore"):
         for gap, (a, b) in enumerate(_PAIR, start=1):
             n = len(h) - gap
