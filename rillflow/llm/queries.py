@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, toxicity
+from rillflow.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from rillflow.llm.common import table
 
 
+#: A vocabulary of the public tokenizers; never copied into the repository.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     whole = F.coalesce(F.col("text"), F.lit(""))
@@ -26,6 +30,10 @@ def op2_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_places(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_repeated_lines(docs, min_docs=10, min_chars=1, report=True)
@@ -67,6 +75,7 @@ def queries() -> dict:
     return {
         "op1_interleaved_shards": op1_interleaved_shards,
         "op2_poisson_mixture": op2_poisson_mixture,
+        "op3_token_counts": op3_token_counts,
         "op5_line_dedup": op5_line_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,

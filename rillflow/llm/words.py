@@ -36,7 +36,8 @@ def constants(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
-_BYTE = constants(11, 256)
+_EXACT = constants(11, 256)
+_BYTE = _EXACT.copy()
 #: A-Z count as a-z.
 _BYTE[65:91] = _BYTE[97:123]
 _BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
@@ -68,13 +69,13 @@ class Words:
     first: np.ndarray  # first word of each text, and the number of words at the end
     offsets: np.ndarray  # first byte of each text, and the number of bytes at the end
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, A-Z and a-z alike."""
+    def hashes(self, fold: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word; ``fold``: A-Z and a-z alike."""
         n = len(self.data)
         up, down = powers(n)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, dtype=U64)
-            np.cumsum(_BYTE[self.data] * up[:n], out=sums[1:])
+            np.cumsum((_BYTE if fold else _EXACT)[self.data] * up[:n], out=sums[1:])
             h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
             return mix(h + (self.ends - self.starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
