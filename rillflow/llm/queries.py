@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
+from rillflow.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from rillflow.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_repeated_lines(docs, min_docs=10, min_chars=1, report=True)
@@ -76,6 +81,7 @@ def queries() -> dict:
         "op1_interleaved_shards": op1_interleaved_shards,
         "op2_poisson_mixture": op2_poisson_mixture,
         "op3_token_counts": op3_token_counts,
+        "op4_html_extraction": op4_html_extraction,
         "op5_line_dedup": op5_line_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
