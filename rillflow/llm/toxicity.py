@@ -118,7 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, options: Ftrl = Ftrl(), label_col: s
     return codes[codes >= 0], weights[codes >= 0], float(weights[codes < 0][0])
 
 
-def scorer(shared):
+def scorer(shared, field: int | None = None):
+    """The Arrow function that replaces the first column, the text, by nothing and adds the score.
+
+    ``field``: the first column is a struct, stays, and has the text at that place.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table = np.zeros(1 << BITS)
@@ -126,13 +131,15 @@ def scorer(shared):
             table[model[0]] = model[1]
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for a, b, data, offsets in W.slices(batch.column(0)) if model else ():
+            texts = batch.column(0) if field is None else batch.column(0).field(field)
+            for a, b, data, offsets in W.slices(texts) if model else ():
                 code, text = features(data, offsets)
                 some = table[code] != 0
                 each = np.unique((text[some] << BITS) | code[some])
                 total = np.bincount(each >> BITS, weights=table[each & ((1 << BITS) - 1)], minlength=b - a)
                 scores[a:b] = 1 / (1 + np.exp(-np.clip(total + model[2], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
+            skip = int(field is None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], pa.array(scores)], names=[*batch.schema.names[skip:], "score"])
 
     return run
 
@@ -149,8 +156,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, optio
     """``docs`` without the rows that score ``threshold`` or more; all columns stay, whatever their names."""
     model = fit(docs, labels, options, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row = docs.select(F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    scored = row.mapInArrow(scorer(shared), f"row {row.schema['row'].dataType.simpleString()}, score double")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text_col)
+    scored = row.mapInArrow(scorer(shared, at), f"row {row.schema['row'].dataType.simpleString()}, score double")
     return scored.where(F.col("score") < threshold).select("row.*")
 
 
