@@ -8,9 +8,10 @@
    for its hub: as many candidates as bucket entries, never all pairs. Candidates pass when their
    signatures agree (far below the threshold, so that no true link is lost) and are then confirmed on
    the full sets. Components of confirmed links by alternating large-star and small-star.
-4. What hubs could not decide: buckets that still hold several components and three classes or more.
-   Their members are compared by signature in blocks of bounded size, members of one component never
-   with each other; surviving candidates are confirmed like before and the components joined.
+4. What hubs could not decide: buckets with several components among the members that are no hub.
+   They are dealt in block pairs of bounded size; each pair of members of different components is
+   compared in the first bucket it shares, by signature, then on the full sets, until links join
+   the two. A block pair yields fewer links than it has members. Components are then found again.
 
 No step gathers a bucket or a component into one task, and nothing of the corpus goes to the driver
 but counts. Each step writes to the shared scratch folder, so a lost executor repeats tasks only.
@@ -175,16 +176,14 @@ def similar(plan: Plan):
     return run
 
 
-def confirm(edges: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+def confirm(edges: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The candidates (u, v) of ``edges`` that hold on their signatures and then on their full sets."""
     signs = classes.select("rep", "sign")
     signed = edges.join(signs.select(F.col("rep").alias("u"), F.col("sign").alias("su")), "u")
     signed = signed.join(signs.select(F.col("rep").alias("v"), F.col("sign").alias("sv")), "v").select("u", "v", "su", "sv")
     likely = materialise(signed.mapInArrow(agreeing(plan.least_agree), "u long, v long"), "likely")
-    needed = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = materialise(docs.join(needed, "id", "left_semi").select("id", "text").distinct(), "texts")
-    paired = likely.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-    paired = paired.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
+    paired = likely.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u")
+    paired = paired.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
     return materialise(paired.mapInArrow(similar(plan), "u long, v long").distinct(), "links")
 
 
@@ -218,23 +217,43 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def undecided(plan: Plan):
-    """Pairs of a block pair that belong to different components and whose signatures agree."""
+    """Links between members of a block pair of a bucket that belong to different components.
+
+    A pair is looked at in the first bucket it shares only, and only while no link found here joins the
+    two already; it is a link if signatures agree and the full sets are similar enough. So a block pair
+    yields fewer links than it has members, whatever their number of similar pairs.
+    """
 
     def run(key, table):
         rep, root, side = (table.column(c).to_numpy() for c in ("rep", "root", "side"))
-        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(len(rep), -1)
-        alone = bool(key[1].as_py() == key[2].as_py())
-        left, right = (np.arange(len(rep)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        order = np.argsort(rep, kind="stable")
+        table, rep, root, side = table.take(pa.array(order)), rep[order], root[order], side[order]
+        n, band = len(rep), table.column("band")[0].as_py()
+        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(n, -1)
+        earlier = np.array(table.column("bands").to_pylist(), np.int64).reshape(n, -1)[:, :band]
+        sets: list[np.ndarray] = []
+        for _, _, data, offsets in W.slices(table.column("text")):
+            sets += shingle_sets(data, offsets, plan.width)
+        sizes = np.array([len(s) for s in sets])
+        _, group = np.unique(root, return_inverse=True)
+        alone = key[1].as_py() == key[2].as_py()
         us, vs = [], []
-        for i in left:
-            other = right[right > i] if alone else right
-            other = other[root[other] != root[i]]
-            other = other[(signs[other] == signs[i]).sum(axis=1) >= plan.least_agree]
-            us.append(np.maximum(rep[other], rep[i]))
-            vs.append(np.minimum(rep[other], rep[i]))
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        for i in range(n):
+            other = np.arange(i + 1, n)
+            other = other[(group[other] != group[i]) & (alone | (side[other] != side[i]))]
+            other = other[(plan.den * np.minimum(sizes[other], sizes[i]) >= plan.num * np.maximum(sizes[other], sizes[i]))]
+            agree = (signs[other] == signs[i]).sum(axis=1)
+            keep = (agree >= plan.least_agree) & ~(earlier[other] == earlier[i]).any(axis=1)
+            other, agree = other[keep], agree[keep]
+            for j in other[np.argsort(-agree, kind="stable")]:
+                if group[j] == group[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if plan.den * both >= plan.num * (sizes[i] + sizes[j] - both):
+                    us.append(max(rep[i], rep[j]))
+                    vs.append(min(rep[i], rep[j]))
+                    group[group == group[j]] = group[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -251,30 +270,33 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
         .select("h1", "h2", "n", F.col("x.id").alias("rep"), "members", F.col("x.bands").alias("bands"), F.col("x.sign").alias("sign")),
         "classes",
     )
-    entries = classes.select("rep", F.explode("bands").alias("bucket"))
+    # Joins of the corpus are told to be shuffled: what fits a broadcast at one size does not at the next.
+    entries = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = materialise(entries.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = materialise(entries.join(shared, "bucket"), "members")
+    members = materialise(entries.join(shared.hint("merge"), "bucket"), "members")
+    needed = members.select(F.col("rep").alias("id")).distinct()
+    texts = source.join(needed.hint("merge"), "id", "left_semi").select(F.col("id").alias("rep"), "text").distinct()
+    texts = materialise(texts, "texts")
     first = members.where("rep > hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    links = confirm(first, classes, source, plan)
+    links = confirm(first, classes, texts, plan)
     roots = materialise(components(links), "roots")
 
-    # Buckets that hubs did not decide: several components, and a pair that no hub has stood for.
-    rooted = members.where("size > 2").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # Buckets that hubs did not decide. The hub stood for its pairs already, so two components among the others make one.
+    rooted = members.where("size > 2 and rep <> hub").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = materialise(rooted, "rooted")
-    # The hub is compared with all others already: two components among the others make a bucket undecided.
-    mixed = rooted.where("rep <> hub").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    open_ = rooted.join(mixed, "bucket", "left_semi").where("rep <> hub").join(classes.select("rep", "sign"), "rep")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    undone = rooted.join(mixed, "bucket", "left_semi")
+    undone = undone.join(classes.select("rep", "bands", "sign"), "rep").join(texts, "rep")
     blocks = F.ceil(F.col("size") / plan.block).cast("int")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    undone = undone.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     pair = F.transform(
         F.sequence(F.lit(0), blocks - 1),
         lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")),
     )
-    dealt = open_.select("bucket", "rep", "root", "sign", F.explode(pair).alias("p")).select("bucket", "rep", "root", "sign", "p.i", "p.j", "p.side")
-    second = dealt.groupBy("bucket", "i", "j").applyInArrow(undecided(plan), "u long, v long").distinct()
-    second = materialise(second, "second")
-    if not second.isEmpty():
-        more = confirm(second, classes, source, plan)
+    carried = ["bucket", "band", "rep", "root", "bands", "sign", "text"]
+    dealt = undone.select(*carried, F.explode(pair).alias("p")).select(*carried, "p.i", "p.j", "p.side")
+    more = materialise(dealt.groupBy("bucket", "i", "j").applyInArrow(undecided(plan), "u long, v long").distinct(), "more-links")
+    if not more.isEmpty():
         roots = materialise(components(links.unionByName(more)), "roots")
 
     # Only classes with several documents or another root than their own change anything.
@@ -282,7 +304,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
     salts = 16
     moved = moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     judged = prints.select("id", "n", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    judged = judged.join(moved, ["h1", "h2", "n", "salt"], "left")
+    judged = judged.join(moved.hint("merge"), ["h1", "h2", "n", "salt"], "left")
     root = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("id"))
     out = judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
