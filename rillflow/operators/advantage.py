@@ -185,6 +185,10 @@ def remax(df: DataFrame, baseline: str = "reward_baseline") -> DataFrame:
     return out.withColumn("advantages", F.zip_with("returns", "mask", lambda g, m: g - F.col(baseline) * m))
 
 
+def leave_one_out(column: str, scale: str, base: str, weight: float) -> Column:
+    return F.transform(column, lambda x: (x * F.col(scale) - F.col(base)) * weight)
+
+
 @register("prime_rloo")
 def prime_rloo(df: DataFrame, streams: tuple[tuple[str, float], ...] = (("rewards", 1.0),), whitened: bool = True) -> DataFrame:
     """Leave-one-out baselines on masked means per sequence, for several streams of token rewards.
@@ -200,7 +204,7 @@ def prime_rloo(df: DataFrame, streams: tuple[tuple[str, float], ...] = (("reward
         scale = F.when(n > 1, n / F.greatest(n - 1, F.lit(1.0))).otherwise(1.0)
         base = F.when(n > 1, F.col(f"__s{i}") / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0)
         g = g.withColumns({f"__k{i}": scale, f"__b{i}": base})
-        parts.append(F.transform(column, lambda x, k=f"__k{i}", b=f"__b{i}", w=weight: (x * F.col(k) - F.col(b)) * w))
+        parts.append(leave_one_out(column, f"__k{i}", f"__b{i}", weight))
     total = parts[0]
     for p in parts[1:]:
         total = F.zip_with(total, p, lambda a, b: a + b)
