@@ -1 +1,82 @@
-"""Queries."""
+"""Queries over queues, versions, rate limits and event time."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rillflow.plans.frames import ROLL, rollouts, table
+from rillflow.plans.learning import r, rounded
+from rillflow.plans.registry import query
+from rillflow.streaming import events, queues
+
+
+@query("queue_drop_oldest", f"WITH {ROLL} SELECT id, uid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, id DESC) AS n FROM roll) WHERE n <= 10")
+def queue_drop_oldest(spark, d):
+    return queues.newest(rollouts(spark, d), 10, "uid", ["ts", "id"]).select("id", "uid")
+
+
+@query("queue_fates")
+def queue_fates(spark, d):
+    log = rollouts(spark, d).select(F.col("uid").alias("queue"), F.col("id").alias("seq"), F.when(F.col("k") % 3 == 0, "get").otherwise("put").alias("kind"))
+    return queues.queue_statistics(queues.drop_oldest(log, 5))
+
+
+@query("staleness_admission", f"WITH {ROLL} SELECT id, row_number() OVER (PARTITION BY k ORDER BY id) <= 60 AS admitted FROM roll")
+def staleness_admission(spark, d):
+    return queues.admitted(rollouts(spark, d), queues.staleness_budget(20, 0.5, 2), "k", ["id"]).select("id", "admitted")
+
+
+@query("version_resets", """WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS v FROM events), x AS (SELECT *, sum(v) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM e)
+ SELECT event_id AS id, CAST(sum(CASE WHEN v = 1 THEN 3 ELSE 1 END) OVER (PARTITION BY user_id, epoch ORDER BY event_id) AS BIGINT) AS stale FROM x""")
+def version_resets(spark, d):
+    e = rollouts(spark, d).select("id", F.col("uid").alias("stream"), F.when(F.col("data_source") == "purchase", "version").otherwise("sample").alias("kind"), F.lit(1).alias("active"), F.lit(0).alias("cancelled"), F.lit(2).alias("queued"))
+    return queues.version_resets(e, ["id"]).select("id", "stale")
+
+
+@query("sample_lifecycle", f"WITH {ROLL} SELECT uid, CAST(sum(CASE WHEN data_source = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS runs, arg_max(CASE data_source WHEN 'click' THEN 'active' WHEN 'view' THEN 'cancelled' ELSE 'done' END, id) AS state FROM roll GROUP BY uid")
+def sample_lifecycle(spark, d):
+    state = F.when(F.col("data_source") == "click", "active").when(F.col("data_source") == "view", "cancelled").otherwise("done")
+    return queues.lifecycle(rollouts(spark, d).withColumn("state", state), "uid", "id").select("uid", "runs", "state")
+
+
+@query("full_batches", f"WITH {ROLL}, x AS (SELECT id, uid, (row_number() OVER (PARTITION BY uid ORDER BY id) - 1) // 16 AS batch FROM roll) SELECT id, batch FROM (SELECT *, count(*) OVER (PARTITION BY uid, batch) AS c FROM x) WHERE c = 16")
+def full_batches(spark, d):
+    return queues.full_batches(rollouts(spark, d), 16, "uid", ["id"]).select("id", "batch")
+
+
+@query("flush_windows", f"WITH {ROLL} SELECT uid // 10 AS flush, data_source, round(avg(score), 6) AS value FROM roll GROUP BY ALL")
+def flush_windows(spark, d):
+    f = queues.flush_windows(rollouts(spark, d), 10, "uid")
+    return f.groupBy("flush", "data_source").agg(r(F.avg("score")).alias("value"))
+
+
+@query("token_bucket")
+def token_bucket(spark, d):
+    e = rollouts(spark, d).select(F.col("uid").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("t"), F.abs("score").alias("tokens"))
+    return rounded(queues.token_bucket(e, 0.01, 50.0), "key", digits=3)
+
+
+@query("field_readiness", f"WITH {ROLL} SELECT id, round(score, 6) AS score, k FROM roll WHERE id % 2 = 0 AND id % 3 = 0")
+def field_readiness(spark, d):
+    e = rollouts(spark, d)
+    parts = [e.where("id % 2 = 0").select(F.col("id").alias("sample_id"), "score"), e.where("id % 3 = 0").select(F.col("id").alias("sample_id"), "k")]
+    return queues.ready(parts).select(F.col("sample_id").alias("id"), r("score").alias("score"), "k")
+
+
+@query("tumbling_events", "SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+def tumbling_events(spark, d):
+    w = events.tumbling(table(spark, d, "events"), "ts", "6 hours", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    return w.select(F.to_timestamp_ntz(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).alias("window_start"), "event_type", "n", r("v", 4).alias("v"))
+
+
+@query("sliding_events", "WITH s AS (SELECT unnest([0, 1, 2, 3]) AS k) SELECT time_bucket(INTERVAL '1 hours', ts) - k * INTERVAL '1 hours' AS window_start, count(*) AS n FROM events, s GROUP BY ALL")
+def sliding_events(spark, d):
+    w = events.sliding(table(spark, d, "events"), "ts", "4 hours", "1 hour", [], F.count(F.lit(1)).alias("n"))
+    return w.select(F.to_timestamp_ntz(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).alias("window_start"), "n")
+
+
+@query("session_events", """WITH x AS (SELECT user_id, ts, value, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '12 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM events),
+ s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, count(*) AS n, round(sum(value), 4) AS v FROM s GROUP BY user_id, g""")
+def session_events(spark, d):
+    s = events.sessions(table(spark, d, "events"), "ts", "12 hours", ["user_id"], F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    return s.select("user_id", "n", r("v", 4).alias("v"))
