@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from rillflow.llm.common import table
+from rillflow.llm.oracle import SQL
 
 
 #: A vocabulary of the public tokenizers; never copied into the repository.
@@ -92,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
