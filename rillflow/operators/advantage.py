@@ -55,7 +55,16 @@ def with_group(df: DataFrame, *aggregates: Column, key: str = "uid") -> DataFram
     return df.join(stats, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
-N, MEAN, STD = F.count(F.lit(1)).alias("__n"), F.avg("score").alias("__mean"), F.stddev_samp("score").alias("__std")
+def size() -> Column:
+    return F.count(F.lit(1)).alias("__n")
+
+
+def mean_score() -> Column:
+    return F.avg("score").alias("__mean")
+
+
+def std_score() -> Column:
+    return F.stddev_samp("score").alias("__std")
 
 
 def over_tokens(df: DataFrame, value: Column) -> DataFrame:
@@ -68,7 +77,7 @@ def over_tokens(df: DataFrame, value: Column) -> DataFrame:
 @register("grpo")
 def grpo(df: DataFrame, by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """(score - mean) / (sample std + eps) within the prompt; a lone rollout has mean 0 and std 1."""
-    g = with_group(scored(df), N, MEAN, STD)
+    g = with_group(scored(df), size(), mean_score(), std_score())
     lone = F.col("__n") == 1
     mean = F.when(lone, 0.0).otherwise(F.col("__mean"))
     std = F.when(lone, 1.0).otherwise(F.col("__std"))
@@ -79,7 +88,7 @@ def grpo(df: DataFrame, by_std: bool = True, eps: float = 1e-6) -> DataFrame:
 @register("grpo_vectorized")
 def grpo_vectorized(df: DataFrame, by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """As ``grpo`` with the root of max(variance, eps) as the deviation."""
-    g = with_group(scored(df), N, MEAN, F.var_samp("score").alias("__var"))
+    g = with_group(scored(df), size(), mean_score(), F.var_samp("score").alias("__var"))
     lone = F.col("__n") == 1
     std = F.when(lone, 1.0).otherwise(F.sqrt(F.greatest(F.col("__var"), F.lit(eps))))
     centred = F.col("score") - F.when(lone, 0.0).otherwise(F.col("__mean"))
@@ -89,7 +98,7 @@ def grpo_vectorized(df: DataFrame, by_std: bool = True, eps: float = 1e-6) -> Da
 @register("grpo_passk")
 def grpo_passk(df: DataFrame, by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """Only the best rollout of a prompt counts, by its lead over the second; a tie leads by nothing. Lone rollouts raise."""
-    top = with_group(scored(df), N, STD, F.max("score").alias("__top"))
+    top = with_group(scored(df), size(), std_score(), F.max("score").alias("__top"))
     first = F.col("score") == F.col("__top")
     both = with_group(top, F.sum(first.cast("int")).alias("__firsts"), F.max(F.when(~first, F.col("score"))).alias("__second"))
     lead = F.when(first & (F.col("__firsts") == 1), F.col("__top") - F.col("__second")).otherwise(0.0)
@@ -101,7 +110,7 @@ def grpo_passk(df: DataFrame, by_std: bool = True, eps: float = 1e-6) -> DataFra
 @register("rloo")
 def rloo(df: DataFrame) -> DataFrame:
     """n / (n - 1) times the score less the mean; a lone rollout keeps its score."""
-    g = with_group(scored(df), N, MEAN)
+    g = with_group(scored(df), size(), mean_score())
     n = F.col("__n").cast("double")
     return over_tokens(g, F.when(n > 1, n / F.greatest(n - 1, F.lit(1.0)) * (F.col("score") - F.col("__mean"))).otherwise(F.col("score")))
 
@@ -109,7 +118,7 @@ def rloo(df: DataFrame) -> DataFrame:
 @register("rloo_vectorized")
 def rloo_vectorized(df: DataFrame) -> DataFrame:
     """(n score - sum) / max(n - 1, 1), and 0 for a lone rollout."""
-    g = with_group(scored(df), N, F.sum("score").alias("__sum"))
+    g = with_group(scored(df), size(), F.sum("score").alias("__sum"))
     n = F.col("__n").cast("double")
     return over_tokens(g, F.when(n > 1, (n * F.col("score") - F.col("__sum")) / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0))
 
@@ -118,7 +127,7 @@ def rloo_vectorized(df: DataFrame) -> DataFrame:
 def opo(df: DataFrame) -> DataFrame:
     """Score less the mean of scores weighted by response length; a lone rollout has baseline 0."""
     with_len = scored(df).withColumn("__len", M.mask_count("mask").cast("double"))
-    g = with_group(with_len, N, F.sum(F.col("__len") * F.col("score")).alias("__ls"), F.sum("__len").alias("__ll"))
+    g = with_group(with_len, size(), F.sum(F.col("__len") * F.col("score")).alias("__ls"), F.sum("__len").alias("__ll"))
     base = F.when(F.col("__n") == 1, 0.0).otherwise(F.try_divide("__ls", "__ll"))
     return over_tokens(g, F.col("score") - base)
 
@@ -126,7 +135,7 @@ def opo(df: DataFrame) -> DataFrame:
 @register("gpg")
 def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
     """alpha (score - mean) / f_norm, alpha being rows over rows of other scores than 0 (1 at least)."""
-    g = with_group(scored(df), N, MEAN)
+    g = with_group(scored(df), size(), mean_score())
     g = M.with_totals(g, F.count(F.lit(1)).alias("__rows"), F.sum((F.col("score") != 0).cast("int")).alias("__nonzero"))
     alpha = F.col("__rows") / F.greatest(F.col("__nonzero"), F.lit(1).cast("long")).cast("double")
     mean = F.when(F.col("__n") == 1, 0.0).otherwise(F.col("__mean"))
@@ -139,7 +148,7 @@ def reinforce_plus_plus_baseline(df: DataFrame, seq: str = "seq_id") -> DataFram
 
     The batch-wide moments come from one row per sequence: its value and its number of tokens.
     """
-    g = with_group(scored(df), N, MEAN).withColumn("__len", M.mask_count("mask").cast("double"))
+    g = with_group(scored(df), size(), mean_score()).withColumn("__len", M.mask_count("mask").cast("double"))
     g = g.withColumn("__v", F.col("score") - F.when(F.col("__n") == 1, 0.0).otherwise(F.col("__mean")))
     total = F.sum("__len").alias("__t")
     g = M.with_totals(g, total, (F.sum(F.col("__v") * F.col("__len")) / (F.sum("__len") + M.EPS)).alias("__mu"))
