@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,45 +28,43 @@ def pool(hidden: str, mask: str, how: str = "mean") -> Column:
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, doc_id, score, rank from 1) of the k best inner products; ties by the smaller doc id.
 
-    The query set is cut into blocks of ``block`` vectors that are broadcast one after another; each task of the corpus
+    The query set passes the driver in blocks of ``block`` vectors, each broadcast for one pass over the corpus; a task
     multiplies matrices and keeps its own k best per query, so that k rows per query and task are shuffled.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.select(query_id, vector).collect()
     spark, parts = corpus.sparkSession, []
-    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {corpus.schema[doc_id].dataType.simpleString()}, score double"
-    arrow_q = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[queries.schema[query_id].dataType.simpleString()]
+    id_kind = corpus.schema[doc_id].dataType.simpleString()
+    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {id_kind}, score double"
+    name_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[queries.schema[query_id].dataType.simpleString()]
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best: list[tuple] = []
+            best_s, best_d, id_type = np.zeros((len(names), 0)), np.zeros((len(names), 0), object), pa.int64()
             for batch in batches:
-                if not batch.num_rows:
+                id_type = batch.column(0).type
+                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                if not batch.num_rows or not len(names):
                     continue
-                ids = batch.column(0)
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = q @ x.T
-                order = np.lexsort((np.broadcast_to(np.array(ids.to_pylist()), scores.shape), -scores), axis=1)[:, :k]
-                best.append((np.take_along_axis(scores, order, 1), np.array(ids.to_pylist(), dtype=object)[order]))
-            if best:
-                s, d = np.concatenate([b[0] for b in best], 1), np.concatenate([b[1] for b in best], 1)
-                for i, name in enumerate(names):
-                    top = sorted(zip(-s[i], d[i]))[:k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(top), arrow_q), pa.array([t[1] for t in top], ids.type), pa.array([-float(t[0]) for t in top])],
-                        names=["query_id", "doc_id", "score"],
-                    )
+                ids = np.array(batch.column(0).to_pylist(), object)
+                s = np.concatenate([best_s, q @ x.T], 1)
+                d = np.concatenate([best_d, np.broadcast_to(ids, (len(names), len(ids)))], 1)
+                _, rank = np.unique(d, return_inverse=True)
+                order = np.lexsort((rank.reshape(d.shape), -s), axis=1)[:, :k]
+                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+            if best_s.size:
+                width = best_s.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n for n in names for _ in range(width)], name_type), pa.array(best_d.ravel().tolist(), id_type), pa.array(best_s.ravel())],
+                    names=["query_id", "doc_id", "score"],
+                )
 
         return run
 
-    for a in range(0, max(1, len(rows)), block):
-        part = rows[a : a + block]
-        q = np.array([r[1] for r in part], np.float64) if part else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], q))
+    for part in batched(queries.select(query_id, vector).toLocalIterator(), block):
+        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
         parts.append(corpus.select(doc_id, vector).mapInArrow(search(shared), kinds))
+    if not parts:
+        parts = [spark.createDataFrame([], kinds)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
