@@ -33,7 +33,7 @@ def masked_sum(v, m) -> Column:
 
 
 def mask_count(m) -> Column:
-    return F.aggregate(_col(m), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(_col(m), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
 def masked_mean(v, m) -> Column:
@@ -168,6 +168,14 @@ def completion_mask(complete, repeat: int = 1) -> Column:
     return F.flatten(F.transform(ones, lambda x: F.array_repeat(x, repeat)))
 
 
+def random_mask(key: Column, length: int, valid: tuple[float, float] = (0.1, 0.8), left: float = 0.2, seed: int = 0) -> Column:
+    """A mask with random padding on both sides, for tests: the share of valid places within ``valid``, at most ``left`` of it before them."""
+    u = lambda i: F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    start = F.floor(u(1) * left * length)
+    n = F.floor((u(2) * (valid[1] - valid[0]) + valid[0]) * length)
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ((i >= start) & (i < start + n)).cast("int"))
+
+
 # ---------------------------------------------------------------- long form: one row is one token
 
 

@@ -199,21 +199,24 @@ def leave_one_out(column: str, scale: str, base: str, weight: float) -> Column:
 
 
 @register("prime_rloo")
-def prime_rloo(df: DataFrame, streams: tuple[tuple[str, float], ...] = (("rewards", 1.0),), whitened: bool = True) -> DataFrame:
-    """Leave-one-out baselines on masked means per sequence, for several streams of token rewards.
+def prime_rloo(df: DataFrame, streams: tuple[tuple, ...] = (("rewards", 1.0),), whitened: bool = True) -> DataFrame:
+    """Leave-one-out baselines on masked means per sequence, for several streams (column, weight[, mask column]) of token rewards.
 
-    Each stream's rewards, less the others' mean, are summed up with its weight; returns are what is
-    still to come, advantages the whitened returns. Lone rollouts have no others and keep their rewards.
+    Where a stream's own mask (the response's by default) is on, its rewards are scaled by n / (n - 1) and lose the sum of the
+    means over n - 1; elsewhere they are 0. Streams are summed up with their weights; returns are what is still to come,
+    advantages the whitened returns. Lone rollouts have no others and keep their rewards.
     """
     g, parts = df, []
-    for i, (column, weight) in enumerate(streams):
-        g = g.withColumn(f"__m{i}", M.masked_mean(column, "mask"))
+    for i, (column, weight, *own) in enumerate(streams):
+        mask = own[0] if own else "mask"
+        count = F.greatest(M.mask_count(mask), F.lit(1).cast("long"))
+        g = g.withColumn(f"__m{i}", M.masked_sum(column, mask) / count)
         g = with_group(g, F.sum(f"__m{i}").alias(f"__s{i}"), F.count(F.lit(1)).alias(f"__n{i}"))
         n = F.col(f"__n{i}").cast("double")
         scale = F.when(n > 1, n / F.greatest(n - 1, F.lit(1.0))).otherwise(1.0)
         base = F.when(n > 1, F.col(f"__s{i}") / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0)
         g = g.withColumns({f"__k{i}": scale, f"__b{i}": base})
-        parts.append(leave_one_out(column, f"__k{i}", f"__b{i}", weight))
+        parts.append(M.masked_values(leave_one_out(column, f"__k{i}", f"__b{i}", weight), mask))
     total = parts[0]
     for p in parts[1:]:
         total = F.zip_with(total, p, lambda a, b: a + b)

@@ -290,3 +290,15 @@ def fan_out(df: DataFrame, samples: int, replicas: int, order_by) -> DataFrame:
 def grow(df: DataFrame, generated: DataFrame, keep: Column) -> DataFrame:
     """The dataset with the generated rows that pass."""
     return concat([df, generated.where(keep).select(*df.columns)])
+
+
+def resume(df: DataFrame, epoch: int, batch: int) -> DataFrame:
+    """The batches of :func:`minibatches` that a run which stopped before (epoch, batch) has still to see; orders depend on seeds alone."""
+    return df.where((F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & (F.col("batch") >= batch)))
+
+
+def assert_equal(left: DataFrame, right: DataFrame) -> None:
+    """Raises where two frames differ in columns, types or rows, in whatever order."""
+    from pyspark.testing import assertDataFrameEqual
+
+    assertDataFrameEqual(left, right.select(*left.columns))

@@ -309,18 +309,6 @@ def imbalance(df: DataFrame, length: str, before: str, after: str) -> DataFrame:
     return a.crossJoin(b)
 
 
-def dense_flops(tokens: Column, squares: Column, params: float, layers: int, heads: int, head_dim: int) -> Column:
-    """6 N tokens + 12 layers heads dim sum of squared lengths: a training step of a decoder with dense attention."""
-    return 6.0 * params * tokens + 12.0 * layers * heads * head_dim * squares
-
-
-def decoder_params(hidden: int, layers: int, vocab: int, heads: int, kv_heads: int, head_dim: int, mlp: int, experts: int = 0, dense_mlp: int = 0) -> float:
-    """Weights that a token meets: attention, MLP (or the experts chosen and the router) and both embeddings."""
-    attention = hidden * (heads * head_dim + 2 * kv_heads * head_dim + heads * head_dim)
-    feed = 3 * hidden * mlp * max(1, experts) + dense_mlp
-    return layers * (attention + feed) + 2.0 * vocab * hidden
-
-
 #: Peak tera-operations a second of bf16 by device name (fixed values).
 DEVICE_TFLOPS = {"CPU": 0.448, "GB200": 2500, "B200": 2250, "MI300X": 1336, "H100": 989, "H800": 989, "H200": 989, "A100": 312, "A800": 312,
                  "L40S": 362.05, "L40": 181.05, "A40": 149.7, "L20": 119.5, "H20": 148, "910B": 354, "Ascend910": 354, "RTX 3070 Ti": 21.75}
@@ -331,14 +319,6 @@ def device_tflops(name: str) -> float:
     return next((float(v) for k, v in sorted(DEVICE_TFLOPS.items(), reverse=True) if k.lower() in name.lower()), float("inf"))
 
 
-def utilisation(df: DataFrame, seconds: str, device: str, **shape) -> DataFrame:
-    """Tera-operations of a batch of ``length`` per second, and their share of the device's peak, by step."""
-    length = F.col("length").cast("double")
-    g = df.groupBy("step").agg(F.sum(length).alias("t"), F.sum(length * length).alias("q"), F.max(seconds).alias("s"))
-    got = dense_flops(F.col("t"), F.col("q"), **shape) / F.col("s") / 1e12
-    return g.select("step", got.alias("tflops"), (got / device_tflops(device)).alias("mfu"))
-
-
 def pair_accuracy(df: DataFrame, score: str, acc: str, uid: str = "uid", order: str = "idx") -> DataFrame:
     """Mean over prompts of how often scores order pairs as ``acc`` does, weighted by the difference in ``acc``; 0.5 where none differ.
 

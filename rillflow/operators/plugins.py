@@ -121,6 +121,18 @@ def scored_by(df: DataFrame, f: Callable[[str, str], float]) -> DataFrame:
     return df.withColumn("score", udf("response", "ground_truth"))
 
 
+@datasets.register("prompts")
+def prompts(spark, paths: list[str], max_tokens: int | None = None, token_count: Callable[[DataFrame], Column] | None = None, max_samples: int = -1, key: str | None = None, seed: int | None = None) -> DataFrame:
+    """Prompt rows of several files, without overlong ones, and at most so many of them."""
+    from rillflow.operators import batch as B
+    from rillflow.operators import filters
+
+    df = spark.read.parquet(*paths)
+    if max_tokens is not None and token_count is not None:
+        df = filters.within_length(df, token_count(df), max_tokens)
+    return B.first_samples(df, max_samples, key or df.columns[0], seed) if max_samples >= 0 else df
+
+
 @samplers.register("sequential")
 def sequential(key: str, **_) -> list[Column]:
     return [F.col(key)]

@@ -169,11 +169,14 @@ def adv_remax(spark, d):
     return t.select("seq_id", F.col("pos").cast("long").alias("pos"), r("advantages").alias("adv"), r("returns").alias("ret"))
 
 
-@query("adv_prime_rloo", f"""WITH {TOK}, q AS (SELECT seq_id, uid, sum(mask * reward) / (sum(mask) + 1e-8) AS m FROM tok GROUP BY ALL), g AS (SELECT uid, sum(m) AS s, count(*) AS n FROM q GROUP BY uid),
- x AS (SELECT t.seq_id, t.pos, t.mask, CASE WHEN n > 1 THEN reward * n / (n - 1) - s / (n - 1) ELSE reward END AS v FROM tok t JOIN g USING (uid))
+@query("adv_prime_rloo", f"""WITH {TOK}, e AS (SELECT *, CASE WHEN pos = max(CASE WHEN mask = 1 THEN pos END) OVER (PARTITION BY seq_id) THEN 1 ELSE 0 END AS fin FROM tok),
+ q AS (SELECT seq_id, uid, sum(mask * reward) / greatest(sum(mask), 1) AS m, CASE WHEN sum(fin) > 0 THEN seq_id % 2 ELSE 0 END AS acc FROM e GROUP BY seq_id, uid), g AS (SELECT uid, sum(m) AS s, sum(acc) AS a, count(*) AS n FROM q GROUP BY uid),
+ x AS (SELECT t.seq_id, t.pos, t.mask, CASE WHEN n > 1 THEN reward * n / (n - 1) - s / (n - 1) ELSE reward END + 0.5 * fin * CASE WHEN n > 1 THEN (seq_id % 2) * n / (n - 1) - a / (n - 1) ELSE seq_id % 2 END AS v FROM e t JOIN g USING (uid))
  SELECT seq_id, pos, round(sum(v * mask) OVER (PARTITION BY seq_id ORDER BY pos DESC), 6) AS ret FROM x""")
 def adv_prime_rloo(spark, d):
-    out = A.compute(sequences(spark, d), "prime_rloo", whitened=False)
+    s = sequences(spark, d)
+    s = s.withColumn("at", M.place_last(F.lit(1.0), "mask")).withColumn("acc", M.place_last(F.col("seq_id") % 2, "mask"))
+    out = A.compute(s, "prime_rloo", streams=(("rewards", 1.0), ("acc", 0.5, "at")), whitened=False)
     return M.to_long(out, ["seq_id"], ["returns"]).select("seq_id", F.col("pos").cast("long").alias("pos"), r("returns").alias("ret"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillflow.functions import scoring as S
+from rillflow.functions.flops import Experts, Latent, Shape, utilisation
 from rillflow.operators import batch as B
 from rillflow.operators import balance, filters, metrics, prep, search
 from rillflow.operators.advantage import scored
@@ -313,10 +314,22 @@ def timing_tail(spark, d):
     return rounded(metrics.tail_ratio(rollouts(spark, d), "score"))
 
 
-@query("flops_estimate", f"""WITH {TOK}, s AS (SELECT uid % 10 AS step, seq_id, count(*) AS n FROM tok GROUP BY ALL) SELECT step, round((6.0::DOUBLE * 7e9 * sum(n) + 12.0::DOUBLE * 28 * 28 * 128 * sum(n * n)) / 2.5 / 1e12, 6) AS tflops FROM s GROUP BY step""")
+#: Weights a token meets, worked out by hand for the three shapes of the query.
+SHAPES = {
+    "dense": (Shape(hidden=64, layers=4, vocab=1000, heads=8, kv_heads=2, mlp=256), "6.0 * (4 * (64 * 8 * 20 + 64 * 256 * 3) + 2 * 1000 * 64) * n + 12.0 * 8 * 8 * 4 * n * n"),
+    "experts": (Shape(hidden=64, layers=4, vocab=1000, heads=8, kv_heads=2, mlp=256, experts=Experts(16, 2, 32)), "6.0 * (4 * (64 * 8 * 20 + 64 * (16 + 3 * 32 * 2)) + 2 * 1000 * 64) * n + 12.0 * 8 * 8 * 4 * n * n"),
+    "sliding": (Shape(hidden=64, layers=6, vocab=1000, heads=8, kv_heads=2, mlp=256, window=3), "6.0 * (6 * (64 * 8 * 20 + 64 * 256 * 3) + 2 * 1000 * 64) * n + 12.0 * 8 * 8 * (n * n + 5 * n * least(n, 3))"),
+    "latent": (Shape(hidden=64, layers=4, vocab=1000, heads=8, kv_heads=8, mlp=256, experts=Experts(16, 2, 32, shared=1, dense_layers=1), latent=Latent(24, 16, 8, 4, 8)),
+               "6.0 * (4 * (24 * (64 + 96) + 64 * 20 + 8 * 16 * 16 + 64 * 64) + 64 * 256 * 3 + 3 * 64 * (16 + 3 * 32 * 3) + 2 * 1000 * 64) * n + 12.0 * 8 * 12 * 4 * n * n"),
+}
+
+
+@query("flops_estimate", f"WITH {TOK}, s AS (SELECT uid % 10 AS step, seq_id, count(*)::DOUBLE AS n FROM tok GROUP BY ALL) " + " UNION ALL ".join(
+    f"SELECT step, '{k}' AS shape, round(sum({sql}) / 2.5 / 1e12, 9) AS tflops FROM s GROUP BY step" for k, (_, sql) in SHAPES.items()))
 def flops_estimate(spark, d):
     s = tokens(spark, d).groupBy((F.col("uid") % 10).alias("step"), "seq_id").agg(F.count(F.lit(1)).alias("length")).withColumn("seconds", F.lit(2.5))
-    return metrics.utilisation(s, "seconds", "H100", params=7e9, layers=28, heads=28, head_dim=128).select("step", r("tflops").alias("tflops"))
+    parts = [utilisation(s, shape, "length", "seconds", "H100", ["step"]).select("step", F.lit(k).alias("shape"), r("tflops", 9).alias("tflops")) for k, (shape, _) in SHAPES.items()]
+    return B.concat(parts)
 
 
 @query("pair_accuracy", f"""WITH {SEQ}, x AS (SELECT *, (seq_id % 3) / 2.0 AS acc FROM seq), p AS (SELECT a.uid, sum(CASE WHEN (a.score > b.score) = (a.acc > b.acc) THEN abs(a.acc - b.acc) ELSE 0 END) AS u, sum(abs(a.acc - b.acc)) AS v FROM x a JOIN x b ON a.uid = b.uid AND a.seq_id < b.seq_id GROUP BY a.uid),
