@@ -63,7 +63,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialise` that nothing will read again; whatever is left goes when the driver ends."""
+    for t in tables:
+        hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def shared_constant(spark: SparkSession, value):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
-from rillflow.llm.common import materialise
+from rillflow.llm.common import discard, materialise
 
 U64 = np.uint64
 
@@ -184,7 +184,9 @@ def confirm(edges: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan)
     likely = materialise(signed.mapInArrow(agreeing(plan.least_agree), "u long, v long"), "likely")
     paired = likely.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u")
     paired = paired.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
-    return materialise(paired.mapInArrow(similar(plan), "u long, v long").distinct(), "links")
+    links = materialise(paired.mapInArrow(similar(plan), "u long, v long").distinct(), "links")
+    discard(likely)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +210,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         turned = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialise(turned.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        older, edges = edges, materialise(turned.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        discard(older)
         before, now = now, state(edges)
         if before == now:
             break
@@ -285,6 +288,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
     rooted = members.where("size > 2 and rep <> hub").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = materialise(rooted, "rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    mixed = materialise(mixed, "mixed")  # of known size: broadcast if small, else a join whose large partitions are split
     undone = rooted.join(mixed, "bucket", "left_semi")
     undone = undone.join(classes.select("rep", "bands", "sign"), "rep").join(texts, "rep")
     blocks = F.ceil(F.col("size") / plan.block).cast("int")
@@ -298,6 +302,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
     more = materialise(dealt.groupBy("bucket", "i", "j").applyInArrow(undecided(plan), "u long, v long").distinct(), "more-links")
     if not more.isEmpty():
         roots = materialise(components(links.unionByName(more)), "roots")
+    discard(shared, members, texts, links, rooted, mixed, more)
 
     # Only classes with several documents or another root than their own change anything.
     moved = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 or root is not null")
