@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators.batch import row_index
+from rillflow.session import ship
 
 
 def workload(length: Column) -> Column:
@@ -115,6 +116,7 @@ def assign(df: DataFrame, batch: str, row: str, length: str, split) -> DataFrame
         out = [(pdf[batch].iloc[0], rows[i], p, at) for p, part in enumerate(split(pdf[length].tolist())) for at, i in enumerate(part)]
         return pd.DataFrame(out, columns=[batch, row, "part", "place"])
 
+    ship()
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (batch, row))
     return df.select(batch, row, length).groupBy(batch).applyInPandas(run, f"{kinds}, part int, place int")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillflow.functions import masked as M
+from rillflow.session import ship
 
 
 def long(df: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -144,6 +145,7 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, vote: str
             frame[k] = pdf[k].iloc[0]
         return frame[[*keys, "n", "name", "mean", "std"]]
 
+    ship()
     columns = [*dict.fromkeys([*keys, value, order, *([vote] if vote else [])])]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*columns).groupBy(*keys).applyInPandas(run, f"{kinds}, n int, name string, mean double, std double")

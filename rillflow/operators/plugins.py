@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions import scoring as S
+from rillflow.session import ship
 
 
 class Registry:
@@ -66,6 +67,7 @@ def dapo(df: DataFrame, score: Callable[[DataFrame], DataFrame] = S.default_scor
 @reward_managers.register("prime")
 def prime(df: DataFrame, score: Callable[[str, str], float], seconds: float = 300.0, **options) -> DataFrame:
     """A Python scorer per row in Arrow batches; a row that raises or takes too long counts 0.0 and stops no other."""
+    ship()
     @F.pandas_udf("double")
     def scored(text: pd.Series, truth: pd.Series) -> pd.Series:
         out = []
@@ -114,6 +116,7 @@ def function_from_file(path: str, name: str, **fixed) -> Callable:
 
 def scored_by(df: DataFrame, f: Callable[[str, str], float]) -> DataFrame:
     """With ``score`` by any Python function of response and truth."""
+    ship()
     @F.pandas_udf("double")
     def udf(text: pd.Series, truth: pd.Series) -> pd.Series:
         return pd.Series([float(f(t, g)) for t, g in zip(text, truth)], dtype=float)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillflow.session import ship
+
 
 def pool(hidden: str, mask: str, how: str = "mean") -> Column:
     """A vector from vectors of tokens: their masked mean, or the first."""
@@ -31,6 +33,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc
     The query set passes the driver in blocks of ``block`` vectors, each broadcast for one pass over the corpus; a task
     multiplies matrices and keeps its own k best per query, so that k rows per query and task are shuffled.
     """
+    ship()
     spark, parts = corpus.sparkSession, []
     id_kind = corpus.schema[doc_id].dataType.simpleString()
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {id_kind}, score double"

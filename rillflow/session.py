@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -23,3 +27,24 @@ def session(master: str | None = None, app: str = "rillflow", **extra: str) -> S
     for key, value in (CONF | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Give the Python workers this package, once per application: called before each operator that runs Python.
+
+    Spark's file server hands the archive to executors, so that nothing needs to be installed on them.
+    """
+    spark = spark or SparkSession.active()
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="rillflow-")) / "rillflow_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from rillflow.session import ship
+
 
 def drop_oldest(df: DataFrame, capacity: int, queue: str = "queue", order: str = "seq", kind: str = "kind") -> DataFrame:
     """What becomes of each ``put`` of an ordered log of puts and gets: ``fate`` is ``got``, ``dropped`` or ``queued``.
@@ -33,6 +35,7 @@ def drop_oldest(df: DataFrame, capacity: int, queue: str = "queue", order: str =
         out["fate"] = [fate.get(i, "queued") for i in out[order]]
         return out
 
+    ship()
     kinds = f"{queue} {df.schema[queue].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, fate string"
     return df.select(queue, order, kind).orderBy(queue, order).groupBy(queue).applyInPandas(lambda p: run(p.sort_values(order)), kinds)
 
@@ -91,6 +94,7 @@ class BoundedQueue(StatefulProcessor):
 
 def bounded_queue_stream(stream: DataFrame, capacity: int) -> DataFrame:
     """Events of bounded queues from a stream of (queue, kind, seq, payload). Needs the RocksDB state store."""
+    ship()
     return stream.groupBy("queue").transformWithStateInPandas(
         BoundedQueue(capacity), outputStructType="queue string, event string, seq bigint, payload string", outputMode="Append", timeMode="None"
     )
@@ -159,6 +163,7 @@ def token_bucket(df: DataFrame, rate: float, capacity: float, key: str = "key",
             out.append(now)
         return pdf.assign(start=out)
 
+    ship()
     kinds = f"{key} {df.schema[key].dataType.simpleString()}, {at} double, {tokens} double, start double"
     src = df.select(key, F.col(at).cast("double").alias(at), F.col(tokens).cast("double").alias(tokens))
     return src.groupBy(key).applyInPandas(lambda p: run(p.sort_values([at, tokens]))[[key, at, tokens, "start"]], kinds)
