@@ -75,10 +75,6 @@ def discard(*tables: DataFrame) -> None:
         hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def shared_constant(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.html_pages import NAMES, labelled
 from rillflow.llm.html_tree import Tree, read
+from rillflow.session import ship
 
 #: Bytes of pages that are read together.
 PIECE = 1 << 19
@@ -182,6 +183,7 @@ def extract(pages: DataFrame, columns: list[str], html_col: str = "html", model=
     becomes one space. Null and empty pages give the empty text. Repeated rows stay; a column of
     ``pages`` that is named ``text`` can't be among ``columns``.
     """
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     picked = pages.select(F.col(html_col).alias("__html"), *columns)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
 from rillflow.llm.common import discard, materialise
+from rillflow.session import ship
 
 U64 = np.uint64
 
@@ -263,6 +264,7 @@ def undecided(plan: Plan):
 
 def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``."""
+    ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, h1 long, h2 long, bands array<long>, sign binary"
     prints = materialise(source.mapInArrow(fingerprints(plan), schema), "prints")

@@ -23,6 +23,7 @@ from rillflow.llm import words as W
 from rillflow.llm.labelled import fit_rows, held_out
 from rillflow.llm.quality_rules import STOP_WORDS
 from rillflow.llm.toxicity import APART
+from rillflow.session import ship
 
 NAMES = (
     "log_words", "word_length", "symbols", "upper", "digits", "marks", "bars", "shouts", "distinct",
@@ -200,6 +201,7 @@ def add_up(x: np.ndarray, model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: Gam = Gam(), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"):
+    ship(docs.sparkSession)
     rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col)
     schema = "place long, y int, " + ", ".join(f"{n} double" for n in NAMES)
     found = rows.mapInArrow(featured, schema).toPandas().sort_values(["place", "y", *NAMES])
@@ -220,6 +222,7 @@ def scorer(shared):
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): 0 to 1, higher where label 1 is likelier; null and empty texts count as texts without words; without a model 0."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(text_col).alias("__text"), id_col)
     return picked.mapInArrow(scorer(shared), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, score double")

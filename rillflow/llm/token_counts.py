@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
+from rillflow.session import ship
 
 U64 = np.uint64
 NONE = -1
@@ -153,6 +154,7 @@ def counter(shared):
 
 def count_tokens(docs: DataFrame, vocabulary: str | list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) of every row; null and empty texts have none. ``vocabulary``: a file's path, or the pieces."""
+    ship(docs.sparkSession)
     pieces = load_pieces(vocabulary) if isinstance(vocabulary, str) else vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
     picked = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("id"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
 from rillflow.llm.labelled import fit_rows, held_out
+from rillflow.session import ship
 
 BITS = 20
 #: Separators: all ASCII but letters and digits.
@@ -110,6 +111,7 @@ def learned(options: Ftrl):
 
 def fit(docs: DataFrame, labels: DataFrame, options: Ftrl = Ftrl(), label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
     """(codes, weights, bias), or None where no row is labelled."""
+    ship(docs.sparkSession)
     rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col).repartition(1)
     found = rows.mapInArrow(learned(options), "code long, weight double").toPandas()
     if not len(found):
@@ -146,6 +148,7 @@ def scorer(shared, field: int | None = None):
 
 def score(docs: DataFrame, model, columns: list[str], text_col: str = "text") -> DataFrame:
     """``columns`` of ``docs`` and ``score`` (0 to 1). Null and empty texts get the bias alone; without a model all scores are 0."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(text_col).alias("__text"), *columns)
     kinds = [f"{f.simpleString().split(':', 1)[0]} {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
