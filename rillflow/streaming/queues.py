@@ -13,31 +13,50 @@ from pyspark.sql.window import Window
 from rillflow.session import ship
 
 
+def replay(df: DataFrame, key: str, order: list[str], columns: list[str], schema: str, fresh, step, finish=lambda k, state: []) -> DataFrame:
+    """Rows of each key, in order, through ``step(key, state, row) -> rows``; the end of a key through ``finish``.
+
+    Keys are dealt to tasks and sorted there, and rows pass in batches: a task holds one batch and one key's state, however
+    long the key's log is.
+    """
+    ship()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0].strip("`") for c in schema.split(", ")]
+        current, state, begun = None, None, False
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if not begun or row[0] != current:
+                    out += finish(current, state) if begun else []
+                    current, state, begun = row[0], fresh(), True
+                out += step(current, state, row[1:])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if begun and (out := finish(current, state)):
+            yield pd.DataFrame(out, columns=names)
+
+    return df.select(key, *columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def drop_oldest(df: DataFrame, capacity: int, queue: str = "queue", order: str = "seq", kind: str = "kind") -> DataFrame:
     """What becomes of each ``put`` of an ordered log of puts and gets: ``fate`` is ``got``, ``dropped`` or ``queued``.
 
     A queue holds ``capacity`` samples; a put to a full one drops the oldest, a get from an empty one gets nothing.
-    Queues are independent; within one the log is replayed in order, with ``capacity`` rows of memory.
+    Queues are independent and have names that are not null; the state of a replay is the samples held.
     """
-    import collections
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: collections.deque = collections.deque()
-        fate: dict = {}
-        for i, k in zip(pdf[order], pdf[kind]):
-            if k == "put":
-                if len(held) >= capacity:
-                    fate[held.popleft()] = "dropped"
-                held.append(i)
-            elif held:
-                fate[held.popleft()] = "got"
-        out = pdf[pdf[kind] == "put"][[queue, order]].copy()
-        out["fate"] = [fate.get(i, "queued") for i in out[order]]
+    from collections import deque
+
+    def step(name, held: deque, row: tuple) -> list[tuple]:
+        at, what = row
+        if what != "put":
+            return [(name, held.popleft(), "got")] if held else []
+        out = [(name, held.popleft(), "dropped")] if len(held) >= capacity else []
+        held.append(at)
         return out
 
-    ship()
     kinds = f"{queue} {df.schema[queue].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, fate string"
-    return df.select(queue, order, kind).orderBy(queue, order).groupBy(queue).applyInPandas(lambda p: run(p.sort_values(order)), kinds)
+    return replay(df, queue, [order], [order, kind], kinds, deque, step, lambda name, held: [(name, i, "queued") for i in held])
 
 
 def newest(df: DataFrame, capacity: int, queue: str, order: list[str]) -> DataFrame:
@@ -148,25 +167,21 @@ def token_bucket(df: DataFrame, rate: float, capacity: float, key: str = "key",
     """(key, t, tokens, start): when each request may start, requests of a key in order of their times.
 
     The bucket fills at ``rate`` up to ``capacity``; a request larger than the bucket waits until it is full and overdraws it.
-    One key's requests are replayed in order, in constant memory per row.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, clock, out = capacity, None, []
-        for t, n in pdf[[at, tokens]].itertuples(index=False):
-            now = t if clock is None else max(t, clock)
-            level = min(capacity, level + (now - (clock if clock is not None else now)) * rate)
-            need = min(n, capacity)
-            if level < need:
-                now, level = now + (need - level) / rate, need
-            level, clock = level - n, now
-            out.append(now)
-        return pdf.assign(start=out)
+    def step(name, bucket: dict, row: tuple) -> list[tuple]:
+        t, n = row
+        now = max(t, bucket.get("clock", t))
+        level = min(capacity, bucket.get("level", capacity) + (now - bucket.get("clock", now)) * rate)
+        need = min(n, capacity)
+        if level < need:
+            now, level = now + (need - level) / rate, need
+        bucket.update(level=level - n, clock=now)
+        return [(name, t, n, now)]
 
-    ship()
     kinds = f"{key} {df.schema[key].dataType.simpleString()}, {at} double, {tokens} double, start double"
     src = df.select(key, F.col(at).cast("double").alias(at), F.col(tokens).cast("double").alias(tokens))
-    return src.groupBy(key).applyInPandas(lambda p: run(p.sort_values([at, tokens]))[[key, at, tokens, "start"]], kinds)
+    return replay(src, key, [at, tokens], [at, tokens], kinds, dict, step)
 
 
 def backoff(attempt: int, longest: float = 30.0) -> float:
