@@ -30,15 +30,20 @@ def session(master: str | None = None, app: str = "rillflow", **extra: str) -> S
 
 
 _shipped: set[str] = set()
+#: Spark's own bound on a batch for Python workers, and ours, which replaces it unless a session sets another.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 
 
 def ship(spark: SparkSession | None = None) -> None:
     """Give the Python workers this package, once per application: called before each operator that runs Python.
 
-    Spark's file server hands the archive to executors, so that nothing needs to be installed on them.
+    Spark's file server hands the archive to executors, so that nothing needs to be installed on them. Batches for
+    Python are bounded by 8 MB instead of 64, as texts have no bound of their own.
     """
     spark = spark or SparkSession.active()
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).parent
