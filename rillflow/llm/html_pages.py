@@ -11,7 +11,7 @@ import random
 
 from rillflow.llm.html_tree import Tree, read
 
-MARK = "⁠"  # stands at the end of each content run of a labelled page
+MARK = "\u2060"  # stands at the end of each content run of a labelled page; no page has it otherwise
 NAMES = {
     "nav": "nav navbar menu main-menu site-nav navigation breadcrumb breadcrumbs topbar links pagination tabs toc".split(),
     "header": "header site-header masthead page-header banner-top branding logo top head".split(),

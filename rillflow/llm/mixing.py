@@ -35,10 +35,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         for name, weight in weights.items():
             share = F.when(F.col("__part") == F.lit("n" if name is None else f"s{name}"), F.lit(float(weight))).otherwise(share)
     shared = counts.withColumn("__share", share)
-    # One row of sums, joined to the few rows of the sources.
-    sums = shared.agg(F.sum("__share").alias("__shares"), F.sum("n_rows").alias("__rows"))
-    rate = F.lit(float(epochs)) * F.col("__rows") * F.col("__share") / (F.col("__shares") * F.col("n_rows"))
-    return shared.join(F.broadcast(sums)).select("__part", "n_rows", F.when(F.col("__shares") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
+    shares, rows = shared.agg(F.sum("__share"), F.sum("n_rows")).first()
+    rate = F.lit(float(epochs) * (rows or 0)) * F.col("__share") / (F.lit(shares or 1.0) * F.col("n_rows"))
+    return shared.select("__part", "n_rows", rate.alias("rate"))
 
 
 def cumulative(mean: Column) -> Column:
@@ -108,7 +107,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", **options) -
     """The mixture itself: the columns of ``docs``, rows repeated to the target weights, globally shuffled."""
     inner = docs.withColumnRenamed("copy", "__own_copy") if "copy" in docs.columns else docs
     out = shuffled(replicate(inner, seed=seed, id_col=id_col, **options), seed, id_col).drop("copy")
-    return out.withColumnRenamed("__own_copy", "copy").select(*docs.columns)
+    return out.withColumnRenamed("__own_copy", "copy").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture_places(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:

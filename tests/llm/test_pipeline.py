@@ -43,3 +43,14 @@ def test_corner_cases(spark, docs, empty, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 50
+
+
+def test_odd_and_clashing_columns(spark, docs, sf_dir):
+    names = ["shard", "slot", "copy", "score", "id", "row", "n_words", "kept", "odd name: 1", "a.b"]
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, docs["doc_id"])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns if name != "sharding" else set(out.columns) == set(wide.columns)
+        assert out.count() >= (name != "mixing")
