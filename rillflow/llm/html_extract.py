@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rillflow.llm import words as W
 from rillflow.llm.html_pages import NAMES, labelled
 from rillflow.llm.html_tree import Tree, read
 from rillflow.session import ship
@@ -186,5 +188,4 @@ def extract(pages: DataFrame, columns: list[str], html_col: str = "html", model=
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     picked = pages.select(F.col(html_col).alias("__html"), *columns)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
-    return picked.mapInArrow(extractor(shared, threshold), ", ".join([*kinds, "text string"]))
+    return picked.mapInArrow(W.tidy(extractor(shared, threshold)), T.StructType([*picked.schema.fields[1:], T.StructField("text", T.StringType())]))

@@ -182,10 +182,10 @@ def confirm(edges: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan)
     signs = classes.select("rep", "sign")
     signed = edges.join(signs.select(F.col("rep").alias("u"), F.col("sign").alias("su")), "u")
     signed = signed.join(signs.select(F.col("rep").alias("v"), F.col("sign").alias("sv")), "v").select("u", "v", "su", "sv")
-    likely = materialise(signed.mapInArrow(agreeing(plan.least_agree), "u long, v long"), "likely")
+    likely = materialise(signed.mapInArrow(W.tidy(agreeing(plan.least_agree)), "u long, v long"), "likely")
     paired = likely.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u")
     paired = paired.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
-    links = materialise(paired.mapInArrow(similar(plan), "u long, v long").distinct(), "links")
+    links = materialise(paired.mapInArrow(W.tidy(similar(plan)), "u long, v long").distinct(), "links")
     discard(likely)
     return links
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, h1 long, h2 long, bands array<long>, sign binary"
-    prints = materialise(source.mapInArrow(fingerprints(plan), schema), "prints")
+    prints = materialise(source.mapInArrow(W.tidy(fingerprints(plan)), schema), "prints")
     named = prints.where("n > 0 and id is not null")
     classes = materialise(
         named.groupBy("h1", "h2", "n")

@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: Gam = Gam(), label_col: str
     ship(docs.sparkSession)
     rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col)
     schema = "place long, y int, " + ", ".join(f"{n} double" for n in NAMES)
-    found = rows.mapInArrow(featured, schema).toPandas().sort_values(["place", "y", *NAMES])
+    found = rows.mapInArrow(W.tidy(featured), schema).toPandas().sort_values(["place", "y", *NAMES])
     return fit_tables(found[list(NAMES)].to_numpy(), found["y"].to_numpy().astype(float), options)
 
 
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(text_col).alias("__text"), id_col)
-    return picked.mapInArrow(scorer(shared), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, score double")
+    return picked.mapInArrow(W.tidy(scorer(shared)), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, options: Gam = Gam()) -> DataFrame:

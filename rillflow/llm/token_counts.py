@@ -159,4 +159,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | list[bytes], id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
     picked = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("id"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(counter(shared), f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(W.tidy(counter(shared)), f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)

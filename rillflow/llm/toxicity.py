@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillflow.llm import words as W
 from rillflow.llm.labelled import fit_rows, held_out
@@ -33,7 +34,7 @@ class Ftrl:
     l1: float = 5.0
     l2: float = 1.0
     epochs: int = 3
-    max_rows: int = 16000
+    max_rows: int = 12000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,26 +86,30 @@ def learned(options: Ftrl):
     """The Arrow function that turns the fit set into the weights that are not zero; -1 is the bias."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        # Codes lie in one array per slice: few large pieces of memory, which go back to the system.
+        pieces, rows = [], []
         for batch in batches:
             places, ys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b, data, offsets in W.slices(batch.column(1)):
                 code, text = features(data, offsets)
-                order = np.argsort(text, kind="stable")
-                ends = np.searchsorted(text[order], np.arange(b - a + 1))
-                for i in range(b - a):
-                    rows.append((places[a + i], ys[a + i], np.unique(code[order[ends[i] : ends[i + 1]]]).astype(np.int32)))
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
+                each = np.unique((text << BITS) | code)
+                ends = np.searchsorted(each >> BITS, np.arange(b - a + 1))
+                rows += [(places[a + i], ys[a + i], ends[i + 1] - ends[i], len(pieces), ends[i]) for i in range(b - a)]
+                pieces.append((each & ((1 << BITS) - 1)).astype(np.int32))
+        rows.sort()
         model = Learner(options)
         for _ in range(options.epochs):
-            for _, y, at in rows:
-                model.learn(at, y)
-        found = model.weights(np.arange(1 << BITS))
-        at = np.flatnonzero(found)
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(found[at], model.bias()))], names=["code", "weight"]
-            )
+            for _, y, n, piece, start in rows:
+                model.learn(pieces[piece][start : start + n], y)
+        del pieces
+        some = bool(rows)
+        found = model.weights(np.arange(1 << BITS)) if some else np.zeros(0)
+        at, bias = np.flatnonzero(found), model.bias() if some else 0.0
+        weights = found[at]
+        del model, found, rows
+        W.release()
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(weights, bias))], names=["code", "weight"])
 
     return run
 
@@ -113,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: Ftrl = Ftrl(), label_col: s
     """(codes, weights, bias), or None where no row is labelled."""
     ship(docs.sparkSession)
     rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col).repartition(1)
-    found = rows.mapInArrow(learned(options), "code long, weight double").toPandas()
+    found = rows.mapInArrow(W.tidy(learned(options)), "code long, weight double").toPandas()
     if not len(found):
         return None
     codes, weights = found["code"].to_numpy(), found["weight"].to_numpy()
@@ -151,8 +156,7 @@ def score(docs: DataFrame, model, columns: list[str], text_col: str = "text") ->
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(text_col).alias("__text"), *columns)
-    kinds = [f"{f.simpleString().split(':', 1)[0]} {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
-    return picked.mapInArrow(scorer(shared), ", ".join([*kinds, "score double"]))
+    return picked.mapInArrow(W.tidy(scorer(shared)), T.StructType([*picked.schema.fields[1:], T.StructField("score", T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, options: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +165,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, optio
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at = docs.columns.index(text_col)
-    scored = row.mapInArrow(scorer(shared, at), f"row {row.schema['row'].dataType.simpleString()}, score double")
+    scored = row.mapInArrow(W.tidy(scorer(shared, at)), T.StructType([*row.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.where(F.col("score") < threshold).select("row.*")
 
 
