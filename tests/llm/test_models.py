@@ -47,3 +47,11 @@ def test_corner_cases(spark, docs, empty):
         assert a == b
     out = toxicity.drop_toxic(docs.withColumn("score", F.lit("own")), labels, threshold=2.0)
     assert out.columns == [*docs.columns, "score"] and out.count() == docs.count()
+
+
+def test_toxicity_fits_on_up_to_16000_rows(spark):
+    from rillflow.llm.labelled import fit_rows
+
+    labels = spark.range(25000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    docs = labels.selectExpr("doc_id", "'text' as text")
+    assert fit_rows(docs, labels, "toxic", toxicity.Ftrl().max_rows).count() == 16000
