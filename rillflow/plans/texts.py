@@ -190,7 +190,7 @@ def graded_answers(spark, d):
 
 @query("repetition_flags")
 def repetition_flags(spark, d):
-    return docs(spark, d).where("n_chars < 2000").select("doc_id", answers.repetitive_udf("text").alias("repetitive"))
+    return docs(spark, d).select("doc_id", answers.repetitive_udf("text").alias("repetitive"))
 
 
 @query("bleu_scores")

@@ -177,3 +177,29 @@ def test_dispatch_of_rows(spark):
     got = plugins.dispatchers.get("nd_compute")(df, 2, ranks={0: 0, 1: 0, 2: 1, 3: 1})
     assert {r["worker"]: r["count"] for r in got.groupBy("worker").count().collect()} == {0: 3, 1: 3, 2: 3, 3: 3}
     assert plugins.collect(got, {0: True, 2: True, 1: False}).count() == 6
+
+
+def test_long_texts_get_a_repetition_flag(spark, sf_dir):
+    """All documents have a row; long texts against brute force over sorted suffixes."""
+    import random
+
+    from rillflow.plans import registry
+
+    got = {r["doc_id"]: r["repetitive"] for r in registry.queries()["repetition_flags"](spark, sf_dir).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert set(got) == set(docs) and any(len(t) >= 2000 for t in docs.values())
+
+    def brute(s):
+        suffixes = sorted(s[i:] for i in range(len(s)))
+        lcp = 0
+        for a, b in zip(suffixes, suffixes[1:]):
+            lcp += next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        return 2 * lcp / (len(s) * (len(s) + 1)) > 0.2 if len(s) > 1 else False
+
+    some = sorted((i for i in docs if 2000 <= len(docs[i]) < 4000))[:10]
+    assert some and all(got[i] == brute(docs[i]) for i in some)
+    r = random.Random(2)
+    for n in (300, 1200, 2500):
+        one = "".join(r.choice("abcdefgh é") for _ in range(n))
+        for s in (one, one + one, one + one[: n // 3], one[: n // 2] * 3):
+            assert A.repetitive(s) == brute(s)
