@@ -195,8 +195,7 @@ def repetition_flags(spark, d):
 
 @query("bleu_scores")
 def bleu_scores(spark, d):
-    t = docs(spark, d)
-    return t.select("doc_id", r(answers.bleu_udf(F.substring("text", 1, 400), F.substring("text", 20, 400))).alias("bleu"))
+    return docs(spark, d).select("doc_id", r(answers.bleu_udf("text", F.expr("substring(text, 20)"))).alias("bleu"))
 
 
 @query("tolerant_json", """SELECT doc_id, '{"k": ' || doc_id || ', "ok": true}' AS parsed FROM documents""")

@@ -203,3 +203,12 @@ def test_long_texts_get_a_repetition_flag(spark, sf_dir):
         one = "".join(r.choice("abcdefgh é") for _ in range(n))
         for s in (one, one + one, one + one[: n // 3], one[: n // 2] * 3):
             assert A.repetitive(s) == brute(s)
+
+
+def test_bleu_scores_are_of_whole_texts(spark, sf_dir):
+    from rillflow.plans import registry
+
+    got = {r["doc_id"]: r["bleu"] for r in registry.queries()["bleu_scores"](spark, sf_dir).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert any(len(t) > 419 for t in docs.values())
+    assert got == {i: pytest.approx(A.bleu(t, t[19:]), abs=1e-5) for i, t in docs.items()}
