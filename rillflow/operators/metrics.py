@@ -121,24 +121,38 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, vote: str
     import numpy as np
     import pandas as pd
 
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def drawn(total: int, n: int):
+        """Blocks of draws by row. Groups of one size draw alike, so those of small ones are kept."""
+        if (total, n) in known:
+            yield known[total, n]
+            return
+        rng, block = np.random.RandomState(seed), max(1, (1 << 20) // total)
+        if draws <= block and total <= 64:
+            known[total, n] = rng.choice(total, size=(draws, n), replace=True)
+            yield known[total, n]
+            return
+        for a in range(0, draws, block):
+            yield rng.choice(total, size=(min(block, draws - a), n), replace=True)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x = pdf[value].to_numpy(float)
         out, total = [], len(x)
+        codes, kinds = pd.factorize(pdf[vote], use_na_sentinel=False) if vote else (None, ())
         grid = [2**k for k in range(1, 20) if 2**k < total] + [total] if total > 1 else []
         for n in grid:
-            rng = np.random.RandomState(seed)
-            at = np.stack([rng.choice(total, size=n, replace=True) for _ in range(draws)])
-            found = {"best": x[at].max(axis=1), "worst": x[at].min(axis=1)}
-            if vote:
-                codes, _ = pd.factorize(pdf[vote], use_na_sentinel=False)
-                picks = []
-                for row in at:
-                    seen: dict[int, list[int]] = {}
-                    for i in row:
-                        seen.setdefault(codes[i], []).append(i)
-                    picks.append(x[max(seen.values(), key=len)[0]])
-                found["maj"] = np.array(picks)
+            found = {"best": [], "worst": [], **({"maj": []} if vote else {})}
+            for at in drawn(total, n):
+                found["best"].append(x[at].max(axis=1))
+                found["worst"].append(x[at].min(axis=1))
+                if vote:  # the first draw of the vote with most draws, of equals the one drawn first
+                    row = np.arange(len(at))
+                    cell = codes[at] + row[:, None] * len(kinds)
+                    counts = np.bincount(cell.ravel(), minlength=len(at) * len(kinds))
+                    found["maj"].append(x[at[row, counts[cell].argmax(axis=1)]])
+            found = {name: np.concatenate(v) for name, v in found.items()}
             out += [(n, name, float(v.mean()), float(v.std())) for name, v in found.items()]
         frame = pd.DataFrame(out, columns=["n", "name", "mean", "std"])
         for k in keys:

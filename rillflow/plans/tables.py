@@ -243,8 +243,7 @@ def validation_routing(spark, d):
 
 @query("bootstrap_metrics")
 def bootstrap_metrics(spark, d):
-    few = rollouts(spark, d).where("uid < 20")
-    return rounded(metrics.bootstrap(few, ["data_source", "uid"], "score", "id", vote="k", draws=100), "data_source", "uid", "n", "name")
+    return rounded(metrics.bootstrap(rollouts(spark, d), ["data_source", "uid"], "score", "id", vote="k"), "data_source", "uid", "n", "name")
 
 
 @query("majority_vote", f"""WITH {ROLL}, v AS (SELECT uid, data_source, k, count(*) AS c, min(id) AS f, arg_min(score, id) AS s FROM roll GROUP BY ALL)

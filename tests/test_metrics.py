@@ -83,3 +83,32 @@ def test_special_metrics(spark):
 def test_trajectory_index_counts_neighbours(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate("aabba")], "i long, x string")
     assert [r["rollout_n"] for r in X.trajectory_index(df, "x", "i").orderBy("i").collect()] == [0, 1, 0, 1, 0]
+
+
+def test_bootstrap_metrics_cover_all_prompts_with_a_thousand_draws(spark, sf_dir, tmp_path):
+    import numpy as np
+
+    from rillflow.plans import registry
+    from rillflow.plans.frames import rollouts
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.selectExpr("* except (user_id)", "user_id + 15 as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    sf_dir, groups = str(tmp_path), {}
+    for e in rollouts(spark, sf_dir).orderBy("id").collect():
+        groups.setdefault((e["data_source"], e["uid"]), []).append((e["score"], e["k"]))
+    got = {}
+    for g in registry.queries()["bootstrap_metrics"](spark, sf_dir).collect():
+        got.setdefault((g["data_source"], g["uid"]), {})[g["n"], g["name"]] = (g["mean"], g["std"])
+    assert set(got) == {key for key, v in groups.items() if len(v) > 1} and {uid < 20 for _, uid in got} == {True, False}
+    for key in sorted(got)[:3] + sorted(got)[-3:]:
+        scores, votes = zip(*groups[key])
+        for n in {n for n, _ in got[key]}:
+            rng, picks = np.random.RandomState(42), {"best": [], "worst": [], "maj": []}
+            for _ in range(1000):
+                at = [int(i) for i in rng.choice(len(scores), size=n, replace=True)]
+                drawn = [votes[i] for i in at]
+                picks["best"].append(max(scores[i] for i in at))
+                picks["worst"].append(min(scores[i] for i in at))
+                picks["maj"].append(scores[at[drawn.index(max(dict.fromkeys(drawn), key=drawn.count))]])
+            for name, v in picks.items():
+                assert got[key][n, name] == pytest.approx((np.mean(v), np.std(v)), abs=2e-6)
