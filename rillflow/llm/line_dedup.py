@@ -3,7 +3,8 @@
 No Python runs in it. The lines of the corpus never travel: pass one writes 128-bit hashes of the
 normalised lines (id, position, hash); the hashes are counted over distinct documents after a
 map-side combine, so a line that a third of all documents hold is a few rows per task; the
-positions to drop come back per document and meet the text once, by ``doc_id``.
+positions to drop come back per document and meet the text once, by ``doc_id``. That join is told to be
+a sort-merge join, so that the plan is the same at every size; adaptive execution splits its hot partitions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import LOWER, SPACE, UPPER, let, materialise
+from rillflow.llm.common import LOWER, SPACE, UPPER, discard, let, materialise
 
 
 def line_key(line: Column) -> Column:
@@ -42,7 +43,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_c
         "lines",
     )
     frequent = (
-        lines.select(F.coalesce("__id", F.lit(-1)).alias("__id"), F.col("__id").isNull().alias("__none"), "__h1", "__h2")
+        lines.select("__id", "__h1", "__h2")
         .distinct()
         .groupBy("__h1", "__h2")
         .count()
@@ -59,21 +60,23 @@ def drop_repeated_lines(
 
     A line's key strips ``[\\x20\\x09-\\x0D]`` at both ends and lower-cases A-Z; keys of at least
     ``min_chars`` code points found in at least ``min_docs`` documents go, in every document. Null
-    and empty texts are one empty line and come back as the empty text. Rows keep all other columns,
-    repeated rows stay repeated, and an empty table stays empty. ``report`` adds ``n_lines`` and
-    ``n_dropped``.
+    and empty texts are one empty line and come back as the empty text. Ids may be of any type. Rows
+    keep all other columns, repeated rows stay repeated, and an empty table stays empty. Whole texts are
+    read, however long; one text is one row in one task. ``report`` adds ``n_lines`` and ``n_dropped``
+    in place of columns of these names.
     """
     lines, frequent = repeated_lines(docs, min_docs, min_chars, id_col, text_col)
     hits = (
-        lines.join(frequent, ["__h1", "__h2"], "left_semi")
+        lines.join(frequent.hint("merge"), ["__h1", "__h2"], "left_semi")
         .groupBy("__id", "__crc")
         .agg(F.collect_set("__pos").alias("__drop"))
         .select(F.col("__id").alias("__hit_id"), F.col("__crc").alias("__hit_crc"), "__drop")
     )
     hits = materialise(hits, "line-hits")
+    discard(lines, frequent)
     rows = docs.withColumn("__crc", F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
     same = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.col("__crc") == F.col("__hit_crc"))
-    joined = rows.join(hits, same, "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
+    joined = rows.join(hits.hint("merge"), same, "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
 
     def without(lines: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
