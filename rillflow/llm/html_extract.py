@@ -182,10 +182,11 @@ def extract(pages: DataFrame, columns: list[str], html_col: str = "html", model=
     """``columns`` of ``pages`` and ``text``: the main text, blocks in page order joined by an empty line.
 
     A block is a run of inline content between block tags; references are decoded, white space inside
-    becomes one space. Null and empty pages give the empty text. Repeated rows stay; a column of
-    ``pages`` that is named ``text`` can't be among ``columns``.
+    becomes one space. Null and empty pages give the empty text, broken tags and quotes never show in it.
+    Repeated rows stay, an empty table stays empty; a page of any length is read whole, in time that goes
+    with its length. Ids may be of any type; a column named ``text`` among ``columns`` is replaced.
     """
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
-    picked = pages.select(F.col(html_col).alias("__html"), *columns)
+    picked = pages.select(F.col(f"`{html_col}`").alias("__page"), *[F.col(f"`{c}`") for c in columns if c != "text"])
     return picked.mapInArrow(W.tidy(extractor(shared, threshold)), T.StructType([*picked.schema.fields[1:], T.StructField("text", T.StringType())]))

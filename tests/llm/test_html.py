@@ -59,6 +59,47 @@ def test_reader():
     assert len(blocks("<div>" * 5000 + "deep" + "</div>" * 5000)) == 1
 
 
+def test_tags_with_broken_quotes_are_no_text():
+    blocks = lambda page: [t for t in html_tree.read(page).text if t]
+    assert blocks('<div class="x>hello</div>') == ["hello"]
+    assert blocks("<p title=it's>one</p><p>two</p>") == ["one", "two"]
+    # Browsers read on to the next quote of the kind.
+    assert blocks('<div class="x>gone</div><p class="y">two</p>') == ["two"]
+    assert blocks("<p a='1' b=\"2\" c = 3 d/>x<br/>y<p hidden>z") == ["x y", "z"]
+    assert blocks("1 < 2 <3 << 4 </ >5<!-->6<!--->7<!x>8<?y>9<") == ["1 < 2 <3 << 4 56789<"]
+    assert blocks("a<script src='x>'>no</script >b<svg/>c<svg><text>no</text></svg>d<style>p{") == ["abcd"]
+    assert blocks("a<p") == blocks("a<!-- b") == blocks("a<p class='") == blocks("a</p") == ["a"]
+    tree = html_tree.read('<DIV data-class=no CLASS="Side Bar" id=X hidden><p>t')
+    assert tree.names[1] == "class=side bar id=x hidden="
+
+
+def test_no_markup_is_left_whatever_the_page():
+    import random
+
+    r = random.Random(4)
+    parts = [">", "</", "<b", "/>", "p", "div", " class=", '"', "'", "=", " ", "<!--", "-->", "<p>", "</div>", "<script>", "</script>", "Z", "\n", "<a href="]
+    for _ in range(3000):
+        page = "".join(r.choices(parts, k=r.randrange(1, 40)))
+        text = " ".join(html_tree.read(page).text)
+        assert not re.search(r"<(?:/?(?:p|div|script|a)[\s/>]|!)", text), page
+
+
+def test_time_goes_with_the_length_of_the_page():
+    import time
+
+    pages = ["<p title=\"x>word " * 60_000, "<p title='x>" * 80_000, "<!-- a <p> " * 90_000, "<script> x " * 90_000, "<div>" * 100_000 + "<li>a" * 100_000, "<" * 1_000_000, "</p <b " * 150_000]
+    for page in pages:
+        began = time.time()
+        html_tree.read(page)
+        assert time.time() - began < 10 * len(page) / 1e6, page[:20]
+
+
+def test_clashing_and_extra_columns(spark):
+    df = spark.createDataFrame([("k", "own", "<article><h1>Some title</h1>" + "<p>A text that is long enough to be kept here.</p>" * 3 + "</article>", 1)], "page_id string, text string, html string, __html int")
+    out = html_extract.extract(df, ["page_id", "text", "__html"])
+    assert out.columns == ["page_id", "__html", "text"] and out.first()["text"].startswith("Some title\n\nA text")
+
+
 def test_corner_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>Some words that are long enough to be text.</p></article>" * 2), (3, "u", "<p>" + "word " * 50_000)]
     df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
