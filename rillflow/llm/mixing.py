@@ -21,7 +21,7 @@ PIECE, TERMS = 8.0, 60
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
-    """(__part, n_rows, rate): how often each document of a source is to be repeated, on average.
+    """(__part, n_rows, __rate): how often each document of a source is to be repeated, on average.
 
     ``weights`` gives the share of sources in the result, in rows (unnamed ones get none; they need
     not sum to one). Without it a source's share goes with its rows to the power ``temperature``. The
@@ -37,7 +37,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     shared = counts.withColumn("__share", share)
     shares, rows = shared.agg(F.sum("__share"), F.sum("n_rows")).first()
     rate = F.lit(float(epochs) * (rows or 0)) * F.col("__share") / (F.lit(shares or 1.0) * F.col("n_rows"))
-    return shared.select("__part", "n_rows", rate.alias("rate"))
+    return shared.select("__part", "n_rows", rate.alias("__rate"))
 
 
 def cumulative(mean: Column) -> Column:
@@ -77,12 +77,13 @@ def replicate(
 
     The rates of the sources are broadcast after they are counted (a row of them takes about 600 bytes);
     beyond ``max_broadcast_sources`` they are joined by a shuffle in which each source is dealt to 64
-    salts. Null sources are a source of their own, rows that repeat an id get the same draw, an empty
-    table stays empty.
+    salts. Null sources are a source of their own, null ids one id, rows that repeat an id get the same draw,
+    an empty table stays empty. Ids may be of any type. Texts are not looked at, so null, empty and very long
+    ones are repeated like any other. A column ``copy`` of ``docs`` is replaced, all others stay.
     """
     table = materialise(rates(docs, weights, temperature, epochs, source_col), "rates")
-    mean = F.col("rate") / F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1))
-    table = table.select("__part", "rate", cumulative(mean).alias("__cdf"))
+    mean = F.col("__rate") / F.greatest(F.ceil(F.col("__rate") / PIECE), F.lit(1))
+    table = table.select("__part", "__rate", cumulative(mean).alias("__cdf"))
     rows = docs.withColumn("__part", stratum(F.col(source_col)))
     if table.count() <= max_broadcast_sources:
         joined = rows.join(F.broadcast(table), "__part")
@@ -92,8 +93,8 @@ def replicate(
         table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.join(table, ["__part", "__salt"]).drop("__salt")
     key = F.concat_ws(":", F.lit(seed), id_text(F.col(id_col)))
-    drawn = joined.withColumn("__times", repetitions(key, F.col("rate"), F.col("__cdf"))).where("__times > 0")
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__part", "rate", "__cdf", "__times")
+    drawn = joined.withColumn("__times", repetitions(key, F.col("__rate"), F.col("__cdf"))).where("__times > 0")
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__part", "__rate", "__cdf", "__times")
 
 
 def shuffled(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
