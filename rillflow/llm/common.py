@@ -85,6 +85,34 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda one: body(one)), 1)
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def run_hashes(hashes: Column, widths: list[int]) -> Column:
+    """Of an array of hashes: those of all runs of ``widths[0]`` neighbours in order, then of ``widths[1]``, and so on.
+
+    Runs of 2, 4, 8 .. are hashed from two halves each and others put together from these, so that a position costs
+    a few hashes of two numbers and no slice. A width beyond the array gives none.
+    """
+
+    def joined(a: Column, b: Column, gap: int) -> Column:
+        return F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + gap)))
+
+    def of(width: int, powers: dict[int, Column]) -> Column:
+        found, at = None, 0
+        for p in sorted((p for p in powers if width & p), reverse=True):
+            found, at = powers[p] if found is None else joined(found, powers[p], at), at + p
+        return F.slice(found, 1, F.greatest(F.size(found) - (width - 1), F.lit(0)))
+
+    def grow(p: int, powers: dict[int, Column]) -> Column:
+        if 2 * p <= max(widths):
+            return let(joined(powers[p], powers[p], p), lambda b: grow(2 * p, powers | {2 * p: b}))
+        return F.concat(*[of(w, powers) for w in widths])
+
+    return let(hashes, lambda a: grow(1, {1: a})) if widths else F.array().cast("array<bigint>")
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import SPACE, ascii_lower, let, words_of
+from rillflow.llm.common import SPACE, ascii_lower, let, run_hashes, word_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -56,7 +56,8 @@ def n_chars_of(text: Column, chars: str) -> Column:
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words inside a window of ``width`` words that the text holds twice or more, the first included.
 
-    Only texts with a repeated window are sorted; windows are compared by 64-bit hashes, within one text.
+    Only texts with a repeated window are sorted; windows are compared by 64-bit hashes of their words' hashes,
+    within one text.
     """
 
     def spans(hashes: Column) -> Column:
@@ -76,9 +77,8 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         none = F.lit(0).cast("long")
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(let(F.array_sort(let(ordered, twice)), covered))
 
-    last = F.size(words) - width
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, width)))
-    return F.when(last < 1, F.lit(0).cast("long")).otherwise(let(hashed, spans))
+
+    return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(let(run_hashes(word_hashes(words), [width]), spans))
 
 
 def measures(text_col: str = "text") -> dict[str, Column]:
@@ -109,8 +109,9 @@ def failed(rule: Rule) -> Column:
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = BASE, text_col: str = "text") -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept``.
 
-    A null text has no words and so fails the base; ties and repeated rows are judged alike; columns
-    of ``docs`` that share a measure's name are replaced.
+    A null or empty text has no words and so fails the base; whole texts are measured, however long; ties and
+    repeated rows are judged alike; an empty table stays empty; columns of ``docs`` that share a measure's name
+    are replaced.
     """
     base_rules, own = [failed(r) for r in rules if r.name in base], [failed(r) for r in rules if r.name not in base]
     either = lambda found: reduce(lambda a, b: a | b, found, F.lit(False))
@@ -119,8 +120,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[st
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that pass every rule, with their own columns only."""
-    probe = docs.withColumn("__text", F.col(text_col))
-    names = [c for c in docs.columns]
-    renamed = probe.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "__text")
+    """The documents that pass every rule, with their own columns only, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    renamed = docs.select(row.alias("__row"), F.col(f"`{text_col}`").alias("__text"))
     return apply_rules(renamed, text_col="__text", **options).where("kept").select("__row.*")
