@@ -108,7 +108,7 @@ def test_decontamination(docs, rows, empty, spark, sf_dir):
     items = [(1, "Beta GAMMA, delta"), (10, "tied"), (2, None), (3, "..."), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa alpha"), (12, "É a"), (13, "same id another text of a few more words here and on")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert run_hits(docs, bench) == brute_hits(rows, items)
-    assert run_hits(docs, bench, max_broadcast_windows=2) == brute_hits(rows, items)
+    assert run_hits(docs, bench, max_broadcast_bytes=0) == brute_hits(rows, items)
     assert run_hits(docs, bench.limit(0)) == brute_hits(rows, [])
     assert run_hits(empty, bench) == Counter()
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -117,6 +117,21 @@ def test_decontamination(docs, rows, empty, spark, sf_dir):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == {3, 4, 5, 6, 10, 11, None}
 
 
+def test_a_passage_in_every_item_and_a_third_of_the_documents(spark):
+    """The broadcast holds its windows once; documents meet the items as one set."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(f"i{k}", f"own{k} words{k} {passage} end{k}") for k in range(120)] + [(None, passage), ("short", "p1 p2 p3")]
+    rows = [(f"d{k}", (f"start{k} {passage} then x{k} " * (1 + k % 3)) if k % 3 == 0 else f"nothing here {k}", None) for k in range(90)] + [(None, None, None), ("d0", None, None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    named = [("null" if i is None else i, t) for i, t in items]
+    for options in ({}, {"max_broadcast_bytes": 0}):
+        assert run_hits(df, bench, **options) == brute_hits(rows, named)
+    windows, sets = decontaminate.benchmark_windows(bench)
+    assert windows.count() == windows.select("w_words").distinct().count() and decontaminate.broadcast_bytes(windows) < 500 * windows.count()
+    assert sets.agg(F.sum(F.size("items"))).first()[0] < 500
+
+
 def test_remove_spans(spark):
     df = spark.createDataFrame([(1, "Keep this. ALPHA beta, gamma! and this"), (2, None), (3, "nothing")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
@@ -161,7 +176,7 @@ def test_poisson_mixture(docs, empty, spark, sf_dir):
     by = Counter(r["source"] for r in out.collect())
     assert set(by) == {"src0", "src1"} and abs(by["src0"] / sum(by.values()) - 0.75) < 0.02 and abs(sum(by.values()) - 8000) < 400
     # The draw of a document is the inverse of the distribution at its hash.
-    rates = {r["__part"]: r["rate"] for r in mixing.rates(whole, temperature=0.5).collect()}
+    rates = {r["__part"]: r["__rate"] for r in mixing.rates(whole, temperature=0.5).collect()}
     got = Counter(r["doc_id"] for r in mixing.replicate(whole, temperature=0.5, epochs=1.0).collect())
     from math import exp
 
