@@ -41,6 +41,7 @@ class Gam:
     rate: float = 0.15
     shrink: float = 5.0
     max_rows: int = 8000
+    max_bytes: int = 128 << 20
 
 
 def _stops() -> np.ndarray:
@@ -202,7 +203,7 @@ def add_up(x: np.ndarray, model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, options: Gam = Gam(), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"):
     ship(docs.sparkSession)
-    rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col)
+    rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col, options.max_bytes)
     schema = "place long, y int, " + ", ".join(f"{n} double" for n in NAMES)
     found = rows.mapInArrow(W.tidy(featured), schema).toPandas().sort_values(["place", "y", *NAMES])
     return fit_tables(found[list(NAMES)].to_numpy(), found["y"].to_numpy().astype(float), options)
@@ -221,11 +222,17 @@ def scorer(shared):
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): 0 to 1, higher where label 1 is likelier; null and empty texts count as texts without words; without a model 0."""
+    """(id, score): 0 to 1, higher where label 1 is likelier.
+
+    Null and empty texts count as texts without words; whole texts are scored, however long; equal texts score
+    alike, repeated rows stay, an empty table stays empty; without a model all scores are 0. Ids may be of any
+    type and name but ``score``; no other column is read.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(text_col).alias("__text"), id_col)
-    return picked.mapInArrow(W.tidy(scorer(shared)), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, score double")
+    picked = docs.select(F.col(f"`{text_col}`").alias("__text"), F.col(f"`{id_col}`").alias("__id"))
+    out = picked.mapInArrow(W.tidy(scorer(shared)), f"__id {picked.schema['__id'].dataType.simpleString()}, score double")
+    return out.withColumnRenamed("__id", id_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, options: Gam = Gam()) -> DataFrame:

@@ -21,39 +21,51 @@ from rillflow.llm.labelled import fit_rows, held_out
 from rillflow.session import ship
 
 BITS = 20
+#: The first coordinate of runs and skips.
+RUNS = 1 << (BITS - 1)
 #: Separators: all ASCII but letters and digits.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-HEADS = (4, 5, 6)
 _PAIR = [(int(a) | 1, int(b) | 1) for a, b in W.constants(21, 6).reshape(3, 2)]
+_TRIPLE = W.constants(22, 3) | W.U64(1)
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.3
+    """Rates, penalties, turns over the fit set, the weight of a toxic row, and the bounds of the fit set.
+
+    A strong L1 with several turns and a large rate keeps a few hundred coordinates, with weights that carry
+    a text over the threshold even where one of them stands alone. Single words have the value 1, runs and skips
+    ``run_value``: there are many more of them, and a smaller value is a stronger L1.
+    """
+
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 5.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 12.0
+    l2: float = 0.0
+    epochs: int = 8
+    toxic_weight: float = 3.0
+    run_value: float = 0.3
     max_rows: int = 16000
+    max_bytes: int = 128 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(coordinate, text) of words, their first 4, 5 and 6 bytes (so that inflected forms meet), pairs of neighbours and pairs that skip one or two words."""
+    """(coordinate, text) of words (the lower half), and of runs of two and three words and pairs that skip one or two."""
     found = W.find(data, offsets, APART)
     h, owner = found.hashes(), found.owner()
-    cut = W.U64(64 - BITS)
+    cut = W.U64(65 - BITS)
     codes, texts = [h >> cut], [owner]
-    for size in HEADS:
-        codes.append(W.mix(found.heads(size)) >> cut)
-        texts.append(owner)
     with np.errstate(over="ignore"):
         for gap, (a, b) in enumerate(_PAIR, start=1):
             n = len(h) - gap
             if n > 0:
                 same = owner[:n] == owner[gap:]
                 pair = W.mix(h[:n] * W.U64(a) + h[gap:] * W.U64(b) + W.U64(gap))
-                codes.append((pair >> cut)[same])
+                codes.append(((pair >> cut) + W.U64(RUNS))[same])
                 texts.append(owner[:n][same])
+    triples, whose = W.runs(h, found.first, 3, _TRIPLE)
+    codes.append((triples >> cut) + W.U64(RUNS))
+    texts.append(whose)
     return np.concatenate(codes).astype(np.int64), np.concatenate(texts)
 
 
@@ -72,18 +84,21 @@ class Learner:
     def bias(self) -> float:
         return -self.zb / ((self.o.beta + self.nb**0.5) / self.o.alpha)
 
+    def values(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at < RUNS, 1.0, self.o.run_value)
+
     def learn(self, at: np.ndarray, y: int) -> None:
-        w, b, a = self.weights(at), self.bias(), self.o.alpha
-        g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y
-        n = self.n[at]
+        w, b, a, x = self.weights(at), self.bias(), self.o.alpha, self.values(at)
+        e = (self.o.toxic_weight if y else 1.0) * (1 / (1 + np.exp(-np.clip(w @ x + b, -35, 35))) - y)
+        g, n = e * x, self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / a * w
         self.n[at] = n + g * g
-        self.zb += g - ((self.nb + g * g) ** 0.5 - self.nb**0.5) / a * b
-        self.nb += g * g
+        self.zb += e - ((self.nb + e * e) ** 0.5 - self.nb**0.5) / a * b
+        self.nb += e * e
 
 
 def learned(options: Ftrl):
-    """The Arrow function that turns the fit set into the weights that are not zero; -1 is the bias."""
+    """The Arrow function that turns the fit set into what each coordinate adds to a score, where that is not zero; -1 is the bias."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Codes lie in one array per slice: few large pieces of memory, which go back to the system.
@@ -103,10 +118,11 @@ def learned(options: Ftrl):
                 model.learn(pieces[piece][start : start + n], y)
         del pieces
         some = bool(rows)
-        found = model.weights(np.arange(1 << BITS)) if some else np.zeros(0)
+        every = np.arange(1 << BITS)
+        found = model.weights(every) * model.values(every) if some else np.zeros(0)
         at, bias = np.flatnonzero(found), model.bias() if some else 0.0
         weights = found[at]
-        del model, found, rows
+        del model, every, found, rows
         W.release()
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(weights, bias))], names=["code", "weight"])
@@ -115,9 +131,9 @@ def learned(options: Ftrl):
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: Ftrl = Ftrl(), label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
-    """(codes, weights, bias), or None where no row is labelled."""
+    """(codes, weights, bias), or None where no row is labelled. The fit set is :func:`rillflow.llm.labelled.fit_rows`."""
     ship(docs.sparkSession)
-    rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col).repartition(1)
+    rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col, options.max_bytes).repartition(1)
     found = rows.mapInArrow(W.tidy(learned(options)), "code long, weight double").toPandas()
     if not len(found):
         return None
@@ -152,15 +168,24 @@ def scorer(shared, field: int | None = None):
 
 
 def score(docs: DataFrame, model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` and ``score`` (0 to 1). Null and empty texts get the bias alone; without a model all scores are 0."""
+    """``columns`` of ``docs`` and ``score`` (0 to 1).
+
+    Null and empty texts get the bias alone; whole texts are scored, however long; equal texts score alike, repeated
+    rows stay, an empty table stays empty; without a model all scores are 0. A column named ``score`` among
+    ``columns`` is replaced.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(text_col).alias("__text"), *columns)
+    picked = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in columns if c != "score"])
     return picked.mapInArrow(W.tidy(scorer(shared)), T.StructType([*picked.schema.fields[1:], T.StructField("score", T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, options: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay, whatever their names."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay, whatever their names.
+
+    Rows are judged one by one by their whole text: null and empty texts by the bias alone, repeated rows alike. An
+    empty table stays empty; without labels nothing goes.
+    """
     model = fit(docs, labels, options, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -103,10 +103,6 @@ class Words:
             h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
             return mix(h + (self.ends - self.starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
-    def heads(self, size: int) -> np.ndarray:
-        """A hash of the first ``size`` bytes of each word, told apart from that of a whole word."""
-        return Words(self.data, self.starts, np.minimum(self.starts + size, self.ends), self.first, self.offsets).hashes() ^ U64(size)
-
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
