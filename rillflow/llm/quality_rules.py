@@ -73,9 +73,9 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
             own = F.transform(at, lambda p, i: F.least(F.lit(width), F.coalesce(F.get(at, i + 1) - p, F.lit(width))))
             return F.aggregate(own, F.lit(0), lambda a, n: a + n).cast("long")
 
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         none = F.lit(0).cast("long")
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(let(F.array_sort(let(ordered, twice)), covered))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(let(F.sort_array(let(ordered, twice)), covered))
 
 
     return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(let(run_hashes(word_hashes(words), [width]), spans))
