@@ -8,18 +8,24 @@
    for its hub: as many candidates as bucket entries, never all pairs. Candidates pass when their
    signatures agree (far below the threshold, so that no true link is lost) and are then confirmed on
    the full sets. Components of confirmed links by alternating large-star and small-star.
-4. What hubs could not decide: buckets with several components among the members that are no hub.
-   They are dealt in block pairs of bounded size; each pair of members of different components is
-   compared in the first bucket it shares, by signature, then on the full sets, until links join
-   the two. A block pair yields fewer links than it has members. Components are then found again.
+4. What hubs could not decide: buckets with several components among the members that are no hub. Their
+   signatures, not their texts, are dealt in block pairs of bounded size. Each block pair names candidates
+   that would join its components if they all held: fewer than it has members. They are confirmed as
+   under 3, and components are found again.
+5. What is still open: members whose signature agrees with that of a member of another component. Only
+   their texts are dealt, in block pairs that are bounded in rows and in bytes; pairs of different components
+   are compared on the full sets in the first bucket they share, until links join the two. A block pair
+   yields fewer links than it has members. Components are found a last time.
 
 No step gathers a bucket or a component into one task, and nothing of the corpus goes to the driver
-but counts. Each step writes to the shared scratch folder, so a lost executor repeats tasks only.
+but counts. Each step writes to the shared scratch folder, so a lost executor repeats tasks only. Joins
+are told to be sort-merge joins: the same plan at every size, whose hot partitions are split.
 
 Rules: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer words than a shingle are one shingle;
-texts without words have an empty set and no links. Rows that repeat a ``doc_id`` with another text
-are judged by their own texts, but classes of equal sets that have the same smallest id share a
-vertex. Rows without an id are linked with nothing and kept.
+null and empty texts and texts without words have an empty set and no links; whole texts are read, however
+long. Ids are of any type that has an order. Rows that repeat a ``doc_id`` with another text are judged by
+their own texts, but classes of equal sets that have the same smallest id share a vertex. Rows without an
+id are linked with nothing and kept. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
@@ -43,9 +49,13 @@ U64 = np.uint64
 class Plan:
     """Shingle width, similarity (``num``/``den``), bands x rows of minima and the signature test.
 
-    With 30 bands of 7 rows a pair at 0.85 shares no bucket once in 100,000 times, at 0.9 once in
-    10 million. ``least_agree`` of the first ``n_sign`` minima must be equal: a pair at 0.85 fails
-    that (more than 5 standard deviations below its mean) less than once in 10 million times.
+    With 30 bands of 7 rows a pair at 0.85 shares no bucket once in 110,000 times, at 0.9 once in
+    300 million, if minima are independent. ``least_agree`` of the first ``n_sign`` minima must be equal: a pair
+    at 0.85 fails that (more than 5 standard deviations below its mean) less than once in 10 million
+    times. ``tests/llm/test_near.py`` measures both.
+
+    Blocks of undecided buckets hold ``block`` rows, and more, up to ``most``, where a bucket would need over
+    16 of them; blocks of texts also ``block_bytes`` of texts and sets at most, on average.
     """
 
     width: int = 5
@@ -54,7 +64,9 @@ class Plan:
     bands: int = 30
     rows: int = 7
     n_sign: int = 160
-    block: int = 512
+    block: int = 128
+    most: int = 4096
+    block_bytes: int = 32 << 20
 
     @property
     def least_agree(self) -> int:
@@ -165,7 +177,7 @@ def similar(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_text, hub_set = None, None, None
         for batch in batches:
-            v, text_v = batch.column(1).to_numpy(), batch.column(3)
+            v, text_v = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3)
             keep = np.zeros(batch.num_rows, bool)
             for a, b, data, offsets in W.slices(batch.column(2)):
                 for i, own in enumerate(shingle_sets(data, offsets, plan.width), start=a):
@@ -181,19 +193,20 @@ def similar(plan: Plan):
 
 def confirm(edges: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The candidates (u, v) of ``edges`` that hold on their signatures and then on their full sets."""
+    kind = edges.schema["u"].dataType.simpleString()
     signs = classes.select("rep", "sign")
-    signed = edges.join(signs.select(F.col("rep").alias("u"), F.col("sign").alias("su")), "u")
-    signed = signed.join(signs.select(F.col("rep").alias("v"), F.col("sign").alias("sv")), "v").select("u", "v", "su", "sv")
-    likely = materialise(signed.mapInArrow(W.tidy(agreeing(plan.least_agree)), "u long, v long"), "likely")
-    paired = likely.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u")
-    paired = paired.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
-    links = materialise(paired.mapInArrow(W.tidy(similar(plan)), "u long, v long").distinct(), "links")
+    signed = edges.join(signs.select(F.col("rep").alias("u"), F.col("sign").alias("su")).hint("merge"), "u")
+    signed = signed.join(signs.select(F.col("rep").alias("v"), F.col("sign").alias("sv")).hint("merge"), "v").select("u", "v", "su", "sv")
+    likely = materialise(signed.mapInArrow(W.tidy(agreeing(plan.least_agree)), f"u {kind}, v {kind}"), "likely")
+    paired = likely.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")).hint("merge"), "u")
+    paired = paired.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")).hint("merge"), "v").select("u", "v", "tu", "tv")
+    links = materialise(paired.mapInArrow(W.tidy(similar(plan)), f"u {kind}, v {kind}").distinct(), "links")
     discard(likely)
     return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every vertex of ``links`` (u, v): root is the smallest vertex of its component.
+    """(id, root) for every vertex of ``links`` (u, v), written: root is the smallest vertex of its component.
 
     Alternating large-star and small-star; each turn is three aggregates by a vertex with a map-side
     combine and a join that adaptive execution splits where a star is large. Ends when a turn changes
@@ -209,9 +222,9 @@ def components(links: DataFrame) -> DataFrame:
     while now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low.hint("merge"), "u")
         turned = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         older, edges = edges, materialise(turned.select("e.u", "e.v").where("u > v").distinct(), "edges")
         discard(older)
@@ -219,56 +232,131 @@ def components(links: DataFrame) -> DataFrame:
         if before == now:
             break
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    found = materialise(roots.select(F.col("u").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct()), "roots")
+    discard(edges)
+    return found
+
+
+class Block:
+    """The members of a block pair of a bucket, in the order of their ids."""
+
+    def __init__(self, key, table, plan: Plan):
+        rep = table.column("rep").to_numpy()
+        self.table = table.take(pa.array(np.argsort(rep, kind="stable")))
+        self.rep, root, self.side = (self.table.column(c).to_numpy() for c in ("rep", "root", "side"))
+        self.n, self.plan, band = len(rep), plan, table.column("band")[0].as_py()
+        self.signs = np.frombuffer(b"".join(self.table.column("sign").to_pylist()), np.uint16).reshape(self.n, -1)
+        self.earlier = np.array(self.table.column("bands").to_pylist(), np.int64).reshape(self.n, -1)[:, :band]
+        self.group = np.unique(root, return_inverse=True)[1]
+        self.sizes = self.table.column("n").to_numpy()
+        self.alone = key[1].as_py() == key[2].as_py()
+
+    def agreeing(self, i: int) -> np.ndarray:
+        """The later members of other components and of the other side that are alike in size and signature and share no earlier bucket, the likeliest first."""
+        plan, other = self.plan, np.arange(i + 1, self.n)
+        other = other[(self.group[other] != self.group[i]) & (self.alone | (self.side[other] != self.side[i]))]
+        small, large = np.minimum(self.sizes[other], self.sizes[i]), np.maximum(self.sizes[other], self.sizes[i])
+        other = other[plan.den * small >= plan.num * large]
+        agree = (self.signs[other] == self.signs[i]).sum(axis=1)
+        keep = (agree >= plan.least_agree) & ~(self.earlier[other] == self.earlier[i]).any(axis=1)
+        return other[keep][np.argsort(-agree[keep], kind="stable")]
+
+    def join(self, i: int, j: int) -> None:
+        self.group[self.group == self.group[j]] = self.group[i]
+
+    def pairs(self, found: list[tuple[int, int]]):
+        kind = self.table.schema.field("rep").type
+        us, vs = ([f(self.rep[i], self.rep[j]) for i, j in found] for f in (max, min))
+        return pa.table({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
+
+
+def spanning(plan: Plan):
+    """Candidates of a block pair that would join its components if all of them held: fewer than it has members."""
+
+    def run(key, table):
+        block, found = Block(key, table, plan), []
+        for i in range(block.n):
+            for j in block.agreeing(i):
+                if block.group[j] != block.group[i]:
+                    found.append((i, j))
+                    block.join(i, j)
+        return block.pairs(found)
+
+    return run
+
+
+def still_open(plan: Plan):
+    """(bucket, rep) of the members of a block pair with an agreeing member of another component."""
+
+    def run(key, table):
+        block = Block(key, table, plan)
+        some = np.zeros(block.n, bool)
+        for i in range(block.n):
+            other = block.agreeing(i)
+            some[other] = True
+            some[i] |= len(other) > 0
+        return block.table.filter(pa.array(some)).select(["bucket", "rep"])
+
+    return run
 
 
 def undecided(plan: Plan):
-    """Links between members of a block pair of a bucket that belong to different components.
+    """Links between members of a block pair that belong to different components, by their full sets.
 
     A pair is looked at in the first bucket it shares only, and only while no link found here joins the
-    two already; it is a link if signatures agree and the full sets are similar enough. So a block pair
-    yields fewer links than it has members, whatever their number of similar pairs.
+    two already. So a block pair yields fewer links than it has members, whatever their number of similar pairs.
     """
 
     def run(key, table):
-        rep, root, side = (table.column(c).to_numpy() for c in ("rep", "root", "side"))
-        order = np.argsort(rep, kind="stable")
-        table, rep, root, side = table.take(pa.array(order)), rep[order], root[order], side[order]
-        n, band = len(rep), table.column("band")[0].as_py()
-        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(n, -1)
-        earlier = np.array(table.column("bands").to_pylist(), np.int64).reshape(n, -1)[:, :band]
+        block, found = Block(key, table, plan), []
         sets: list[np.ndarray] = []
-        for _, _, data, offsets in W.slices(table.column("text")):
+        for _, _, data, offsets in W.slices(block.table.column("text")):
             sets += shingle_sets(data, offsets, plan.width)
-        sizes = np.array([len(s) for s in sets])
-        _, group = np.unique(root, return_inverse=True)
-        alone = key[1].as_py() == key[2].as_py()
-        us, vs = [], []
-        for i in range(n):
-            other = np.arange(i + 1, n)
-            other = other[(group[other] != group[i]) & (alone | (side[other] != side[i]))]
-            other = other[(plan.den * np.minimum(sizes[other], sizes[i]) >= plan.num * np.maximum(sizes[other], sizes[i]))]
-            agree = (signs[other] == signs[i]).sum(axis=1)
-            keep = (agree >= plan.least_agree) & ~(earlier[other] == earlier[i]).any(axis=1)
-            other, agree = other[keep], agree[keep]
-            for j in other[np.argsort(-agree, kind="stable")]:
-                if group[j] == group[i]:
+        for i in range(block.n):
+            for j in block.agreeing(i):
+                if block.group[j] == block.group[i]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if plan.den * both >= plan.num * (sizes[i] + sizes[j] - both):
-                    us.append(max(rep[i], rep[j]))
-                    vs.append(min(rep[i], rep[j]))
-                    group[group == group[j]] = group[i]
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+                if plan.den * both >= plan.num * (len(sets[i]) + len(sets[j]) - both):
+                    found.append((i, j))
+                    block.join(i, j)
+        return block.pairs(found)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``."""
+def dealt(members: DataFrame, blocks: Column, carried: list[str]) -> DataFrame:
+    """Members (bucket, rep, ..) once for each pair (i, j) of blocks of their bucket that theirs is in, and the side they are on."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    pair = F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")),
+    )
+    return own.select(*carried, F.explode(pair).alias("p")).select(*carried, "p.i", "p.j", "p.side")
+
+
+def block_count(plan: Plan, size: Column, volume: Column | None = None) -> Column:
+    """How many blocks a bucket of ``size`` members is dealt in: ``block`` rows each, ``most`` rows where that makes over 16."""
+    blocks = F.least(F.ceil(size / plan.block), F.greatest(F.lit(16), F.ceil(size / plan.most)))
+    return (blocks if volume is None else F.greatest(blocks, F.ceil(volume / plan.block_bytes))).cast("int")
+
+
+def unsettled(members: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(members that are no hub, of buckets where these have several components, with root, n, bands and sign; tables to discard)."""
+    rooted = members.where("size > 2 and rep <> hub").join(roots.select(F.col("id").alias("rep"), "root").hint("merge"), "rep", "left")
+    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
+    # The hub stood for its pairs already, so two components among the others make a bucket undecided.
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    undone = rooted.join(mixed.hint("merge"), "bucket", "left_semi")
+    return undone.join(classes.select("rep", "n", "bands", "sign").hint("merge"), "rep"), [rooted]
+
+
+def judge(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, n, root) of every row, and the tables it reads."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, h1 long, h2 long, bands array<long>, sign binary"
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n long, h1 long, h2 long, bands array<long>, sign binary"
     prints = materialise(source.mapInArrow(W.tidy(fingerprints(plan)), schema), "prints")
     named = prints.where("n > 0 and id is not null")
     classes = materialise(
@@ -277,7 +365,6 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
         .select("h1", "h2", "n", F.col("x.id").alias("rep"), "members", F.col("x.bands").alias("bands"), F.col("x.sign").alias("sign")),
         "classes",
     )
-    # Joins of the corpus are told to be shuffled: what fits a broadcast at one size does not at the next.
     entries = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = materialise(entries.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = materialise(entries.join(shared.hint("merge"), "bucket"), "members")
@@ -286,43 +373,59 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
     texts = materialise(texts, "texts")
     first = members.where("rep > hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     links = confirm(first, classes, texts, plan)
-    roots = materialise(components(links), "roots")
-
-    # Buckets that hubs did not decide. The hub stood for its pairs already, so two components among the others make one.
-    rooted = members.where("size > 2 and rep <> hub").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = materialise(rooted, "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    mixed = materialise(mixed, "mixed")  # of known size: broadcast if small, else a join whose large partitions are split
-    undone = rooted.join(mixed, "bucket", "left_semi")
-    undone = undone.join(classes.select("rep", "bands", "sign"), "rep").join(texts, "rep")
-    blocks = F.ceil(F.col("size") / plan.block).cast("int")
-    undone = undone.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    pair = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")),
-    )
-    carried = ["bucket", "band", "rep", "root", "bands", "sign", "text"]
-    dealt = undone.select(*carried, F.explode(pair).alias("p")).select(*carried, "p.i", "p.j", "p.side")
-    more = materialise(dealt.groupBy("bucket", "i", "j").applyInArrow(undecided(plan), "u long, v long").distinct(), "more-links")
-    if not more.isEmpty():
-        roots = materialise(components(links.unionByName(more)), "roots")
-    discard(shared, members, texts, links, rooted, mixed, more)
+    roots = components(links)
+
+    carried = ["bucket", "band", "rep", "root", "n", "bands", "sign"]
+    pairs = f"u {kind}, v {kind}"
+    undone, used = unsettled(members, roots, classes)
+    signed = dealt(undone, block_count(plan, F.col("size")), carried).groupBy("bucket", "i", "j")
+    likely = materialise(signed.applyInArrow(spanning(plan), pairs).distinct(), "spanning")
+    discard(*used)
+    if not likely.isEmpty():
+        more = confirm(likely, classes, texts, plan)
+        links, used = materialise(links.unionByName(more), "links"), [links, more, roots]
+        roots = components(links)
+        undone, now = unsettled(members, roots, classes)
+        signed = dealt(undone, block_count(plan, F.col("size")), carried).groupBy("bucket", "i", "j")
+        opened = materialise(signed.applyInArrow(still_open(plan), f"bucket long, rep {kind}").distinct(), "open")
+        weighed = opened.join(classes.select("rep", "n").hint("merge"), "rep").groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum(F.lit(16) * F.col("n")).alias("volume"))
+        undone = undone.join(opened.hint("merge"), ["bucket", "rep"], "left_semi").join(weighed.hint("merge"), "bucket")
+        undone = undone.join(texts.hint("merge"), "rep")
+        blocks = dealt(undone, block_count(plan, F.col("left"), F.col("volume")), [*carried, "text"]).groupBy("bucket", "i", "j")
+        last = materialise(blocks.applyInArrow(undecided(plan), pairs).distinct(), "last-links")
+        if not last.isEmpty():
+            used.append(roots)
+            roots = components(links.unionByName(last))
+        discard(*used, *now, opened, last)
+    discard(shared, members, texts, links, likely)
 
     # Only classes with several documents or another root than their own change anything.
-    moved = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 or root is not null")
+    moved = classes.join(roots.select(F.col("id").alias("rep"), "root").hint("merge"), "rep", "left").where("members > 1 or root is not null")
+    moved = materialise(moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "moved")
+    discard(classes, roots)
     salts = 16
-    moved = moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = moved.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     judged = prints.select("id", "n", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    judged = judged.join(moved.hint("merge"), ["h1", "h2", "n", "salt"], "left")
+    judged = judged.join(salted.hint("merge"), ["h1", "h2", "n", "salt"], "left")
     root = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("id"))
-    out = judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return judged.select("id", "n", root.alias("root")), [prints, moved]
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``."""
+    out = judge(docs, plan, id_col, text_col)[0]
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept")
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan = DROPPING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are near copies of one with a smaller id; all columns stay.
 
-    All rows of an id go if one of them does.
+    All rows of an id go if one of them does. Documents without words or without an id stay, an empty table stays
+    empty, columns may have any other names.
     """
-    gone = near_duplicates(docs, plan, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(materialise(gone, "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    judged, used = judge(docs, plan, id_col, text_col)
+    gone = materialise(judged.where("id <> root").select(F.col("id").alias("__gone")).distinct(), "gone")
+    discard(*used)
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

@@ -63,8 +63,8 @@ def test_documents(spark, sf_dir):
     assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_group_of_near_copies_of_which_few_are_near_each_other(spark, block):
+@pytest.mark.parametrize("options", [{}, {"block": 8}, {"block": 8, "block_bytes": 20_000}, {"block": 2, "most": 5}])
+def test_group_of_near_copies_of_which_few_are_near_each_other(spark, options):
     """Copies of one text with 1 to 9 words changed, in short chains: hubs alone don't find all links."""
     import random
 
@@ -77,10 +77,66 @@ def test_group_of_near_copies_of_which_few_are_near_each_other(spark, block):
             text[j] = f"x{r.randrange(10**6)}"
         rows.append((1000 + (i * 37) % 120, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    plan = near_dedup.Plan(block=block)
+    plan = near_dedup.Plan(**options)
     assert run(df, plan=plan) == brute(rows)
 
 
+def test_large_bucket_of_long_texts_that_are_hardly_near(spark):
+    """Long texts of one template, most of them just under the threshold: all in shared buckets, few linked."""
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for j in r.sample(range(4000), 30 + 5 * (i % 12)):
+            text[j] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 1 < sum(r[3] for r in want) < 60
+    assert run(df, plan=near_dedup.Plan(block=16, block_bytes=200_000)) == want
+
+
+def measured(similarity, pairs, plan=near_dedup.PRODUCTION, union=200, seed=0):
+    """How many pairs of sets of exactly this similarity share no bucket, and how many fail the signature test."""
+    import numpy as np
+
+    k = plan.bands * plan.rows
+    mult = (near_dedup.W.constants(7, k) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    add = (near_dedup.W.constants(8, k) >> np.uint64(32)).astype(np.uint32)
+    both = round(similarity * union)
+    one = (union - both) // 2
+    r, apart, unlike = np.random.default_rng(seed), 0, 0
+    for _ in range(pairs):
+        x = r.integers(0, 2**63, union, dtype=np.uint64)
+        a, b = (near_dedup.minima(s, mult, add) for s in (x[: both + one], np.concatenate([x[:both], x[both + one :]])))
+        same = a == b
+        apart += not same.reshape(plan.bands, plan.rows).all(axis=1).any()
+        unlike += (a[: plan.n_sign].astype(np.uint16) == b[: plan.n_sign].astype(np.uint16)).sum() < plan.least_agree
+    return apart, unlike
+
+
+def test_pairs_at_the_threshold_share_a_bucket_and_agree():
+    for similarity in (0.85, 0.87):
+        assert measured(similarity, 4000) == (0, 0)
+    assert measured(0.8, 4000, near_dedup.DROPPING) == (0, 0)
+    assert measured(0.5, 200)[1] == 200  # and others don't
+
+
+def test_ids_of_any_type(spark, rows):
+    named = [(None if r[0] is None else f"id{r[0]}", r[1]) for r in rows]
+    df = spark.createDataFrame(named, "doc_id string, text string")
+    out = near_dedup.near_duplicates(df)
+    assert out.schema["component_id"].dataType.simpleString() == "string"
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(named)
+    kept = near_dedup.drop_near_duplicates(df)
+    assert {r[0] for r in kept.collect()} == {f"id{i}" for i in (1, 3, 4, 5, 6, 8, 9, 10, 11)} | {None}
+    whole = df.selectExpr("cast(substring(doc_id, 3) as int) as doc_id", "text")
+    assert run(whole) == brute([(None if i is None else int(i[2:]), t) for i, t in named])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(10, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(7, 7)]
     df = spark.createDataFrame(edges, "u long, v long")
