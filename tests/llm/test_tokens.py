@@ -47,3 +47,23 @@ def test_small_vocabularies_with_unknown_words(spark):
         pieces = [b" "] * r.randrange(2) + [bytes(r.choice(b" abc") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 25))]
         rows = [(i, " ".join("".join(r.choice("abcA") for _ in range(r.randrange(1, 12))) for _ in range(r.randrange(6)))) for i in range(60)]
         check(spark.createDataFrame(rows, "doc_id long, text string"), rows, pieces)
+
+
+def test_words_of_a_whole_text(spark):
+    """1 MB without white space, and many long words together: counted right, in time that goes with the length."""
+    import time
+
+    r = random.Random(6)
+    letters = "etaoinshrdluabcdefghijklmnopqrstuvwxyz0123456789é漢"
+    pieces = set(token_counts.load_pieces(VOCABULARY))
+    longest = max(map(len, pieces))
+    for words in ([1_000_000], [30_000] * 12 + [3] * 500, [400] * 200, [7] * 30):
+        text = " ".join("".join(r.choices(letters, k=k)) for k in words)
+        data = token_counts.np.frombuffer(text.encode(), token_counts.np.uint8)
+        found = token_counts.W.find(data, token_counts.np.array([0, len(data)]))
+        automaton = token_counts.Automaton(pieces)
+        automaton.plain()
+        began = time.time()
+        got = automaton.count(data, found.starts, found.ends)
+        assert time.time() - began < 3
+        assert got.tolist() == [greedy(b" " + w.encode(), pieces, longest) for w in text.split()]
