@@ -204,6 +204,25 @@ def m_mean(v: str, m: str = "mask") -> Column:
     return m_sum(v, m) / (F.sum(m) + double(EPS))
 
 
+def masked_var(df: DataFrame, value: str, mask: str = "mask", unbiased: bool = True) -> DataFrame:
+    """One row (mean, var): the masked mean, and the variance about it over the mask's places, by n - 1 where ``unbiased``.
+
+    Raises at run time where the mask has no place, or with ``unbiased`` fewer than two.
+    """
+    centred = with_totals(df, m_mean(value, mask).alias("__mean"), F.sum(mask).alias("__n"))
+    centred = centred.withColumn("__sq", F.pow(F.col(value) - F.col("__mean"), 2.0))
+    found = centred.agg(F.first("__mean").alias("mean"), m_mean("__sq", mask).alias("var"), F.first("__n").cast("double").alias("n"))
+    least = 1 if unbiased else 0
+    n = F.when(F.col("n") > least, F.col("n")).otherwise(F.raise_error(F.lit(f"the mask has {least} places or fewer")).cast("double"))
+    return found.select("mean", (F.col("var") * n / (n - 1) if unbiased else F.when(n > 0, F.col("var"))).alias("var"))
+
+
+def batch_stats(df: DataFrame, value: str, mask: str | None = None) -> DataFrame:
+    """One row (mean, max, min, std): of all values, or of those under the mask; the deviation by n - 1. Partial results meet once."""
+    v = F.col(value) if mask is None else F.when(F.col(mask) != 0, F.col(value))
+    return df.agg(F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.stddev_samp(v).alias("std"))
+
+
 def whiten(df: DataFrame, value: str, mask: str = "mask", shift_mean: bool = True, out: str | None = None) -> DataFrame:
     """Values less the masked mean, over the root of the masked sample variance plus 1e-8; all places, masked or not.
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from rillflow.scratch import materialise
 
 #: Low bits of ``monotonically_increasing_id`` that number rows within a partition.
 _LOCAL = (1 << 33) - 1
@@ -16,40 +19,38 @@ def _orders(order_by) -> list:
     return list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
 
 
+def ranged(df: DataFrame, order_by) -> DataFrame:
+    """``df`` in a total order, written once to the scratch folder: ``__p`` numbers the range partitions, ``__l`` the rows of each from 0."""
+    tagged = df.orderBy(*_orders(order_by)).withColumn("__m", F.monotonically_increasing_id())
+    return materialise(tagged.withColumns({"__p": F.shiftright("__m", 33), "__l": F.col("__m").bitwiseAND(F.lit(_LOCAL))}).drop("__m"), "ranged")
+
+
+def before(parts: DataFrame, value: str) -> DataFrame:
+    """(__p, __before): the sum of ``value`` over the range partitions before each. There is one row per partition, a few thousand at most."""
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("__p", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("__before"))
+
+
 def row_index(df: DataFrame, order_by, name: str = "row_idx") -> DataFrame:
     """Dense row numbers from 0 in a total order, without one task for all rows.
 
-    Rows are range-sorted; a row's number is its place in its partition plus the rows of the partitions
-    before. Only those counts, one per partition, are gathered. Columns in ``order_by`` must tell all rows apart
-    where the numbers are to be the same in every run.
+    Rows are range-sorted and written once to the scratch folder; a row's number is its place in its partition plus the
+    rows of the partitions before, which are counted from the written table and broadcast (a row per partition).
+    Nothing is gathered on the driver and nothing stays in executors' memory. Columns in ``order_by`` must tell all rows
+    apart where the numbers are to be the same in every run.
     """
-    tagged = df.orderBy(*_orders(order_by)).withColumn("__m", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("__m", 33)
-    counts = sorted((r[0], r[1]) for r in tagged.groupBy(part.alias("p")).count().collect())
-    before, starts = 0, {}
-    for p, n in counts:
-        starts[p] = before
-        before += n
-    offset = F.lit(0).cast("long")
-    if starts:
-        offset = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]), part).cast("long")
-    return tagged.withColumn(name, offset + F.col("__m").bitwiseAND(F.lit(_LOCAL))).drop("__m")
+    rows = ranged(df, order_by)
+    counts = before(rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")), "__n")
+    return rows.join(F.broadcast(counts), "__p").withColumn(name, F.col("__before") + F.col("__l")).drop("__p", "__l", "__before")
 
 
 def running_total(df: DataFrame, value: str, order_by, name: str = "__upto") -> DataFrame:
     """Sums of ``value`` up to and including each row, in a total order: partition sums first, windows within partitions."""
-    from pyspark.sql.window import Window
-
-    tagged = df.orderBy(*_orders(order_by)).withColumn("__m", F.monotonically_increasing_id()).persist()
-    tagged = tagged.withColumn("__p", F.shiftright("__m", 33))
-    sums = sorted((r[0], r[1]) for r in tagged.groupBy("__p").agg(F.sum(value)).collect())
-    total, pairs = 0.0, []
-    for p, s in sums:
-        pairs += [F.lit(p), F.lit(float(total))]
-        total += float(s or 0)
-    offset = F.element_at(F.create_map(*pairs), F.col("__p")) if pairs else F.lit(0.0)
-    own = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.withColumn(name, F.sum(value).over(own) + offset).drop("__m", "__p")
+    rows = ranged(df, order_by)
+    sums = before(rows.groupBy("__p").agg(F.sum(F.col(value).cast("double")).alias("__s")), "__s")
+    own = Window.partitionBy("__p").orderBy("__l").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(value).over(own) + F.col("__before")
+    return rows.join(F.broadcast(sums), "__p").withColumn(name, total).drop("__p", "__l", "__before")
 
 
 # ---------------------------------------------------------------- columns
@@ -250,10 +251,10 @@ def minibatches(df: DataFrame, size: int, epochs: int, key: str, seed: int | Non
     return concat(out)
 
 
-def curriculum(df: DataFrame, stats: DataFrame, key: str, priority: Column, name: str = "row_idx") -> DataFrame:
-    """Rows in the order of a priority over feedback that ``stats`` holds by key; rows without feedback come first."""
+def curriculum(df: DataFrame, stats: DataFrame, key: str, priority: Column, name: str = "row_idx", tie: list[str] = ()) -> DataFrame:
+    """Rows in the order of a priority over feedback that ``stats`` holds by key, ties by ``tie`` or the key; rows without feedback come first."""
     joined = df.join(stats, key, "left")
-    return row_index(joined, [priority.asc_nulls_first(), F.col(key)], name)
+    return row_index(joined, [priority.asc_nulls_first(), *[F.col(c) for c in tie or [key]]], name)
 
 
 def first_samples(df: DataFrame, n: int, key: str, seed: int | None = None) -> DataFrame:

@@ -39,8 +39,8 @@ MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-sum-norm", "seq-mea
 
 
 def aggregate_loss(df: DataFrame, loss: str, mode: str = "token-mean", seq: str = "seq_id", mask: str = "mask", norm: float | None = None,
-                   dp_size: int = 1, global_batch: int | None = None, batch_tokens: int | None = None) -> DataFrame:
-    """One row with ``loss``: token losses over the mask, averaged as ``mode`` says.
+                   dp_size: int = 1, global_batch: int | None = None, batch_tokens: int | None = None, also: dict[str, str] | None = None) -> DataFrame:
+    """One row with ``loss``: token losses over the mask, averaged as ``mode`` says, and the masked means ``also`` (name to column), all in one pass.
 
     Sequences without any token of the mask don't count among sequences. ``norm`` replaces the greatest sequence length in
     ``seq-mean-token-sum-norm``; ``global_batch`` and ``batch_tokens`` replace what this frame counts, and ``dp_size``
@@ -48,17 +48,22 @@ def aggregate_loss(df: DataFrame, loss: str, mode: str = "token-mean", seq: str
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
+    also = also or {}
     if mode == "token-mean":
         n = F.lit(float(batch_tokens)) if batch_tokens else F.sum(mask).cast("double")
-        return df.agg((M.m_sum(loss, mask) / n * dp_size).alias("loss"))
-    rows = df.groupBy(seq).agg(M.m_sum(loss, mask).alias("s"), F.sum(mask).alias("n"), F.count(F.lit(1)).alias("t"))
-    rows = rows.where("n > 0") if mode != "seq-mean-token-sum-norm" else rows
-    count = F.lit(float(global_batch)) if global_batch else F.count(F.lit(1)).cast("double")
+        return df.agg((M.m_sum(loss, mask) / n * dp_size).alias("loss"), *[M.m_mean(c, mask).alias(k) for k, c in also.items()])
+    own = [M.m_sum(c, mask).alias(f"__{k}") for k, c in also.items()]
+    rows = df.groupBy(seq).agg(M.m_sum(loss, mask).alias("s"), F.sum(mask).alias("n"), F.count(F.lit(1)).alias("t"), *own)
+    some = F.col("n") > 0
+    means = [(F.sum(f"__{k}") / (F.sum("n") + M.double(M.EPS))).alias(k) for k in also]
+    count = F.lit(float(global_batch)) if global_batch else F.count_if(some).cast("double")
     if mode == "seq-mean-token-sum":
-        return rows.agg((F.sum("s") / count * dp_size).alias("loss"))
-    if mode == "seq-mean-token-mean":
-        return rows.agg((F.sum(F.col("s") / (F.col("n") + M.EPS)) / count * dp_size).alias("loss"))
-    return rows.agg((F.sum("s") / (F.lit(float(norm)) if norm else F.max("t").cast("double"))).alias("loss"))
+        value = F.sum(F.when(some, F.col("s"))) / count * dp_size
+    elif mode == "seq-mean-token-mean":
+        value = F.sum(F.when(some, F.col("s") / (F.col("n") + M.EPS))) / count * dp_size
+    else:
+        value = F.sum("s") / (F.lit(float(norm)) if norm else F.max("t").cast("double"))
+    return rows.agg(value.alias("loss"), *means)
 
 
 def log_ratio(bound: float = 20.0) -> Column:
@@ -91,8 +96,7 @@ def vanilla(df: DataFrame, low: float = 0.2, high: float = 0.2, dual: float = 3.
         }
     )
     t = t.withColumn("__l", weighted(t, "__l"))
-    rest = t.agg(M.m_mean("__clip").alias("pg_clipfrac"), M.m_mean("__kl").alias("ppo_kl"), M.m_mean("__low").alias("pg_clipfrac_lower"))
-    return aggregate_loss(t, "__l", mode, **agg).crossJoin(rest)
+    return aggregate_loss(t, "__l", mode, also={"pg_clipfrac": "__clip", "ppo_kl": "__kl", "pg_clipfrac_lower": "__low"}, **agg)
 
 
 def with_sequence(df: DataFrame, *aggregates: Column, seq: str = "seq_id") -> DataFrame:
@@ -108,8 +112,7 @@ def gspo(df: DataFrame, low: float = 0.0003, high: float = 0.0004, **agg) -> Dat
     first, second = -a * r, -a * clipped(r, low, high)
     t = t.withColumns({"__l": F.greatest(first, second), "__clip": (second > first).cast("double"), "__kl": -F.col("__d")})
     t = t.withColumn("__l", weighted(t, "__l"))
-    rest = t.agg(M.m_mean("__clip").alias("pg_clipfrac"), M.m_mean("__kl").alias("ppo_kl"))
-    return aggregate_loss(t, "__l", "seq-mean-token-mean", **agg).crossJoin(rest)
+    return aggregate_loss(t, "__l", "seq-mean-token-mean", also={"pg_clipfrac": "__clip", "ppo_kl": "__kl"}, **agg)
 
 
 @register("sapo")
@@ -119,7 +122,7 @@ def sapo(df: DataFrame, tau_pos: float = 1.0, tau_neg: float = 1.05, **agg) -> D
     gate = 4.0 / tau / (1 + F.exp(-tau * (F.exp(log_ratio()) - 1)))
     t = df.withColumns({"__l": -gate * F.col("advantage"), "__kl": -log_ratio()})
     t = t.withColumn("__l", weighted(t, "__l"))
-    return aggregate_loss(t, "__l", "seq-mean-token-mean", **agg).crossJoin(t.agg(M.m_mean("__kl").alias("ppo_kl")))
+    return aggregate_loss(t, "__l", "seq-mean-token-mean", also={"ppo_kl": "__kl"}, **agg)
 
 
 @register("gpg")
@@ -136,7 +139,7 @@ def cispo(df: DataFrame, low: float = 0.2, high: float = 0.2, mode: str = "token
     c = clipped(r, low, high)
     t = df.withColumns({"__l": -c * F.col("advantage") * F.col("log_prob"), "__clip": (r != c).cast("double"), "__kl": -log_ratio()})
     t = t.withColumn("__l", weighted(t, "__l"))
-    return aggregate_loss(t, "__l", mode, **agg).crossJoin(t.agg(M.m_mean("__clip").alias("pg_clipfrac"), M.m_mean("__kl").alias("ppo_kl")))
+    return aggregate_loss(t, "__l", mode, also={"pg_clipfrac": "__clip", "ppo_kl": "__kl"}, **agg)
 
 
 @register("geo_mean")
@@ -155,17 +158,22 @@ def geo_mean(df: DataFrame, low: float = 0.2, high: float = 0.2, **agg) -> DataF
         }
     )
     n = F.sum("mask") + M.EPS
+    also = {"pg_clipfrac": "__up", "ppo_kl": "__kl", "pg_clipfrac_lower": "__low"}
     rows = t.groupBy("seq_id").agg(
-        F.exp(M.m_sum("__h") / n).alias("r"), (M.m_sum("advantage") / n).alias("a"), F.exp(M.m_sum("__w") / n).alias("w")
-    )
-    rest = t.agg(M.m_mean("__up").alias("pg_clipfrac"), M.m_mean("__kl").alias("ppo_kl"), M.m_mean("__low").alias("pg_clipfrac_lower"))
-    return rows.agg(F.avg(-F.col("a") * F.col("r") * F.col("w")).alias("loss")).crossJoin(rest)
+        F.exp(M.m_sum("__h") / n).alias("r"), (M.m_sum("advantage") / n).alias("a"), F.exp(M.m_sum("__w") / n).alias("w"), F.sum("mask").alias("n"),
+        *[M.m_sum(c).alias(k) for k, c in also.items()],
+    )
+    means = [(F.sum(k) / (F.sum("n") + M.double(M.EPS))).alias(k) for k in also]
+    return rows.agg(F.avg(-F.col("a") * F.col("r") * F.col("w")).alias("loss"), *means)
 
 
-def covariance(df: DataFrame) -> DataFrame:
-    """With ``cov``: (advantage - its masked mean) (log-probability - its masked mean)."""
-    t = M.with_totals(df, m_avg("advantage").alias("__ma"), m_avg("log_prob").alias("__ml"))
-    return t.withColumn("cov", (F.col("advantage") - F.col("__ma")) * (F.col("log_prob") - F.col("__ml"))).drop("__ma", "__ml")
+def covariance(df: DataFrame) -> tuple[DataFrame, int]:
+    """With ``cov``, (advantage - its masked mean) (log-probability - its masked mean), and the number of tokens of the mask.
+
+    The two means and the number, one row, are found when the plan is built: how many tokens are selected depends on it.
+    """
+    a, b, n = df.agg(m_avg("advantage"), m_avg("log_prob"), F.sum("mask")).first()
+    return df.withColumn("cov", (F.col("advantage") - F.lit(a)) * (F.col("log_prob") - F.lit(b))), int(n or 0)
 
 
 def m_avg(v: str, m: str = "mask") -> Column:
@@ -175,30 +183,30 @@ def m_avg(v: str, m: str = "mask") -> Column:
 @register("kl_cov")
 def kl_cov(df: DataFrame, ratio: float = 0.0002, coefficient: float = 1.0, mode: str = "token-mean", tie: tuple[str, ...] = ("seq_id", "pos"), **agg) -> DataFrame:
     """A KL term on the tokens of greatest covariance, max(1, int(n ratio)) of the n tokens of the mask; ties by ``tie``."""
-    t = covariance(df)
-    k = max(1, int(t.agg(F.sum("mask")).first()[0] * ratio))
+    t, n = covariance(df)
+    k = max(1, int(n * ratio))
     top = t.where("mask != 0").orderBy(F.col("cov").desc(), *tie).limit(k).select(*tie, F.lit(True).alias("__top"))
     t = t.join(top, list(tie), "left")
     plain = -F.col("advantage") * F.exp(F.col("log_prob") - F.col("old_lp"))
     t = t.withColumn("__l", F.when(F.col("__top"), plain + coefficient * F.abs(F.col("log_prob") - F.col("old_lp"))).otherwise(plain))
     t = t.withColumn("__abs", F.abs(F.col("log_prob") - F.col("old_lp")))
-    return aggregate_loss(t, "__l", mode, **agg).crossJoin(t.agg(M.m_mean("__abs").alias("ppo_kl")))
+    return aggregate_loss(t, "__l", mode, also={"ppo_kl": "__abs"}, **agg)
 
 
 @register("clip_cov")
 def clip_cov(df: DataFrame, ratio: float = 0.0002, bounds: tuple[float, float] = (1.0, 5.0), low: float = 0.2, high: float = 0.2,
              mode: str = "token-mean", seed: int = 0, tie: tuple[str, ...] = ("seq_id", "pos"), **agg) -> DataFrame:
     """PPO in which random tokens of covariance within ``bounds``, not clipped already, lose their gradient; seeded by their key."""
-    t = covariance(df)
+    t, n = covariance(df)
     a, r = F.col("advantage"), F.exp(F.col("log_prob") - F.col("old_lp"))
     first, second = -a * r, -a * clipped(r, low, high)
     t = t.withColumns({"__l": F.greatest(first, second), "__by": second > first})
-    k = max(1, int(t.agg(F.sum("mask")).first()[0] * ratio))
+    k = max(1, int(n * ratio))
     open_ = t.where((F.col("mask") != 0) & ~F.col("__by") & (F.col("cov") > bounds[0]) & (F.col("cov") < bounds[1]))
     chosen = open_.orderBy(F.xxhash64(F.lit(seed), *tie), *tie).limit(k).select(*tie, F.lit(0.0).alias("__keep"))
     t = t.join(chosen, list(tie), "left").withColumn("__keep", F.coalesce("__keep", F.lit(1.0)))
     t = t.withColumns({"__l": F.col("__l") * F.col("__keep"), "__clip": (F.col("__keep") == 0).cast("double")})
-    return aggregate_loss(t, "__l", mode, **agg).crossJoin(t.agg(M.m_mean("__clip").alias("pg_clipfrac")))
+    return aggregate_loss(t, "__l", mode, also={"pg_clipfrac": "__clip"}, **agg)
 
 
 @register("reinforce")
@@ -206,7 +214,7 @@ def reinforce(df: DataFrame, mode: str = "seq-mean-token-sum", **agg) -> DataFra
     """-log-probability times advantage, with importance weights where there are any, and the mean KL to the rollout policy."""
     t = df.withColumn("__l", -F.col("advantage") * F.col("log_prob"))
     t = t.withColumn("__l", weighted(t, "__l")).withColumn("__kl", F.col("rollout_lp") - F.col("log_prob"))
-    return aggregate_loss(t, "__l", mode, **agg).crossJoin(t.agg(M.m_mean("__kl").alias("ppo_kl")))
+    return aggregate_loss(t, "__l", mode, also={"ppo_kl": "__kl"}, **agg)
 
 
 @register("bypass_mode")
@@ -253,7 +261,7 @@ def value_loss(df: DataFrame, clip: float = 0.5, mode: str = "token-mean", **agg
     held = F.greatest(F.least(F.col("vpred"), F.col("value") + clip), F.col("value") - clip)
     first, second = F.pow(F.col("vpred") - F.col("ret"), 2.0), F.pow(held - F.col("ret"), 2.0)
     t = df.withColumns({"__l": 0.5 * F.greatest(first, second), "__clip": (second > first).cast("double")})
-    return aggregate_loss(t, "__l", mode, **agg).crossJoin(t.agg(M.m_mean("__clip").alias("vf_clipfrac")))
+    return aggregate_loss(t, "__l", mode, also={"vf_clipfrac": "__clip"}, **agg)
 
 
 def sft_loss(df: DataFrame, batch_tokens: int | None = None, dp_size: int = 1) -> DataFrame:

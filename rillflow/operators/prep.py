@@ -165,6 +165,12 @@ def collapse(df: DataFrame, keep: list[str], name: str = "extra") -> DataFrame:
     return df.select(*keep, F.struct(*[c for c in df.columns if c not in keep]).alias(name))
 
 
+def spread(df: DataFrame) -> Column:
+    """A hash of all columns that have one, which tells rows apart that tie."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0).cast("long")
+
+
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row by ``order`` (ascending columns) of each key, by an aggregate: a hot key is one row per task before the shuffle."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
@@ -172,18 +178,20 @@ def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str
 
 
 def dedup_prompts(df: DataFrame, prompt: str, order: str) -> DataFrame:
-    """The first row of each prompt, compared as JSON."""
+    """The first row by ``order`` of each prompt, compared as JSON: one row per prompt, of rows that tie one of equal right; null is a prompt of its own."""
     text = F.col(prompt) if df.schema[prompt].dataType.simpleString() == "string" else F.to_json(prompt)
-    t = df.withColumn("__json", text)
-    first = t.groupBy("__json").agg(F.min(order).alias("__first"))
-    return t.join(first, "__json").where(F.col(order) == F.col("__first")).drop("__json", "__first")
+    return keep_first(df, [text.alias("__json")], [F.col(order), spread(df)])
 
 
 def best_per_conversation(df: DataFrame, conv: str = "conv_id", turn: str = "turn_id", score: str = "score") -> DataFrame:
-    """Of each conversation the last turn, of its responses the best."""
-    best = df.groupBy(F.col(conv).alias("__c")).agg(F.max(F.struct(turn, score)).alias("__b"))
-    t = df.join(best, F.col(conv) == F.col("__c")).where((F.col(turn) == F.col("__b")[turn]) & (F.col(score) == F.col("__b")[score]))
-    return t.dropDuplicates([conv]).drop("__c", "__b")
+    """Of each conversation the last turn, of its responses the best: one row.
+
+    A score that is null is the worst, a turn that is null the first; null ids are one conversation; of rows that tie in
+    both the one whose hash over all columns is greatest stays, the same in every run.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = F.max_by(whole, F.struct(F.col(turn), F.col(score), spread(df)))
+    return df.groupBy(F.col(conv).alias("__c")).agg(best.alias("__row")).select("__row.*")
 
 
 def problem_rows(df: DataFrame, kind: str, extras: list[str]) -> DataFrame:
@@ -194,9 +202,10 @@ def problem_rows(df: DataFrame, kind: str, extras: list[str]) -> DataFrame:
 
 def task_states(df: DataFrame, task: str, n_states: str, train: int, test: int, held_out: list[int], seed: int = 0) -> DataFrame:
     """(task, state, env, split): states of each task numbered through, random ones for training and testing, tasks held out for testing only."""
-    w = Window.partitionBy(F.lit(0)).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per task of the benchmark, some hundred at most.
+    w = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
     bins = df.select(task, n_states, F.coalesce(F.sum(n_states).over(w), F.lit(0)).alias("first"))
-    states = bins.select(task, "first", F.explode(F.sequence(F.lit(0), F.col(n_states) - 1)).alias("state"))
+    states = bins.where(F.col(n_states) > 0).select(task, "first", F.explode(F.sequence(F.lit(0), F.col(n_states) - 1)).alias("state"))
     rank = F.row_number().over(Window.partitionBy(task).orderBy(F.xxhash64(task, "state", F.lit(seed)), "state"))
     t = states.withColumn("env", F.col("first") + F.col("state")).withColumn("__r", rank)
     split = F.when(F.col(task).isin(*held_out), F.when(F.col("__r") <= test, "test_ood")).when(F.col("__r") <= train, "train").when(F.col("__r") <= train + test, "test")

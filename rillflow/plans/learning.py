@@ -38,10 +38,7 @@ WHITE = """m AS (SELECT sum(mask * {v}) / (sum(mask) + 1e-8) AS mu, sum(mask) AS
 
 @query("masked_variance", f"WITH {TOK}, {WHITE.format(v='value')} SELECT round(mu, 8) AS mean, round(var, 8) AS var FROM m, v")
 def masked_variance(spark, d):
-    t = M.with_totals(tokens(spark, d), M.m_mean("value").alias("mu"), F.sum("mask").alias("n"))
-    sq = t.withColumn("sq", F.pow(F.col("value") - F.col("mu"), 2.0))
-    n = F.first("n")
-    return sq.agg(r(F.first("mu"), 8).alias("mean"), r(M.m_mean("sq") * n / (n - 1), 8).alias("var"))
+    return M.masked_var(tokens(spark, d), "value").select(r("mean", 8).alias("mean"), r("var", 8).alias("var"))
 
 
 @query("masked_whiten", f"WITH {TOK}, {WHITE.format(v='value')} SELECT seq_id, pos, round((value - mu) / sqrt(var + 1e-8), 6) AS white FROM tok, m, v")
@@ -52,8 +49,8 @@ def masked_whiten(spark, d):
 @query("distributed_stats", f"WITH {TOK} SELECT round(avg(reward), 8) AS mean, max(reward) AS max, min(reward) AS min, round(stddev_samp(reward), 8) AS std, round(sum(reward * mask) / sum(mask), 8) AS masked_mean FROM tok")
 def distributed_stats(spark, d):
     t = tokens(spark, d)
-    return t.agg(r(F.avg("reward"), 8).alias("mean"), F.max("reward").alias("max"), F.min("reward").alias("min"), r(F.stddev_samp("reward"), 8).alias("std"),
-                 r(F.sum(F.col("reward") * F.col("mask")) / F.sum("mask"), 8).alias("masked_mean"))
+    masked = M.batch_stats(t, "reward", "mask").select(r("mean", 8).alias("masked_mean"))
+    return M.batch_stats(t, "reward").select(r("mean", 8).alias("mean"), "max", "min", r("std", 8).alias("std")).crossJoin(masked)
 
 
 @query("entropy_and_logprob", f"""WITH {TOK}, l AS (SELECT seq_id, log(10) AS one, ln(sum(exp(value * 4))) AS lse, sum(exp(value * 4) * value * 4) / sum(exp(value * 4)) AS e,

@@ -12,6 +12,7 @@ from rillflow.operators.advantage import scored
 from rillflow.plans.frames import ROLL, SEQ, TOK, conversations, rollouts, sequences, table, tokens
 from rillflow.plans.learning import r, rounded
 from rillflow.plans.registry import query
+from rillflow.sources import io
 
 long = lambda c: F.col(c).cast("long")
 #: Orders in a total order, numbered from 0.
@@ -27,7 +28,8 @@ def orders(spark, d):
 
 @query("scan_filtered_columns", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'O'")
 def scan_filtered_columns(spark, d):
-    return table(spark, d, "orders").where("o_totalprice > 300000 and o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
+    o = io.read_parquet(spark, f"{d}/orders.parquet").where("o_totalprice > 300000 and o_orderstatus = 'O'")
+    return B.rename(B.select(o, ["o_orderkey", "o_totalprice"]), ["o_orderkey", "o_totalprice"], ["k", "p"])
 
 
 @query("positional_split", f"WITH {ORD} SELECT k, CASE WHEN i < floor(n * 0.75) THEN 'train' ELSE 'test' END AS split FROM ord")
@@ -147,10 +149,7 @@ def minibatches(spark, d):
 @query("curriculum_order", f"WITH {SEQ}, s AS (SELECT o_orderkey AS k, o_custkey AS c, mean FROM orders LEFT JOIN grp ON uid = o_custkey) SELECT k, row_number() OVER (ORDER BY round(mean, 9) NULLS FIRST, k) - 1 AS row_idx FROM s")
 def curriculum_order(spark, d):
     stats = scored(sequences(spark, d)).groupBy(F.col("uid").alias("c")).agg(F.round(F.avg("score"), 9).alias("m"))
-    from rillflow.operators.batch import row_index
-
-    t = orders(spark, d).select("k", "c").join(stats, "c", "left")
-    return row_index(t, [F.col("m").asc_nulls_first(), F.col("k")]).select("k", "row_idx")
+    return B.curriculum(orders(spark, d).select("k", "c"), stats, "c", F.col("m"), tie=["k"]).select("k", "row_idx")
 
 
 @query("upsample", "SELECT o_orderpriority AS s, count(*) * CASE WHEN o_orderpriority = '1-URGENT' THEN 4 ELSE 1 END AS n FROM orders GROUP BY o_orderpriority")
