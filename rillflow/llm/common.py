@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillflow.scratch import discard, materialise, scope, scratch_dir  # noqa: F401
+
 #: ``[\x20\x09-\x0D]``, the white space of every word and line rule here.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,64 +15,10 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: ``[\x20\x09-\x0D]`` as a Java pattern.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_scratch: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is absent a temporary folder is made, which is right for a local master only;
-    on any other master that raises, since executors would not see the folder. The folder is
-    removed when the driver ends.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="rillflow-")
-        path = f"{base.rstrip('/')}/rillflow-{uuid.uuid4().hex}"
-        _scratch[sc.applicationId] = path
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
-
-        def remove() -> None:
-            try:
-                files.delete(hadoop, True)
-            except Exception:  # the JVM may already be gone
-                pass
-
-        atexit.register(remove)
-    return _scratch[sc.applicationId]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
-
-    This cuts the lineage (a lost executor costs the tasks it ran, never the steps before) and gives
-    the planner the real size of the table, so that it broadcasts it only below
-    ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables of :func:`materialise` that nothing will read again; whatever is left goes when the driver ends."""
-    for t in tables:
-        hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
@@ -147,8 +91,9 @@ def bucketed_rank(df: DataFrame, cells: DataFrame, part: str, bucket: str, order
     """Row numbers from 1 within ``part``, in the order of ``bucket`` and then ``order``, without one task per part.
 
     ``cells`` counts the rows of each (part, bucket): columns part, bucket, ``__n``. Each window task
-    sorts one cell only; what lies before the cell comes from running sums over the cells. The
-    number of cells of a part is bounded by the width of the bucket key.
+    sorts one cell only; what lies before the cell comes from running sums over the cells. The cells of a
+    part are summed in one task: at most as many as the bucket key has values, 16 to the power of its hex
+    digits, which grow with rows over :data:`rillflow.llm.sharding.CELL_ROWS` (16**4 cells for 10**9 rows).
     """
     before = Window.partitionBy(part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(

@@ -30,11 +30,12 @@ def test_scans_read_two_columns_of_documents(spark, sf_dir):
 
 
 def test_scratch_follows_the_setting(spark, tmp_path, monkeypatch):
+    from rillflow import scratch
     from rillflow.llm import common
 
     plain = spark.conf.get
     monkeypatch.setattr(spark.conf, "get", lambda key, default=None: str(tmp_path) if key == "spark.checkpoint.dir" else plain(key, default))
-    monkeypatch.setattr(common, "_scratch", {})
+    monkeypatch.setattr(scratch, "_scratch", {})
     t = common.materialise(spark.range(5), "five")
     assert t.scratch_path.startswith(str(tmp_path)) and t.count() == 5
     common.discard(t)
