@@ -9,17 +9,16 @@
    signatures agree (far below the threshold, so that no true link is lost) and are then confirmed on
    the full sets. Components of confirmed links by alternating large-star and small-star.
 4. What hubs could not decide: buckets with several components among the members that are no hub. Their
-   signatures, not their texts, are dealt in block pairs of bounded size. Each block pair names candidates
-   that would join its components if they all held: fewer than it has members. They are confirmed as
-   under 3, and components are found again.
-5. What is still open: members whose signature agrees with that of a member of another component. Only
-   their texts are dealt, in block pairs that are bounded in rows and in bytes; pairs of different components
-   are compared on the full sets in the first bucket they share, until links join the two. A block pair
-   yields fewer links than it has members. Components are found a last time.
+   signatures, not their texts, are dealt in block pairs of bounded size, which say whose signature agrees
+   with that of a member of another component.
+5. Only the texts of those are dealt, in block pairs that are bounded in rows and in bytes; pairs of
+   different components are compared on the full sets in the first bucket they share, until links join the
+   two. A block pair yields fewer links than it has members. Components are found again.
 
 No step gathers a bucket or a component into one task, and nothing of the corpus goes to the driver
 but counts. Each step writes to the shared scratch folder, so a lost executor repeats tasks only. Joins
-are told to be sort-merge joins: the same plan at every size, whose hot partitions are split.
+of texts and signatures are told to be sort-merge joins: the same plan at every size, whose hot partitions
+are split. Tables of links, roots and buckets are of known size and broadcast below the session's threshold.
 
 Rules: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer words than a shingle are one shingle;
 null and empty texts and texts without words have an empty set and no links; whole texts are read, however
@@ -54,8 +53,8 @@ class Plan:
     at 0.85 fails that (more than 5 standard deviations below its mean) less than once in 10 million
     times. ``tests/llm/test_near.py`` measures both.
 
-    Blocks of undecided buckets hold ``block`` rows, and more, up to ``most``, where a bucket would need over
-    16 of them; blocks of texts also ``block_bytes`` of texts and sets at most, on average.
+    Undecided buckets are dealt in blocks of ``block`` signatures (a pair of blocks takes about 3 MB), and what is
+    left in blocks of ``text_block`` texts or ``block_bytes`` of texts and sets, on average.
     """
 
     width: int = 5
@@ -64,8 +63,8 @@ class Plan:
     bands: int = 30
     rows: int = 7
     n_sign: int = 160
-    block: int = 128
-    most: int = 4096
+    block: int = 2048
+    text_block: int = 512
     block_bytes: int = 32 << 20
 
     @property
@@ -222,9 +221,9 @@ def components(links: DataFrame) -> DataFrame:
     while now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u")
+        small = large.join(low, "u")
         turned = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         older, edges = edges, materialise(turned.select("e.u", "e.v").where("u > v").distinct(), "edges")
         discard(older)
@@ -270,23 +269,8 @@ class Block:
         return pa.table({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
 
 
-def spanning(plan: Plan):
-    """Candidates of a block pair that would join its components if all of them held: fewer than it has members."""
-
-    def run(key, table):
-        block, found = Block(key, table, plan), []
-        for i in range(block.n):
-            for j in block.agreeing(i):
-                if block.group[j] != block.group[i]:
-                    found.append((i, j))
-                    block.join(i, j)
-        return block.pairs(found)
-
-    return run
-
-
 def still_open(plan: Plan):
-    """(bucket, rep) of the members of a block pair with an agreeing member of another component."""
+    """(bucket, rep, n) of the members of a block pair with an agreeing member of another component."""
 
     def run(key, table):
         block = Block(key, table, plan)
@@ -295,7 +279,7 @@ def still_open(plan: Plan):
             other = block.agreeing(i)
             some[other] = True
             some[i] |= len(other) > 0
-        return block.table.filter(pa.array(some)).select(["bucket", "rep"])
+        return block.table.filter(pa.array(some)).select(["bucket", "rep", "n"])
 
     return run
 
@@ -335,22 +319,6 @@ def dealt(members: DataFrame, blocks: Column, carried: list[str]) -> DataFrame:
     return own.select(*carried, F.explode(pair).alias("p")).select(*carried, "p.i", "p.j", "p.side")
 
 
-def block_count(plan: Plan, size: Column, volume: Column | None = None) -> Column:
-    """How many blocks a bucket of ``size`` members is dealt in: ``block`` rows each, ``most`` rows where that makes over 16."""
-    blocks = F.least(F.ceil(size / plan.block), F.greatest(F.lit(16), F.ceil(size / plan.most)))
-    return (blocks if volume is None else F.greatest(blocks, F.ceil(volume / plan.block_bytes))).cast("int")
-
-
-def unsettled(members: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(members that are no hub, of buckets where these have several components, with root, n, bands and sign; tables to discard)."""
-    rooted = members.where("size > 2 and rep <> hub").join(roots.select(F.col("id").alias("rep"), "root").hint("merge"), "rep", "left")
-    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
-    # The hub stood for its pairs already, so two components among the others make a bucket undecided.
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    undone = rooted.join(mixed.hint("merge"), "bucket", "left_semi")
-    return undone.join(classes.select("rep", "n", "bands", "sign").hint("merge"), "rep"), [rooted]
-
-
 def judge(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """(id, n, root) of every row, and the tables it reads."""
     ship(docs.sparkSession)
@@ -375,32 +343,28 @@ def judge(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[Data
     links = confirm(first, classes, texts, plan)
     roots = components(links)
 
+    # The hub stood for its pairs already, so two components among the others make a bucket undecided.
+    rooted = members.where("size > 2 and rep <> hub").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
+    mixed = materialise(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket"), "mixed")
+    undone = rooted.join(mixed, "bucket", "left_semi").join(classes.select("rep", "n", "bands", "sign").hint("merge"), "rep")
+    undone = materialise(undone, "undone")
     carried = ["bucket", "band", "rep", "root", "n", "bands", "sign"]
-    pairs = f"u {kind}, v {kind}"
-    undone, used = unsettled(members, roots, classes)
-    signed = dealt(undone, block_count(plan, F.col("size")), carried).groupBy("bucket", "i", "j")
-    likely = materialise(signed.applyInArrow(spanning(plan), pairs).distinct(), "spanning")
-    discard(*used)
-    if not likely.isEmpty():
-        more = confirm(likely, classes, texts, plan)
-        links, used = materialise(links.unionByName(more), "links"), [links, more, roots]
-        roots = components(links)
-        undone, now = unsettled(members, roots, classes)
-        signed = dealt(undone, block_count(plan, F.col("size")), carried).groupBy("bucket", "i", "j")
-        opened = materialise(signed.applyInArrow(still_open(plan), f"bucket long, rep {kind}").distinct(), "open")
-        weighed = opened.join(classes.select("rep", "n").hint("merge"), "rep").groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum(F.lit(16) * F.col("n")).alias("volume"))
-        undone = undone.join(opened.hint("merge"), ["bucket", "rep"], "left_semi").join(weighed.hint("merge"), "bucket")
-        undone = undone.join(texts.hint("merge"), "rep")
-        blocks = dealt(undone, block_count(plan, F.col("left"), F.col("volume")), [*carried, "text"]).groupBy("bucket", "i", "j")
-        last = materialise(blocks.applyInArrow(undecided(plan), pairs).distinct(), "last-links")
-        if not last.isEmpty():
-            used.append(roots)
-            roots = components(links.unionByName(last))
-        discard(*used, *now, opened, last)
-    discard(shared, members, texts, links, likely)
+    signed = dealt(undone, F.ceil(F.col("size") / plan.block).cast("int"), carried).groupBy("bucket", "i", "j")
+    opened = materialise(signed.applyInArrow(still_open(plan), f"bucket long, rep {kind}, n long").distinct(), "open")
+    weighed = materialise(opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum(F.lit(16) * F.col("n")).alias("volume")), "weighed")
+    left = undone.join(opened.select("bucket", "rep"), ["bucket", "rep"], "left_semi").join(weighed, "bucket").join(texts.hint("merge"), "rep")
+    blocks = F.greatest(F.ceil(F.col("left") / plan.text_block), F.ceil(F.col("volume") / plan.block_bytes)).cast("int")
+    more = dealt(left, blocks, [*carried, "text"]).groupBy("bucket", "i", "j").applyInArrow(undecided(plan), f"u {kind}, v {kind}")
+    more = materialise(more.distinct(), "more-links")
+    discard(rooted, mixed, undone, opened, weighed)
+    if not more.isEmpty():
+        first_roots, roots = roots, components(links.unionByName(more))
+        discard(first_roots)
+    discard(shared, members, texts, links, more)
 
     # Only classes with several documents or another root than their own change anything.
-    moved = classes.join(roots.select(F.col("id").alias("rep"), "root").hint("merge"), "rep", "left").where("members > 1 or root is not null")
+    moved = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").where("members > 1 or root is not null")
     moved = materialise(moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "moved")
     discard(classes, roots)
     salts = 16

@@ -63,7 +63,7 @@ def test_documents(spark, sf_dir):
     assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 8}, {"block": 8, "block_bytes": 20_000}, {"block": 2, "most": 5}])
+@pytest.mark.parametrize("options", [{}, {"block": 8, "text_block": 8}, {"block": 50, "block_bytes": 20_000}, {"block": 3, "text_block": 2}])
 def test_group_of_near_copies_of_which_few_are_near_each_other(spark, options):
     """Copies of one text with 1 to 9 words changed, in short chains: hubs alone don't find all links."""
     import random
@@ -96,7 +96,7 @@ def test_large_bucket_of_long_texts_that_are_hardly_near(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert 1 < sum(r[3] for r in want) < 60
-    assert run(df, plan=near_dedup.Plan(block=16, block_bytes=200_000)) == want
+    assert run(df, plan=near_dedup.Plan(block=16, text_block=16, block_bytes=200_000)) == want
 
 
 def measured(similarity, pairs, plan=near_dedup.PRODUCTION, union=200, seed=0):
