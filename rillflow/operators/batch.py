@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rillflow.functions import seeded
 from rillflow.scratch import materialise
 
 #: Low bits of ``monotonically_increasing_id`` that number rows within a partition.
@@ -237,7 +238,7 @@ def pad_rows(df: DataFrame, size: int, order_by, candidate: str = "first") -> Da
 
 def shuffle_order(df: DataFrame, key: str, seed: int) -> Column:
     """A random order that depends on key and seed only, the same in every partitioning."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    return seeded.order(seed, key)
 
 
 def minibatches(df: DataFrame, size: int, epochs: int, key: str, seed: int | None = None) -> DataFrame:

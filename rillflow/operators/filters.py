@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions import seeded
 from rillflow.operators.batch import row_index
 
 
@@ -46,7 +47,7 @@ def not_aborted(length: str = "response_length") -> Column:
 
 def sample_groups(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """All rows of at most k groups, chosen by a seeded hash."""
-    chosen = df.select(F.col(group).alias("__g")).distinct().orderBy(F.xxhash64("__g", F.lit(seed)), "__g").limit(k)
+    chosen = df.select(F.col(group).alias("__g")).distinct().orderBy(seeded.order(seed, "__g"), "__g").limit(k)
     return df.join(chosen, F.col(group) == F.col("__g"), "left_semi")
 
 

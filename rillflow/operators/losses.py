@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions import masked as M
+from rillflow.functions import seeded
 
 _losses: dict[str, Callable[..., DataFrame]] = {}
 
@@ -203,7 +204,7 @@ def clip_cov(df: DataFrame, ratio: float = 0.0002, bounds: tuple[float, float] =
     t = t.withColumns({"__l": F.greatest(first, second), "__by": second > first})
     k = max(1, int(n * ratio))
     open_ = t.where((F.col("mask") != 0) & ~F.col("__by") & (F.col("cov") > bounds[0]) & (F.col("cov") < bounds[1]))
-    chosen = open_.orderBy(F.xxhash64(F.lit(seed), *tie), *tie).limit(k).select(*tie, F.lit(0.0).alias("__keep"))
+    chosen = open_.orderBy(seeded.order(seed, *tie), *tie).limit(k).select(*tie, F.lit(0.0).alias("__keep"))
     t = t.join(chosen, list(tie), "left").withColumn("__keep", F.coalesce("__keep", F.lit(1.0)))
     t = t.withColumns({"__l": F.col("__l") * F.col("__keep"), "__clip": (F.col("__keep") == 0).cast("double")})
     return aggregate_loss(t, "__l", mode, also={"pg_clipfrac": "__clip"}, **agg)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from rillflow.functions import masked as M
 from rillflow.functions import scoring as S
+from rillflow.functions import seeded
 from rillflow.operators.batch import row_index
 
 
@@ -99,7 +100,7 @@ def positional_split(df: DataFrame, ratio: float, order_by) -> tuple[DataFrame,
 
 def hash_split(df: DataFrame, ratio: float, key: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """A seeded random split by key: no shuffle, and the same rows in every run."""
-    first = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(ratio * 1_000_000)
+    first = seeded.unit(seed, key) < F.lit(float(ratio))
     return df.where(first), df.where(~first)
 
 
@@ -206,7 +207,7 @@ def task_states(df: DataFrame, task: str, n_states: str, train: int, test: int,
     w = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
     bins = df.select(task, n_states, F.coalesce(F.sum(n_states).over(w), F.lit(0)).alias("first"))
     states = bins.where(F.col(n_states) > 0).select(task, "first", F.explode(F.sequence(F.lit(0), F.col(n_states) - 1)).alias("state"))
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(F.xxhash64(task, "state", F.lit(seed)), "state"))
+    rank = F.row_number().over(Window.partitionBy(task).orderBy(seeded.order(seed, task, "state"), "state"))
     t = states.withColumn("env", F.col("first") + F.col("state")).withColumn("__r", rank)
     split = F.when(F.col(task).isin(*held_out), F.when(F.col("__r") <= test, "test_ood")).when(F.col("__r") <= train, "train").when(F.col("__r") <= train + test, "test")
     return t.withColumn("split", split).where("split is not null").select(task, "state", "env", "split")

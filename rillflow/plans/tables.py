@@ -169,12 +169,12 @@ def flatten_trajectories(spark, d):
     return t.select("seq_id", "uid", long("step").alias("step"), r("rewards").alias("reward"))
 
 
-@query("rank_shards")
+@query("rank_shards", f"WITH {ORD}, x AS (SELECT k, n, row_number() OVER (ORDER BY md5('3:' || k), k) - 1 AS j FROM ord) SELECT k, CAST(j % 8 AS INTEGER) AS rank FROM x WHERE j < n // 8 * 8")
 def rank_shards(spark, d):
-    return B.rank_shards(orders(spark, d), 8, "k", 3).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    return B.rank_shards(orders(spark, d), 8, "k", 3).select("k", "rank")
 
 
-@query("seeded_samples")
+@query("seeded_samples", f"WITH {ORD} SELECT k FROM ord ORDER BY md5('5:' || k), k LIMIT 100")
 def seeded_samples(spark, d):
     return B.first_samples(orders(spark, d), 100, "k", seed=5).select("k")
 
@@ -421,7 +421,7 @@ def aborted_and_overlong(spark, d):
     return filters.within_length(s, F.col("n"), 6).where(filters.not_aborted("len")).select("seq_id", "len")
 
 
-@query("sample_groups")
+@query("sample_groups", f"WITH {TOK}, g AS (SELECT uid FROM (SELECT DISTINCT uid FROM tok) ORDER BY md5('1:' || uid), uid LIMIT 50) SELECT DISTINCT seq_id, uid FROM tok SEMI JOIN g USING (uid)")
 def sample_groups(spark, d):
     return filters.sample_groups(sequences(spark, d).select("seq_id", "uid"), "uid", 50, 1)
 
@@ -474,16 +474,18 @@ def keep_first_by_order(spark, d):
     return prep.keep_first(orders(spark, d), ["c"], ["k"]).select("c", "k")
 
 
-@query("task_states")
+@query("task_states", """WITH s AS (SELECT CAST(t AS INTEGER) AS task, CAST(s AS INTEGER) AS state, t * 50 + s AS env FROM range(10) a(t), range(50) b(s)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('0:' || task || ':' || state), state) AS r FROM s)
+ SELECT task, state, env, CASE WHEN task = 9 THEN 'test_ood' WHEN r <= 40 THEN 'train' ELSE 'test' END AS split FROM r WHERE (task = 9 AND r <= 10) OR (task <> 9 AND r <= 50)""")
 def task_states(spark, d):
     t = spark.createDataFrame([(i, 50) for i in range(10)], "task int, n int")
     return prep.task_states(t, "task", "n", 40, 10, [9])
 
 
-@query("hash_split")
+@query("hash_split", "SELECT o_orderkey AS k, CASE WHEN ('0x' || substr(md5('0:' || o_orderkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.9 THEN 'train' ELSE 'test' END AS split FROM orders")
 def hash_split(spark, d):
-    a, b = prep.hash_split(orders(spark, d), 0.9, "k")
-    return a.agg(F.count(F.lit(1)).alias("n")).withColumn("split", F.lit("train")).unionByName(b.agg(F.count(F.lit(1)).alias("n")).withColumn("split", F.lit("test")))
+    a, b = prep.hash_split(orders(spark, d).select("k"), 0.9, "k")
+    return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
 
 
 TURN_IDS = "SELECT conv_id, turn, role, list_transform(range(1, length(text) % 9 + 1), lambda x: x * 10 + turn) AS ids FROM conversations"
@@ -560,8 +562,10 @@ def bm25_topk(spark, d):
     return search.bm25(table(spark, d, "documents"), q, 3, query_id="item_id").select("item_id", "doc_id", r("score", 5).alias("score"), "rank")
 
 
-@query("passages", "WITH t AS (SELECT doc_id // 100 AS g, list(text ORDER BY doc_id) AS x FROM documents WHERE doc_id % 100 < 2 GROUP BY ALL) SELECT g, trim('Doc 1 (Title: ' || split_part(x[1], chr(10), 1) || ')' || chr(10) || CASE WHEN contains(x[1], chr(10)) THEN substr(x[1], instr(x[1], chr(10)) + 1) ELSE '' END || chr(10) || chr(10) || 'Doc 2 (Title: ' || split_part(x[2], chr(10), 1) || ')' || chr(10) || CASE WHEN contains(x[2], chr(10)) THEN substr(x[2], instr(x[2], chr(10)) + 1) ELSE '' END) AS passages FROM t")
+@query("passages", """WITH t AS (SELECT doc_id // 3 AS g, list(text ORDER BY doc_id) AS x FROM documents GROUP BY ALL),
+ p AS (SELECT g, list_transform(range(1, len(x) + 1), lambda i: 'Doc ' || i || ' (Title: ' || split_part(x[i], chr(10), 1) || ')' || chr(10) || CASE WHEN contains(x[i], chr(10)) THEN substr(x[i], instr(x[i], chr(10)) + 1) ELSE '' END) AS d FROM t)
+ SELECT g, trim(array_to_string(d, chr(10) || chr(10))) AS passages FROM p""")
 def passages(spark, d):
-    t = table(spark, d, "documents").where("doc_id % 100 < 2").groupBy(F.expr("doc_id div 100").alias("g"))
+    t = table(spark, d, "documents").groupBy(F.expr("doc_id div 3").alias("g"))
     t = t.agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
     return t.select("g", search.passages(F.col("x.text")).alias("passages"))

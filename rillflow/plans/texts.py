@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rillflow.functions import answers
@@ -217,12 +220,24 @@ def interaction_scores(spark, d):
     return prep.interaction_scores(c, "truth").select("conv_id", "score")
 
 
-@query("clean_activity", r"SELECT page_id, replace(regexp_replace(replace(trim(html[1:200]), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ') AS text FROM pages")
+@query("clean_activity", r"SELECT page_id, replace(regexp_replace(replace(trim(html), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ') AS text FROM pages")
 def clean_activity(spark, d):
-    return table(spark, d, "pages").select("page_id", prep.clean_activity(F.substring("html", 1, 200)).alias("text"))
+    return table(spark, d, "pages").select("page_id", prep.clean_activity(F.col("html")).alias("text"))
+
+
+SOURCES = ["openai/gsm8k", "lighteval/MATH", "math_dapo", "aime2024", "numina_olympiads", "codecontests", "hiyouga/geometry3k", "gpqa_diamond", "searchR1_nq"]
 
 
-@query("default_scores")
+@query("default_scores", f"""SELECT doc_id, ({SOURCES})[doc_id % 9 + 1] AS data_source, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE WHEN doc_id % 9 IN (2, 3) THEN -1.0::DOUBLE WHEN doc_id % 9 = 6 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents""")
 def default_scores(spark, d):
-    t = gsm(spark, d).select("doc_id", "response", F.col("truth").alias("ground_truth"), F.when(F.col("doc_id") % 2 == 0, "openai/gsm8k").otherwise("aime2024").alias("data_source"))
-    return S.default_score(t).groupBy("data_source").agg(r(F.avg("score")).alias("score"))
+    """Every family of scorers, half of the answers wrong."""
+    n, k = F.col("n_chars"), F.col("doc_id") % 9
+    said = F.when(F.col("doc_id") % 2 == 0, n).otherwise(2 * n + 7).cast("string")
+    n, pick = n.cast("string"), lambda values, rest: reduce(lambda c, iv: c.when(k == iv[0], iv[1]), list(values.items())[1:], F.when(k == list(values)[0], values[list(values)[0]])).otherwise(rest)
+    line = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    code = line("```python\nprint(int(input()) + ", said, ")\n```")
+    response = pick({0: line("so #### ", said), 1: line("it is \\boxed{", said, "}"), 4: line("The answer is \\boxed{", said, "}"), 5: code, 6: line("<think>t</think> \\boxed{", said, "}"),
+                     7: line("Answer: ", F.when(F.col("doc_id") % 2 == 0, "B").otherwise("C")), 8: line("<answer>", said, "</answer>")}, line("Answer: ", said))
+    truth = pick({5: line('{"inputs": ["0"], "outputs": ["', n, '"]}'), 7: F.lit("B"), 8: line('{"target": ["', n, '"]}')}, n)
+    t = docs(spark, d).select("doc_id", F.get(F.array(*map(F.lit, SOURCES)), k.cast("int")).alias("data_source"), response.alias("response"), truth.alias("ground_truth"))
+    return S.default_score(t).select("doc_id", "data_source", r("score").alias("score"))

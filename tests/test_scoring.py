@@ -70,6 +70,67 @@ def test_dispatch(spark):
         S.default_score(df.limit(1).withColumn("data_source", F.lit("other"))).collect()
 
 
+SCORED = [
+    ("openai/gsm8k", "#### 3", "3", 1.0),
+    ("lighteval/MATH", "so \\boxed{\\frac12}", "0.5", 1.0),
+    ("DigitalLearningGmbH/MATH-lighteval", "so \\boxed{2}", "3", 0.0),
+    ("HuggingFaceH4/MATH-500", None, "3", 0.0),
+    ("math", "Answer: 4", "4", 1.0),
+    ("math_dapo", "Answer: 5", "4", -1.0),
+    ("math_dapo_reasoning", "Answer: $4$", "4", 1.0),
+    ("aime2024", "Answer: 033", "33", -1.0),
+    ("numina_olympiads", "The answer is \\boxed{x+1}", "1+x", 1.0),
+    ("numina_cn_k12", "The answer is 3", "4", 0.0),
+    ("codecontests", "```python\nprint(int(input()) * 2)\n```", '{"inputs": ["2", "3"], "outputs": ["4\\n", "7"]}', 0.5),
+    ("apps", "```python\nclass Solution:\n    def f(self, a, b):\n        return a + b\n```", '{"fn_name": "f", "inputs": [[1, 2]], "outputs": [[3]]}', 1.0),
+    ("taco", "oops(", '{"inputs": ["2"], "outputs": ["4"]}', 0.0),
+    ("codeforces", "print(1)", "no json", 0.0),
+    ("hiyouga/geometry3k", "<think>t</think> \\boxed{12 cm}", "12", 1.0),
+    ("hiyouga/geometry3k", "\\boxed{12}", "12", 0.9),
+    ("gpqa_diamond", "Answer: B", "B", 1.0),
+    ("searchR1_nq", "<answer>the x</answer>", '{"target": ["y", "X"]}', 1.0),
+    ("searchR1_popqa", "<answer>y</answer>", '{"target": "y"}', 1.0),
+    ("searchR1_musique", "<answer>z</answer>", "z", 1.0),
+]
+
+
+def test_every_source_scores(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(SCORED)], "i int, data_source string, response string, ground_truth string, want double")
+    got = {r["i"]: (r["score"], r["want"]) for r in S.default_score(df).collect()}
+    assert all(abs(a - b) < 1e-9 for a, b in got.values()), [(SCORED[i][0], v) for i, v in got.items() if v[0] != v[1]]
+    named = {s for s in S.sources() if not s.endswith("*")}
+    assert {s for s, *_ in SCORED} | {"numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc"} >= named
+    golds = df.where("data_source = 'searchR1_nq'").withColumn("ground_truth", F.struct(F.array(F.lit("x")).alias("target")))
+    assert S.default_score(golds).first()["score"] == 1.0
+
+
+def test_limits_of_programs():
+    from rillflow.functions import cases
+
+    assert cases.output_of("print(input())", "a") == "a\n" and cases.output_of("1/0", "") is None
+    assert cases.output_of("while True: pass", "", seconds=1) is None
+    assert cases.output_of("x = bytearray(1 << 31)", "", memory_mb=256) is None
+    assert cases.same_output("1.0000000001 a", "1 a") and not cases.same_output("1 b", "1 a") and not cases.same_output(None, "")
+    many = '{"inputs": %s, "outputs": %s}' % (["1"] * 12, ["1"] * 10 + ["2"] * 2)
+    many = many.replace("'", '"')
+    assert cases.code_score("print(input())", many) == 1.0 and cases.code_score("print(input())", many, continuous=False) == 0.0
+
+
+@pytest.mark.parametrize("a, b, want", [("x+1", "1+x", True), ("(x+1)^2", "x^2+2x+1", True), ("\\sqrt{8}", "2\\sqrt{2}", True), ("2\\pi", "\\pi \\cdot 2", True), ("x-y", "y-x", False), ("sin(x)^2+cos(x)^2", "1", True),
+                                        ("1/3", "0.3333333333", False), ("a+b+c", "c+b+a", False), ("9^9^9^9", "9^9^9^9", False), ("1e999999999", "1", False), ("(" * 200 + "1", "1", False), ("\\sqrt[3]{27}", "3", True)])
+def test_symbolic_equality(a, b, want):
+    from rillflow.functions import symbolic
+
+    assert symbolic.same(a, b) == want
+
+
+def test_verified_and_matrices():
+    assert A.verified("so \\boxed{\\frac{2}{4}}", "0.5") == 1.0 and A.verified("about 1,000", "1000") == 1.0 and A.verified("none", "1") == 0.0
+    assert A.verified("\\boxed{(1, x+1)}", "(1,1+x)") == 1.0 and A.verified("\\boxed{(1,2]}", "(1,2)") == 0.0
+    one, other = "\\begin{pmatrix} 1 & 2 \\\\ 3 & 4.0 \\end{pmatrix}", "\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}"
+    assert A.close(one, other) and not A.close(one, other.replace("4", "5")) and A.close("[0.5, 1]", "[1/2, 1]")
+
+
 def test_points(spark):
     pts = ev(spark, '[{"point_2d": [1, 2]}, {"point_2d": [3, 4]}]', S.points)
     assert pts == [[1.0, 2.0], [3.0, 4.0]] and ev(spark, "no", S.points) is None
