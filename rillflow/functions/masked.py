@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions import seeded
+
 EPS = 1e-8
 
 
@@ -170,7 +172,7 @@ def completion_mask(complete, repeat: int = 1) -> Column:
 
 def random_mask(key: Column, length: int, valid: tuple[float, float] = (0.1, 0.8), left: float = 0.2, seed: int = 0) -> Column:
     """A mask with random padding on both sides, for tests: the share of valid places within ``valid``, at most ``left`` of it before them."""
-    u = lambda i: F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = lambda i: seeded.unit(seed, key, F.lit(i))
     start = F.floor(u(1) * left * length)
     n = F.floor((u(2) * (valid[1] - valid[0]) + valid[0]) * length)
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ((i >= start) & (i < start + n)).cast("int"))

@@ -96,11 +96,20 @@ def inverse(order: list[int]) -> list[int]:
     return out
 
 
-def data_parallel(lengths: list[int], ranks: int) -> list[list[int]]:
-    """Equal counts per rank; within a rank light sequences stand at both ends."""
+def data_parallel(lengths: list[int], ranks: int, minibatch: int | None = None) -> list[list[int]]:
+    """Equal counts per rank; within a rank light sequences stand at both ends.
+
+    ``minibatch``: every so many sequences are dealt by themselves, so that each rank has its equal share of each; what
+    is left over behind the last whole mini-batch is not dealt.
+    """
     work = [24576 * x + x * x for x in lengths]
+    parts: list[list[int]] = [[] for _ in range(ranks)]
+    size = minibatch or len(work)
+    for start in range(0, len(work) // size * size if size else 0, max(size, 1)):
+        for rank, part in enumerate(balanced(work[start : start + size], ranks, equal=True)):
+            parts[rank] += [start + i for i in part]
     out = []
-    for part in balanced(work, ranks, equal=True):
+    for part in parts:
         part = sorted(part, key=lambda i: (work[i], i))
         out.append(part[::2] + part[1::2][::-1])
     return out
@@ -132,6 +141,16 @@ def serpentine(df: DataFrame, length: str, k: int, key: str, name: str = "part")
     return indexed.withColumn(name, F.when(place < k, place).otherwise(2 * k - 1 - place).cast("int")).drop("__i")
 
 
+def least_loaded(df: DataFrame, request: str, order: list[str], servers: int, name: str = "server") -> DataFrame:
+    """A server for each request id, the same for every turn: ids go, in the order of their first turn, to the server that has had the fewest.
+
+    As no id ever leaves, that is a deal in turn: the place of the id's first turn among first turns, modulo ``servers``.
+    """
+    first = df.groupBy(F.col(request).alias("__id")).agg(F.min(F.struct(*order)).alias("__first"))
+    placed = row_index(first, ["__first", "__id"], "__i").select("__id", F.pmod("__i", F.lit(servers)).cast("int").alias(name))
+    return df.join(placed, F.col(request).eqNullSafe(F.col("__id"))).drop("__id")
+
+
 def sticky(request: Column, servers: int) -> Column:
     """A server for a request id, the same for every turn."""
     return F.pmod(F.xxhash64(request), F.lit(servers)).cast("int")

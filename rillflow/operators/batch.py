@@ -93,7 +93,7 @@ def assign(df: DataFrame, **values) -> DataFrame:
 
 def append_lists(df: DataFrame, key: str, columns: list[str], order_by: str) -> DataFrame:
     """One row per key with the list of each column's values, in the order of ``order_by``."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order_by, *columns))).alias("x"))
+    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order_by).alias("__order"), *columns))).alias("x"))
     return rows.select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
 
 
@@ -225,6 +225,11 @@ def pad_to_divisor(df: DataFrame, divisor: int, order_by) -> DataFrame:
     return indexed.withColumn("is_pad", F.lit(False)).unionByName(extra)
 
 
+def whole(df: DataFrame, order_by, name: str = "batch") -> DataFrame:
+    """All rows as one batch, as validation takes them, with ``row_idx`` in order."""
+    return row_index(df, order_by).withColumn(name, F.lit(0).cast("long"))
+
+
 def unpad(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_pad")).drop("is_pad", "row_idx")
 

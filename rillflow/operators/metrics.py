@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillflow.functions import masked as M
+from rillflow.functions import seeded
 from rillflow.session import ship
 
 
@@ -369,7 +370,7 @@ def stale_counts(df: DataFrame, version: str, current: int) -> DataFrame:
 
 def log_samples(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows in a seeded random order of their key, for a table of generations."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return df.orderBy(seeded.order(seed, key), key).limit(k)
 
 
 def generations_wide(df: DataFrame, k: int) -> DataFrame:

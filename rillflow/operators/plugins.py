@@ -5,15 +5,20 @@ from __future__ import annotations
 import importlib.util
 import signal
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rillflow.functions import masked as M
 from rillflow.functions import scoring as S
+from rillflow.functions import seeded as seeds
 from rillflow.session import ship
+from rillflow.streaming import queues
 
 
 class Registry:
@@ -50,10 +55,8 @@ def naive(df: DataFrame, score: Callable[[DataFrame], DataFrame] = S.default_sco
     return scored.withColumn("score", final).withColumn("rewards", S.place_reward("score", "response_length", F.col("max_length")))
 
 
-@reward_managers.register("batch")
-def batch(df: DataFrame, score: Callable[[DataFrame], DataFrame] = S.default_score, **options) -> DataFrame:
-    """All rows are scored by one function of the frame."""
-    return naive(df, score, **options)
+#: All rows are scored by one function of the frame, which is how ``naive`` works.
+reward_managers.register("batch")(naive)
 
 
 @reward_managers.register("dapo")
@@ -73,8 +76,7 @@ def prime(df: DataFrame, score: Callable[[str, str], float], seconds: float = 30
         out = []
         for t, g in zip(text, truth):
             try:
-                with time_limit(seconds):
-                    out.append(float(score(t, g)))
+                out.append(float(within(seconds, score, t, g)))
             except Exception:
                 out.append(0.0)
         return pd.Series(out, dtype=float)
@@ -82,12 +84,90 @@ def prime(df: DataFrame, score: Callable[[str, str], float], seconds: float = 30
     return naive(df, lambda d: d.withColumn("score", scored("response", "ground_truth")))
 
 
+@reward_managers.register("rate_limited")
+def rate_limited(df: DataFrame, score: Callable[[str, str], float], per_minute: float = 600.0, tasks: int = 8, seconds: float = 300.0, attempts: int = 3, **options) -> DataFrame:
+    """A Python scorer of an outside service: ``tasks`` tasks share ``per_minute`` calls, each call in its turn, with time limit and retries.
+
+    A row that fails for good counts 0.0. Errors with a ``status`` of 400 to 499 are not tried again.
+    """
+    ship()
+    gap = 60.0 * tasks / per_minute
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        due = time.monotonic()
+
+        def call(t, g) -> float:
+            nonlocal due
+            time.sleep(max(0.0, due - time.monotonic()))
+            due = max(due, time.monotonic()) + gap
+            return float(within(seconds, score, t, g))
+
+        for pdf in frames:
+            out = []
+            for t, g in zip(pdf["response"], pdf["ground_truth"]):
+                try:
+                    out.append(retried(call, t, g, attempts=attempts))
+                except Exception:
+                    out.append(0.0)
+            yield pdf.assign(score=out)
+
+    rows = df.drop("score").repartition(tasks)
+    scored = rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return naive(scored, lambda d: d)
+
+
+@reward_managers.register("collabllm")
+def collabllm(df: DataFrame, score=None, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    """``score`` of a conversation from its metrics, a map of name to value: each times its weight and clamped to [-1, 1], summed; metrics that are missing or null count 0."""
+    own = weights or {}
+    parts = [M.clip(F.coalesce(F.try_element_at("metrics", F.lit(k)).cast("double"), F.lit(0.0)) * float(v), -1, 1) for k, v in own.items()]
+    return naive(df, lambda d: d.withColumn("score", reduce(lambda a, b: a + b, parts, F.lit(0.0))))
+
+
+def within(seconds: float, f: Callable, *args):
+    """``f(*args)``, or TimeoutError after so many seconds: by a signal in the main thread, elsewhere by leaving a daemon thread behind."""
+    if threading.current_thread() is threading.main_thread():
+        with time_limit(seconds):
+            return f(*args)
+    found: list = []
+
+    def call() -> None:
+        try:
+            found.append((True, f(*args)))
+        except BaseException as e:
+            found.append((False, e))
+
+    t = threading.Thread(target=call, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not found:
+        raise TimeoutError(f"{seconds} s")
+    if not found[0][0]:
+        raise found[0][1]
+    return found[0][1]
+
+
+def retried(f: Callable, *args, attempts: int = 3, wait: Callable[[int], float] = queues.backoff, sleep: Callable[[float], None] | None = None):
+    """``f(*args)``, tried again after :func:`rillflow.streaming.queues.backoff` where it raises; errors with ``status`` 400 to 499 are final."""
+    import time
+
+    for turn in range(attempts):
+        try:
+            return f(*args)
+        except Exception as e:
+            status = getattr(e, "status", None)
+            if turn == attempts - 1 or (isinstance(status, int) and 400 <= status < 500):
+                raise
+            (sleep or time.sleep)(wait(turn))
+
+
 @contextmanager
 def time_limit(seconds: float):
-    """Raises TimeoutError in the main thread after so many seconds; elsewhere it does nothing."""
+    """Raises TimeoutError after so many seconds. Signals reach the main thread only, so elsewhere it raises RuntimeError at once; see :func:`within`."""
     if threading.current_thread() is not threading.main_thread():
-        yield
-        return
+        raise RuntimeError("time_limit works in the main thread only")
 
     def stop(*_):
         raise TimeoutError(f"{seconds} s")
@@ -136,6 +216,15 @@ def prompts(spark, paths: list[str], max_tokens: int | None = None, token_count:
     return B.first_samples(df, max_samples, key or df.columns[0], seed) if max_samples >= 0 else df
 
 
+@datasets.register("generated")
+def generated(spark, paths: list[str], generate: Callable[[DataFrame], DataFrame], keep: Column | None = None, **options) -> DataFrame:
+    """The prompts with what ``generate`` makes of them (a frame of the same columns), of that what passes ``keep``."""
+    from rillflow.operators import batch as B
+
+    df = prompts(spark, paths, **options)
+    return B.grow(df, generate(df), keep if keep is not None else F.lit(True))
+
+
 @samplers.register("sequential")
 def sequential(key: str, **_) -> list[Column]:
     return [F.col(key)]
@@ -143,7 +232,7 @@ def sequential(key: str, **_) -> list[Column]:
 
 @samplers.register("random")
 def seeded(key: str, seed: int = 0, **_) -> list[Column]:
-    return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    return [seeds.order(seed, key), F.col(key)]
 
 
 parsers.register("hermes")(lambda text: S.tool_calls(text))
@@ -171,6 +260,56 @@ def nd_compute(df: DataFrame, n: int, ranks: dict[int, int], order_by="row_idx",
     return dp_compute(df, n, order_by).withColumnRenamed("worker", "rank").join(F.broadcast(pairs), "rank")
 
 
+@dispatchers.register("rank_zero")
+def rank_zero(df: DataFrame, n: int, **_) -> DataFrame:
+    """The first worker gets every row."""
+    return df.withColumn("worker", F.lit(0))
+
+
+@dispatchers.register("all_to_all")
+def all_to_all(df: DataFrame, n: int, **_) -> DataFrame:
+    """Rows name their worker already; one that is not there raises."""
+    named = F.when(F.col("worker").between(0, n - 1), F.col("worker")).otherwise(F.raise_error(F.lit(f"a worker is not among {n}")).cast("int"))
+    return df.withColumn("worker", named)
+
+
+@dispatchers.register("dp_compute_proto")
+def dp_compute_proto(df: DataFrame, n: int, order_by="row_idx", **_) -> DataFrame:
+    """Contiguous equal parts of any number of rows: rows of the head fill the last part up, marked ``is_pad``."""
+    from rillflow.operators.batch import pad_to_divisor
+
+    padded = pad_to_divisor(df.drop("row_idx") if order_by != "row_idx" else df.withColumnRenamed("row_idx", "__order"), n, "__order" if order_by == "row_idx" else order_by)
+    total = F.broadcast(padded.agg(F.count(F.lit(1)).alias("__total")))
+    dealt = padded.crossJoin(total).withColumn("worker", F.expr(f"row_idx * {n} div __total").cast("int")).drop("__total")
+    return dealt.drop("row_idx").withColumnRenamed("__order", "row_idx") if order_by == "row_idx" else dealt
+
+
+#: What comes back is kept per worker instead of joined, see :func:`collect_parts`.
+dispatchers.register("dp_compute_metric")(dp_compute_proto)
+
+
+@dispatchers.register("dp_compute_proto_with_func")
+def dp_compute_proto_with_func(df: DataFrame, n: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order_by="row_idx", **_) -> DataFrame:
+    """:func:`dp_compute_proto`, and each worker's part (padding too) through ``f``; a part has to fit a task."""
+    ship()
+    return dp_compute_proto(df, n, order_by).groupBy("worker").applyInPandas(f, schema)
+
+
+@dispatchers.register("direct_rollout_method")
+def direct_rollout_method(df: DataFrame, n: int, **_) -> DataFrame:
+    raise NotImplementedError("rollout methods are called directly, not dispatched")
+
+
+def collect_rows(df: DataFrame) -> DataFrame:
+    """Results of all workers as one table, without padding."""
+    return (df.where(~F.col("is_pad")).drop("is_pad") if "is_pad" in df.columns else df).drop("worker")
+
+
+def collect_parts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per worker with the lists of its results, for metrics. A part has to fit a task."""
+    return df.groupBy("worker").agg(*[F.collect_list(c).alias(c) for c in columns])
+
+
 def collect(df: DataFrame, keep: dict[int, bool]) -> DataFrame:
     """Of results of several workers, those of workers that are to report."""
     return df.where(F.col("worker").isin(*[w for w, k in keep.items() if k]))

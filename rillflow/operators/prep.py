@@ -35,6 +35,7 @@ def rl_row(df: DataFrame, source: str, question: Column, truth: Column, ability:
     return df.select(*columns)
 
 
+#: What prompts end with (fixed values).
 MATH_SUFFIX = " Let's think step by step and output the final answer within \\boxed{}."
 GSM8K_SUFFIX = ' Let\'s think step by step and output the final answer after "####".'
 
@@ -67,6 +68,21 @@ def math_rows(df: DataFrame, source: str = "math", **options) -> DataFrame:
     return rl_row(t, source, F.concat("problem", F.lit(MATH_SUFFIX)), F.col("__truth"), "math", **options)
 
 
+def exam_rows(df: DataFrame, source: str, question: str = "question", answer: str = "answer", language: str = "en", **options) -> DataFrame:
+    """Competition problems with one final answer, for evaluation only: the question with the boxed suffix, the answer as text."""
+    text = F.concat(F.col(question), F.lit(MATH_SUFFIX))
+    return rl_row(df.where(F.col(answer).isNotNull()), source, text, F.col(answer).cast("string"), "math", split="test", language=F.lit(language), **options)
+
+
+def turn_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tools: str | None = None) -> DataFrame:
+    """One row per conversation for multi-turn fine-tuning: ``messages`` in order, and ``tools`` as JSON where a column has them."""
+    picked = [F.sort_array(F.collect_list(F.struct(turn, F.col(role).alias("role"), F.col(text).alias("content")))).alias("x")]
+    picked += [F.first(F.to_json(tools), ignorenulls=True).alias("tools")] if tools else []
+    g = df.groupBy(conv).agg(*picked)
+    messages = F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")
+    return g.select(conv, messages, *(["tools"] if tools else []))
+
+
 def clean_activity(text: Column) -> Column:
     """Without titles in brackets and doubled spaces."""
     out = F.replace(F.trim(text), F.lit(" [title]"), F.lit(". "))

@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("learning", "tables", "texts", "streams")
+MODULES = ("learning", "tables", "texts", "streams", "parts")
 
 
 def query(name: str, sql: str | None = None):

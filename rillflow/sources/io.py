@@ -126,6 +126,50 @@ def local_cache_path(path: str, cache: str) -> str:
     return f"{cache}/{hashlib.md5(path.encode()).hexdigest()}/{path.rstrip('/').rsplit('/', 1)[-1]}"
 
 
+def cached_copy(spark: SparkSession, source: str, cache: str, always: bool = False, verify: bool = True) -> str:
+    """A copy of a file or folder below ``cache``, made if it is not there; its path.
+
+    The copy is made beside its place and renamed when it is whole, so that readers never see half of it; of two that
+    copy at once the first one wins. ``always`` copies anew, ``verify`` does so where the sizes differ.
+    """
+    import uuid
+
+    conf, target = spark._jsc.hadoopConfiguration(), local_cache_path(source, cache)
+    a, b, t = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target, f"{target}.{uuid.uuid4().hex[:8]}"))
+    files_a, files_b = a.getFileSystem(conf), b.getFileSystem(conf)
+    length = lambda files, p: files.getContentSummary(p).getLength()
+    there = files_b.exists(b)
+    if there and not always and not (verify and length(files_a, a) != length(files_b, b)):
+        return target
+    files_b.mkdirs(b.getParent())
+    copy(spark, source, t.toString())
+    if verify and length(files_a, a) != length(files_b, t):
+        files_b.delete(t, True)
+        raise OSError(f"{source} was not copied whole")
+    if there:
+        files_b.delete(b, True)
+    if files_b.exists(b) or not files_b.rename(t, b):
+        files_b.delete(t, True)
+    return target
+
+
+def save_state(spark: SparkSession, path: str, epoch: int, batch: int, seed: int) -> None:
+    """The place of a loader in its data, from which :func:`rillflow.operators.batch.resume` goes on."""
+    spark.createDataFrame([(epoch, batch, seed)], "epoch int, batch int, seed int").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_state(spark: SparkSession, path: str) -> dict[str, int]:
+    return spark.read.schema("epoch int, batch int, seed int").json(path).first().asDict()
+
+
+def dump_trajectories(df: DataFrame, path: str, key: str = "conv_id", order: str = "turn") -> None:
+    """JSON lines of conversations with their turns in order, a folder per ``step`` where there is one."""
+    keys = [key, *(["step"] if "step" in df.columns else [])]
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("turns"))
+    (g.write.mode("append").partitionBy("step") if "step" in keys else g.write.mode("append")).json(path)
+
+
 def log_metrics(df: DataFrame, path: str, format: str = "json") -> None:
     """Long metrics (step, metric, value) appended, or with ``format="console"`` printed as ``step:k - name:v``."""
     if format == "console":

@@ -43,7 +43,9 @@ def drop_oldest(df: DataFrame, capacity: int, queue: str = "queue", order: str =
     """What becomes of each ``put`` of an ordered log of puts and gets: ``fate`` is ``got``, ``dropped`` or ``queued``.
 
     A queue holds ``capacity`` samples; a put to a full one drops the oldest, a get from an empty one gets nothing.
-    Queues are independent and have names that are not null; the state of a replay is the samples held.
+    Queues are independent and have names that are not null; the state of a replay is the samples held. Puts and gets
+    of one queue are a sequence by nature: one task replays each queue, in Python and in batches, so that the longest
+    log bounds the time. For logs of puts alone :func:`newest` needs no replay.
     """
     from collections import deque
 
@@ -195,3 +197,71 @@ def ready(fields: list[DataFrame], key: str = "sample_id") -> DataFrame:
     for f in fields[1:]:
         out = out.join(f, key)
     return out
+
+
+def consumable(fields: list[DataFrame], consumed: DataFrame, task: str, key: str = "sample_id") -> DataFrame:
+    """Samples whose fields have all arrived and that a task has not consumed yet; ``consumed`` logs (task, key) of what tasks took."""
+    taken = consumed.where(F.col("task") == task).select(F.col(key).alias("__taken"))
+    return ready(fields, key).join(taken, F.col(key) == F.col("__taken"), "left_anti")
+
+
+def until_end(df: DataFrame, payload: str = "payload", queue: str = "queue", order: str = "seq") -> DataFrame:
+    """Per queue, the samples before its first end mark, a row whose payload is null; all of them where it has none."""
+    ends = df.where(F.col(payload).isNull()).groupBy(F.col(queue).alias("__q")).agg(F.min(order).alias("__end"))
+    t = df.join(ends, F.col(queue).eqNullSafe(F.col("__q")), "left")
+    return t.where(F.col(payload).isNotNull() & (F.col("__end").isNull() | (F.col(order) < F.col("__end")))).drop("__q", "__end")
+
+
+def one_step_off(df: DataFrame, batch: str = "batch") -> DataFrame:
+    """With ``generated_with``, the parameter version a batch was generated with while the batch before was trained on, and its ``staleness``."""
+    version = F.greatest(F.col(batch) - 1, F.lit(0)).cast("long")
+    return df.withColumn("generated_with", version).withColumn("staleness", F.col(batch).cast("long") - version)
+
+
+def scheduled(df: DataFrame, slots: int, sample: str = "sample_id", order: str = "seq", seconds: str = "seconds", key: str = "stream", stops: list[float] = ()) -> DataFrame:
+    """(stream, sample, run, start, end, done): samples in order on ``slots`` places at once; at each stop what runs is cancelled and queued again, first in line.
+
+    A stream is a sequence by nature, replayed by one task; its state is the samples that run.
+    """
+    import heapq
+
+    def fresh() -> dict:
+        return {"clock": 0.0, "running": [], "stops": sorted(stops), "again": []}
+
+    def free_slot(name, s: dict, out: list, until_empty: bool = False) -> None:
+        """Lets time pass until a slot is free (or all are), queueing again what stops cut off."""
+        while s["running"] and (until_empty or len(s["running"]) >= slots):
+            end, start, sid, run, length = s["running"][0]
+            if s["stops"] and s["stops"][0] < end:
+                at = s["stops"].pop(0)
+                cut = [r for r in s["running"] if r[1] <= at]
+                s["running"] = [r for r in s["running"] if r[1] > at]
+                for _, start, sid, run, length in sorted(cut, key=lambda r: (r[1], r[2])):
+                    out.append((name, sid, run, start, at, False))
+                    s["again"].append((sid, run + 1, length))
+                s["clock"] = max(s["clock"], at)
+                for sid, run, length in s["again"]:
+                    heapq.heappush(s["running"], (s["clock"] + length, s["clock"], sid, run, length))
+                s["again"] = []
+                heapq.heapify(s["running"])
+                continue
+            heapq.heappop(s["running"])
+            s["clock"] = max(s["clock"], end)
+            out.append((name, sid, run, start, end, True))
+
+    def step(name, s: dict, row: tuple) -> list[tuple]:
+        out: list[tuple] = []
+        _, sid, length = row
+        free_slot(name, s, out)
+        heapq.heappush(s["running"], (s["clock"] + length, s["clock"], sid, 1, length))
+        return out
+
+    def finish(name, s: dict) -> list[tuple]:
+        out: list[tuple] = []
+        free_slot(name, s, out, True)
+        return out
+
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    kinds = f"{key} {kind(key)}, {sample} {kind(sample)}, run int, start double, end double, done boolean"
+    src = df.select(key, order, sample, F.col(seconds).cast("double").alias(seconds))
+    return replay(src, key, [order], [order, sample, seconds], kinds, fresh, step, finish)

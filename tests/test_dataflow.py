@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rillflow import schemas
 from rillflow.operators import balance as Z
-from rillflow.operators import filters, prep, search
+from rillflow.operators import filters, plugins, prep, search
 from rillflow.sources import io
 from rillflow.streaming import events, queues
 
@@ -268,3 +268,109 @@ def test_versions_and_batches(spark):
     assert [r["stale"] for r in queues.version_resets(df).orderBy("seq").collect()] == [1, 5, 6]
     b = queues.full_batches(spark.range(7).withColumn("k", F.lit(0)), 3, "k", ["id"])
     assert b.count() == 6 and queues.staleness_budget(10, 0.5, 2) == 30
+
+
+def test_dispatch_modes(spark):
+    df = spark.range(10).withColumnRenamed("id", "row_idx").withColumn("x", F.col("row_idx") * 2)
+    dealt = plugins.dispatchers.get("dp_compute_proto")(df, 4)
+    assert dealt.columns == ["row_idx", "x", "is_pad", "worker"] and sorted(r["worker"] for r in dealt.collect()) == [0] * 3 + [1] * 3 + [2] * 3 + [3] * 3
+    assert sorted(r["x"] for r in plugins.collect_rows(dealt).collect()) == [2 * i for i in range(10)]
+    assert plugins.collect_parts(dealt, ["x"]).count() == 4
+    assert {r["worker"] for r in plugins.dispatchers.get("rank_zero")(df, 3).collect()} == {0}
+    named = df.withColumn("worker", (F.col("row_idx") % 3).cast("int"))
+    assert plugins.dispatchers.get("all_to_all")(named, 3).count() == 10
+    with pytest.raises(Exception, match="not among 2"):
+        plugins.dispatchers.get("all_to_all")(named, 2).collect()
+    with pytest.raises(NotImplementedError):
+        plugins.dispatchers.get("direct_rollout_method")(df, 2)
+
+
+def test_retries_and_limits():
+    import threading
+    import time
+
+    class Status(Exception):
+        def __init__(self, status):
+            self.status = status
+
+    calls, waits = [], []
+
+    def failing(*errors):
+        left = list(errors)
+
+        def f():
+            calls.append(1)
+            if left:
+                raise left.pop(0)
+            return "ok"
+
+        return f
+
+    assert plugins.retried(failing(Status(500), OSError()), sleep=waits.append) == "ok" and len(calls) == 3 and waits == [1.0, 2.0]
+    with pytest.raises(Status):
+        plugins.retried(failing(Status(404)), sleep=waits.append)
+    with pytest.raises(OSError):
+        plugins.retried(failing(OSError(), OSError()), attempts=2, sleep=waits.append)
+    assert len(calls) == 6
+    seen = []
+
+    def aside():
+        try:
+            plugins.within(0.2, time.sleep, 5)
+        except TimeoutError:
+            seen.append("late")
+        seen.append(plugins.within(2, lambda x: x + 1, 1))
+        try:
+            with plugins.time_limit(1):
+                seen.append("silent")
+        except RuntimeError:
+            seen.append("refused")
+
+    t = threading.Thread(target=aside)
+    t.start()
+    t.join(10)
+    assert seen == ["late", 2, "refused"]
+    with pytest.raises(TimeoutError):
+        plugins.within(0.2, time.sleep, 5)
+
+
+def test_rate_limited_manager(spark):
+    df = spark.createDataFrame([("a", "a", 1, 1), ("b", "c", 1, 1), ("x", "x", 1, 2)], "response string, ground_truth string, response_length int, max_length int")
+
+    def score(text, truth):
+        if text == "x":
+            raise ValueError
+        return float(text == truth)
+
+    got = plugins.reward_managers.get("rate_limited")(df, score, per_minute=60_000, tasks=2, attempts=1)
+    assert sorted((r["response"], r["rewards"]) for r in got.collect()) == [("a", [1.0]), ("b", [0.0]), ("x", [0.0, 0.0])]
+
+
+def test_scheduled_samples_run_on_so_many_slots(spark):
+    rows = [("s", i, i, 3.0) for i in range(5)] + [("t", 0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "stream string, seq int, sample_id int, seconds double")
+    plain = sorted(tuple(r) for r in queues.scheduled(df, 2).collect())
+    assert plain == [("s", 0, 1, 0.0, 3.0, True), ("s", 1, 1, 0.0, 3.0, True), ("s", 2, 1, 3.0, 6.0, True), ("s", 3, 1, 3.0, 6.0, True), ("s", 4, 1, 6.0, 9.0, True), ("t", 0, 1, 0.0, 1.0, True)]
+    cut = sorted(tuple(r) for r in queues.scheduled(df.where("stream = 's' and seq < 3"), 2, stops=[2.0]).collect())
+    assert cut == [("s", 0, 1, 0.0, 2.0, False), ("s", 0, 2, 2.0, 5.0, True), ("s", 1, 1, 0.0, 2.0, False), ("s", 1, 2, 2.0, 5.0, True), ("s", 2, 1, 5.0, 8.0, True)]
+
+
+def test_minibatches_are_dealt_by_themselves():
+
+
+    lengths = [(i * 37) % 50 + 1 for i in range(70)]
+    parts = Z.data_parallel(lengths, 4, minibatch=16)
+    assert sorted(i for p in parts for i in p) == list(range(64))
+    assert all(sum(a <= i < a + 16 for i in p) == 4 for p in parts for a in range(0, 64, 16))
+
+
+def test_cached_copies(spark, tmp_path):
+
+
+    source = f"{tmp_path}/in"
+    spark.range(5).coalesce(1).write.parquet(source)
+    at = io.cached_copy(spark, source, f"{tmp_path}/cache")
+    assert spark.read.parquet(at).count() == 5 and io.cached_copy(spark, source, f"{tmp_path}/cache") == at
+    spark.range(50).coalesce(1).write.mode("overwrite").parquet(source)
+    assert spark.read.parquet(io.cached_copy(spark, source, f"{tmp_path}/cache", verify=False)).count() == 5
+    assert spark.read.parquet(io.cached_copy(spark, source, f"{tmp_path}/cache")).count() == 50
