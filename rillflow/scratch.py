@@ -68,9 +68,16 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def scope():
-    """Discards, at its end, every table that was written within it: results must be written or collected by then."""
+    """Discards, at its end, every table that was written within it but those added to the list it gives.
+
+    Results have to be written, collected or kept by then; what is kept belongs to the scope around, if there is one.
+    """
+    kept: list[DataFrame] = []
     _scopes.append([])
     try:
-        yield
+        yield kept
     finally:
-        discard(*_scopes.pop())
+        own, stay = _scopes.pop(), {t.scratch_path for t in kept}
+        discard(*[t for t in own if t.scratch_path not in stay])
+        if _scopes:
+            _scopes[-1] += [t for t in own if t.scratch_path in stay]

@@ -53,6 +53,13 @@ def test_positions_leave_nothing_in_memory_and_tables_only_in_scope(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    with scratch.scope():
+        with scratch.scope() as kept:
+            kept.append(scratch.materialise(df, "outer"))
+            scratch.materialise(df, "inner")
+        assert kept[0].count() == 1000
+    gone = spark._jvm.org.apache.hadoop.fs.Path(kept[0].scratch_path)
+    assert not gone.getFileSystem(spark._jsc.hadoopConfiguration()).exists(gone)
     assert batch.row_index(df.limit(0), "x").count() == 0 and batch.running_total(df.limit(0), "x", "id").count() == 0
 
 
