@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from rillflow.llm.common import materialise, table
+from rillflow.llm.common import discard, materialise, scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every stage on what its predecessor kept. Tables of a stage go once the next one is written; what the last one reads stays until the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope() as kept:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
