@@ -188,5 +188,7 @@ def extract(pages: DataFrame, columns: list[str], html_col: str = "html", model=
     """
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
-    picked = pages.select(F.col(f"`{html_col}`").alias("__page"), *[F.col(f"`{c}`") for c in columns if c != "text"])
-    return picked.mapInArrow(W.tidy(extractor(shared, threshold)), T.StructType([*picked.schema.fields[1:], T.StructField("text", T.StringType())]))
+    names = [c for c in columns if c != "text"]
+    picked = pages.select(F.col(f"`{html_col}`").alias("__page"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
+    found = picked.mapInArrow(W.tidy(extractor(shared, threshold)), T.StructType([*picked.schema.fields[1:], T.StructField("text", T.StringType())]))
+    return found.toDF(*names, "text")

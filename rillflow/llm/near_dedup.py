@@ -64,7 +64,7 @@ class Plan:
     rows: int = 7
     n_sign: int = 160
     block: int = 2048
-    text_block: int = 512
+    text_block: int = 256
     block_bytes: int = 32 << 20
 
     @property

@@ -33,8 +33,10 @@ def hex_digits(rows: int) -> int:
 def interleave(docs: DataFrame, seed: str = "shard", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``__place`` (from 0, the interleaved global order) and ``__all`` (rows in all).
 
-    Null sources are a source of their own, null ids an id of their own; rows that tie in source and
-    id are told apart by a hash of all columns, and wholly equal rows may stand in either order.
+    Null sources are a source of their own, null ids an id of their own; ids may be of any type; rows that
+    tie in source and id are told apart by a hash of all columns, and wholly equal rows may stand in either
+    order. Texts are carried along and not looked at, whether null, empty or very long; an empty table stays
+    empty; columns may have any names but those two.
     """
     total = docs.count()
     digits = hex_digits(total)

@@ -176,8 +176,9 @@ def score(docs: DataFrame, model, columns: list[str], text_col: str = "text") ->
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in columns if c != "score"])
-    return picked.mapInArrow(W.tidy(scorer(shared)), T.StructType([*picked.schema.fields[1:], T.StructField("score", T.DoubleType())]))
+    names = [c for c in columns if c != "score"]
+    picked = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
+    return picked.mapInArrow(W.tidy(scorer(shared)), T.StructType([*picked.schema.fields[1:], T.StructField("score", T.DoubleType())])).toDF(*names, "score")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, options: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
