@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions import masked as M
+from rillflow.functions import seeded
 
 Estimator = Callable[..., DataFrame]
 _estimators: dict[str, Estimator] = {}
@@ -312,8 +313,7 @@ def resample(df: DataFrame, weight: Column, draws: int, seed: int, order: str) -
     bins = F.sequence(F.floor(F.col("__low") * draws), F.least(F.floor(F.col("__high") * draws), F.lit(draws - 1)))
     w = w.withColumn("__bin", F.explode(bins))
     spark = df.sparkSession
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / F.lit(float(1 << 53)))
-    d = spark.range(draws).select(F.col("id").alias("draw"), u.alias("__u")).withColumn("__bin", F.floor(F.col("__u") * draws))
+    d = spark.range(draws).select(F.col("id").alias("draw"), seeded.unit(seed, "id").alias("__u")).withColumn("__bin", F.floor(F.col("__u") * draws))
     hit = (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))
     return w.join(d, "__bin").where(hit).drop("__bin", "__u", "__low", "__high", "__all", "__upto", "__w")
 

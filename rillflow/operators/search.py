@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import batched
+from functools import reduce
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from rillflow.scratch import materialise
 from rillflow.session import ship
 
 
@@ -27,50 +30,70 @@ def pool(hidden: str, mask: str, how: str = "mean") -> Column:
     return F.transform(total, lambda x: x / n)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+#: Bytes of query vectors that are broadcast for one pass over a corpus, and of scores that a task holds at once.
+QUERY_BYTES, SCORE_BYTES = 64 << 20, 32 << 20
+
+
+def best_of(q: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
+    """(scores, ids) of the k best rows of all batches (id, vector) for each query; ties by the smaller id, fewer where there are fewer."""
+    best_s, best_d = np.zeros((len(q), 0)), None
+    for batch in batches:
+        batch = batch.filter(batch.column(1).is_valid())
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)[order]
+        top = min(k, len(ids))
+        s, d = np.empty((len(q), top)), np.empty((len(q), top), ids.dtype)
+        rows = max(1, SCORE_BYTES // (8 * len(ids)))
+        for a in range(0, len(q), rows):  # rows stand in the order of their ids, so a stable sort keeps ties right
+            part = q[a : a + rows] @ x.T
+            at = np.argsort(-part, axis=1, kind="stable")[:, :top]
+            s[a : a + rows], d[a : a + rows] = np.take_along_axis(part, at, 1), ids[at]
+        if best_d is not None:
+            s, d = np.concatenate([best_s, s], 1), np.concatenate([best_d, d], 1)
+            by_id = np.argsort(d, axis=1, kind="stable")
+            s, d = np.take_along_axis(s, by_id, 1), np.take_along_axis(d, by_id, 1)
+            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            s, d = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
+        best_s, best_d = s, d
+    return best_s, best_d
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank from 1) of the k best inner products; ties by the smaller doc id.
 
-    The query set passes the driver in blocks of ``block`` vectors, each broadcast for one pass over the corpus; a task
-    multiplies matrices and keeps its own k best per query, so that k rows per query and task are shuffled.
+    The query set passes the driver in blocks of ``block`` vectors (as many as ``QUERY_BYTES`` hold), each broadcast for
+    one pass over the corpus; a task multiplies matrices and keeps its own k best per query, so that k rows per query and
+    task are shuffled. Ids are of any type with an order; rows without a vector are no candidates.
     """
     ship()
     spark, parts = corpus.sparkSession, []
-    id_kind = corpus.schema[doc_id].dataType.simpleString()
-    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {id_kind}, score double"
-    name_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[queries.schema[query_id].dataType.simpleString()]
+    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    block = block or max(1024, QUERY_BYTES // (8 * max(1, first[0] if first else 1)))
+    name_kind = queries.schema[query_id].dataType
+    kinds = f"query_id {name_kind.simpleString()}, doc_id {corpus.schema[doc_id].dataType.simpleString()}, score double"
+    name_type = to_arrow_type(name_kind)
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best_s, best_d, id_type = np.zeros((len(names), 0)), np.zeros((len(names), 0), object), pa.int64()
-            for batch in batches:
-                id_type = batch.column(0).type
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                if not batch.num_rows or not len(names):
-                    continue
-                ids = np.array(batch.column(0).to_pylist(), object)
-                s = np.concatenate([best_s, q @ x.T], 1)
-                d = np.concatenate([best_d, np.broadcast_to(ids, (len(names), len(ids)))], 1)
-                _, rank = np.unique(d, return_inverse=True)
-                order = np.lexsort((rank.reshape(d.shape), -s), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            if best_s.size:
-                width = best_s.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n in names for _ in range(width)], name_type), pa.array(best_d.ravel().tolist(), id_type), pa.array(best_s.ravel())],
-                    names=["query_id", "doc_id", "score"],
-                )
+            head = next(batches, None)
+            if head is None:
+                return
+            scores, ids = best_of(q, k, chain([head], batches))
+            if ids is not None:
+                asked = pa.array(names, name_type).take(pa.array(np.repeat(np.arange(len(names)), ids.shape[1])))
+                yield pa.RecordBatch.from_arrays([asked, pa.array(ids.ravel(), head.column(0).type), pa.array(scores.ravel())], names=["query_id", "doc_id", "score"])
 
         return run
 
-    for part in batched(queries.select(query_id, vector).toLocalIterator(), block):
+    vectors = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
+    for part in batched(vectors.toLocalIterator(), block):
         shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
         parts.append(corpus.select(doc_id, vector).mapInArrow(search(shared), kinds))
-    if not parts:
-        parts = [spark.createDataFrame([], kinds)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kinds)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("query_id").alias(query_id), F.col("doc_id").alias(doc_id), "score", "rank")
@@ -80,22 +103,33 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", k1: float = 0.9, b: float = 0.4) -> DataFrame:
+def beside(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """A written table to join with: broadcast if its measured bytes allow, else by sort-merge."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.agg(F.count(F.lit(1)) * (32 + 8 * len(df.columns)), *[F.sum(t.cast("long")) for t in texts]).first()
+    return F.broadcast(df) if sum(x or 0 for x in size) <= max_bytes else df.hint("merge")
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", k1: float = 0.9, b: float = 0.4, max_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best by BM25.
 
-    Only words of the queries are counted: the query words are broadcast (they grow with the queries alone), frequencies are
-    summed before the shuffle, and document lengths ride along.
+    Texts are split once: only words of the queries are counted, and a row without a word stands for each document and
+    carries its length. Frequencies are summed before the shuffle and written, as both document frequencies and scores
+    come from them. What grows with the queries (their words, and which query has which) is broadcast up to ``max_bytes``
+    as measured, else joined by sort-merge. The k best of a query are cut per task before they meet.
     """
-    q = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    words = q.select("term").distinct()
+    q = materialise(queries.select(query_id, F.explode(F.array_distinct(terms(F.col(text)))).alias("term")), "query-words")
+    words = materialise(q.select("term").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))), "words")
     docs = corpus.select(doc_id, terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tf = docs.select(doc_id, "len", F.explode("t").alias("term")).join(F.broadcast(words), "term").groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    t = tf.join(F.broadcast(df_), "term").crossJoin(F.broadcast(totals))
+    every = docs.select(doc_id, "len", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(beside(words, max_bytes), "term")
+    tf = materialise(every.groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf")), "frequencies")
+    totals = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    found = tf.where("term <> ''")
+    df_ = materialise(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+    t = found.join(beside(df_, max_bytes), "term").crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = t.withColumn("w", weight).join(F.broadcast(q), "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("score"))
+    scored = t.withColumn("w", weight).join(beside(q, max_bytes), "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), doc_id)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -205,10 +205,12 @@ def kl_controller_trace(spark, d):
     return rounded(A.adaptive_kl_trace(e, "uid", "id", 0.2, 0.1, 10000), "uid")
 
 
-@query("pf_ppo_resample")
+@query("pf_ppo_resample", f"""WITH {SEQ}, w AS (SELECT seq_id, score, pow(abs(score), 2) + 1e-8 AS w FROM seq), c AS (SELECT *, sum(w) OVER (ORDER BY seq_id) AS upto FROM w), t AS (SELECT max(upto) AS total FROM c),
+ u AS (SELECT i AS draw, ('0x' || substr(md5('7:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * total AS u FROM range(2000) r(i), t)
+ SELECT seq_id, round(score, 6) AS score, draw FROM u JOIN c ON u >= upto - w AND u < upto""")
 def pf_ppo_resample(spark, d):
     s = A.scored(sequences(spark, d)).select("seq_id", "score")
-    return A.resample(s, A.pf_ppo_weights(s, "pow", 2.0), 2000, 7, "seq_id")
+    return A.resample(s, A.pf_ppo_weights(s, "pow", 2.0), 2000, 7, "seq_id").select("seq_id", r("score").alias("score"), "draw")
 
 
 # ---------------------------------------------------------------- G: losses
