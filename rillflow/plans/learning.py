@@ -259,7 +259,11 @@ COV = f"""WITH {TOK}, mm AS (SELECT avg(advantage) AS ma, avg(log_prob) AS ml, c
 loss_query("loss_kl_cov", COV + f""", k AS (SELECT *, CASE WHEN mask = 1 THEN row_number() OVER (PARTITION BY mask ORDER BY cov DESC, seq_id, pos) END AS rn FROM c)
  SELECT round(sum(mask * (-advantage * exp(log_prob - old_lp) + CASE WHEN rn <= greatest(1, floor(n * 0.01)) THEN abs(log_prob - old_lp) ELSE 0 END)) / sum(mask), 6) AS loss,
  round(sum(mask * abs(log_prob - old_lp)) / {N}, 6) AS ppo_kl FROM k""", lambda t: L.kl_cov(t, ratio=0.01))
-query("loss_clip_cov")(lambda spark, d: rounded(L.clip_cov(tokens(spark, d), ratio=0.01, bounds=(0.1, 0.5))))
+loss_query("loss_clip_cov", f"""WITH {TOK}, m AS (SELECT avg(advantage) AS ma, avg(log_prob) AS ml, count(*) AS n FROM tok WHERE mask <> 0),
+ x AS (SELECT seq_id, pos, mask, n, (advantage - ma) * (log_prob - ml) AS cov, -advantage * exp(log_prob - old_lp) AS l1, -advantage * greatest(least(exp(log_prob - old_lp), 1.2), 0.8) AS l2 FROM tok, m),
+ o AS (SELECT seq_id, pos, n, row_number() OVER (ORDER BY md5('0:' || seq_id || ':' || pos), seq_id, pos) AS j FROM x WHERE mask <> 0 AND NOT l2 > l1 AND cov > 0.1 AND cov < 0.5),
+ c AS (SELECT seq_id, pos FROM o WHERE j <= greatest(1, floor(n * 0.01))), y AS (SELECT x.*, CASE WHEN c.pos IS NULL THEN 1.0 ELSE 0.0 END AS stay FROM x LEFT JOIN c ON c.seq_id = x.seq_id AND c.pos = x.pos)
+ SELECT round(sum(mask * greatest(l1, l2) * stay) / sum(mask), 6) AS loss, round(sum(mask * (1 - stay)) / {N}, 6) AS pg_clipfrac FROM y""", lambda t: L.clip_cov(t, ratio=0.01, bounds=(0.1, 0.5)))
 loss_query("loss_reinforce", f"""WITH {TOK}, s AS (SELECT seq_id, sum(mask * -advantage * log_prob) AS s, sum(mask) AS n FROM tok GROUP BY seq_id)
  SELECT round((SELECT avg(s) FROM s WHERE n > 0), 6) AS loss, round(sum(mask * (rollout_lp - log_prob)) / {N}, 6) AS ppo_kl FROM tok""", L.reinforce)
 loss_query("loss_bypass", f"""WITH {TOK}, x AS (SELECT *, exp(least(greatest(log_prob - rollout_lp, -20), 20)) AS r FROM tok), y AS (SELECT *, -advantage * r AS l1, -advantage * greatest(least(r, 1.2), 0.8) AS l2, -advantage * 3.0 AS l3 FROM x)
