@@ -49,12 +49,13 @@ class Plan:
     """Shingle width, similarity (``num``/``den``), bands x rows of minima and the signature test.
 
     With 30 bands of 7 rows a pair at 0.85 shares no bucket once in 110,000 times, at 0.9 once in
-    300 million, if minima are independent. ``least_agree`` of the first ``n_sign`` minima must be equal: a pair
-    at 0.85 fails that (more than 5 standard deviations below its mean) less than once in 10 million
-    times. ``tests/llm/test_near.py`` measures both.
+    300 million, if minima are independent; of 1,000,000 pairs at 0.85 exactly, 6 shared none. ``least_agree`` of
+    the first ``n_sign`` minima must be equal: a pair at 0.85 fails that (more than 5 standard deviations below
+    its mean) less than once in 10 million times; none of the million did (``tests/llm/test_near.py``).
 
-    Undecided buckets are dealt in blocks of ``block`` signatures (a pair of blocks takes about 3 MB), and what is
-    left in blocks of ``text_block`` texts or ``block_bytes`` of texts and sets, on average.
+    Undecided buckets are dealt in blocks of ``block`` signatures, and of up to ``most`` where a bucket would need over
+    8 of them (a pair of blocks takes 3 MB at most); what is left in blocks of ``text_block`` texts or
+    ``block_bytes`` of texts and sets, on average.
     """
 
     width: int = 5
@@ -63,7 +64,8 @@ class Plan:
     bands: int = 30
     rows: int = 7
     n_sign: int = 160
-    block: int = 2048
+    block: int = 512
+    most: int = 2048
     text_block: int = 256
     block_bytes: int = 32 << 20
 
@@ -350,7 +352,8 @@ def judge(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[Data
     undone = rooted.join(mixed, "bucket", "left_semi").join(classes.select("rep", "n", "bands", "sign").hint("merge"), "rep")
     undone = materialise(undone, "undone")
     carried = ["bucket", "band", "rep", "root", "n", "bands", "sign"]
-    signed = dealt(undone, F.ceil(F.col("size") / plan.block).cast("int"), carried).groupBy("bucket", "i", "j")
+    blocks = F.least(F.ceil(F.col("size") / plan.block), F.greatest(F.lit(8), F.ceil(F.col("size") / plan.most))).cast("int")
+    signed = dealt(undone, blocks, carried).groupBy("bucket", "i", "j")
     opened = materialise(signed.applyInArrow(still_open(plan), f"bucket long, rep {kind}, n long").distinct(), "open")
     weighed = materialise(opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum(F.lit(16) * F.col("n")).alias("volume")), "weighed")
     left = undone.join(opened.select("bucket", "rep"), ["bucket", "rep"], "left_semi").join(weighed, "bucket").join(texts.hint("merge"), "rep")

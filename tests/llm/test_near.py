@@ -63,7 +63,7 @@ def test_documents(spark, sf_dir):
     assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 8, "text_block": 8}, {"block": 50, "block_bytes": 20_000}, {"block": 3, "text_block": 2}])
+@pytest.mark.parametrize("options", [{}, {"block": 8, "text_block": 8}, {"block": 50, "block_bytes": 20_000}, {"block": 3, "most": 7, "text_block": 2}])
 def test_group_of_near_copies_of_which_few_are_near_each_other(spark, options):
     """Copies of one text with 1 to 9 words changed, in short chains: hubs alone don't find all links."""
     import random
