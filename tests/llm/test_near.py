@@ -17,7 +17,7 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
-def brute(rows):
+def brute(rows, num=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets if i is not None}
 
@@ -40,7 +40,7 @@ def brute(rows):
         for j in near:
             t = distinct[j][1]
             both = len(s & t)
-            if 100 * both >= 85 * (len(s) + len(t) - both):
+            if 100 * both >= num * (len(s) + len(t) - both):
                 lo, hi = sorted((find(distinct[j][0]), find(min(v))))
                 parent[hi] = lo
     root = lambda i, s: i if i is None or not s else find(min(by[s]))
