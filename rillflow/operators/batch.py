@@ -230,6 +230,14 @@ def whole(df: DataFrame, order_by, name: str = "batch") -> DataFrame:
     return row_index(df, order_by).withColumn(name, F.lit(0).cast("long"))
 
 
+def union_maps(left: Column | str, right: Column | str) -> Column:
+    """Both maps as one; a key in both must have one value, else it raises. Null counts as empty."""
+    a, b = (F.coalesce(F.col(m) if isinstance(m, str) else m, F.create_map()) for m in (left, right))
+    differ = F.exists(F.array_intersect(F.map_keys(a), F.map_keys(b)), lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k)))
+    merged = F.map_concat(a, F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k)))
+    return F.when(differ, F.map_from_arrays(F.array(F.raise_error(F.lit("maps differ in a key")).cast("string")), F.array(F.lit(None)))).otherwise(merged)
+
+
 def unpad(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_pad")).drop("is_pad", "row_idx")
 

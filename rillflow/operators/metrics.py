@@ -59,6 +59,15 @@ def data_metrics(seqs: DataFrame, tokens: DataFrame, max_response: int, max_prom
     return s.crossJoin(tokens.agg(*token))
 
 
+def preference_metrics(seqs: DataFrame, max_response: int, max_prompt: int) -> DataFrame:
+    """One row for a batch of preference pairs: what there is of ``score``, ``reward``, ``dpo_logits``, ``chosen_logps`` and ``rejected_logps``, and lengths."""
+    own = [m for c, name in (("score", "reward/score"), ("reward", "reward/rewards")) if c in seqs.columns for m in stats(c, name)]
+    own += [F.avg(c).alias(f"actor/{c}") for c in ("dpo_logits", "chosen_logps", "rejected_logps") if c in seqs.columns]
+    for c, most in (("response_length", max_response), ("prompt_length", max_prompt)):
+        own += [*stats(c, c), F.avg((F.col(c) == most).cast("double")).alias(f"{c}/clip_ratio")]
+    return seqs.agg(*own)
+
+
 def timing_metrics(timings: DataFrame, totals: DataFrame) -> DataFrame:
     """(name, seconds) with per-token milliseconds: ``gen`` over response tokens, other stages over all tokens."""
     summed = timings.groupBy("name").agg(F.sum("seconds").alias("seconds"))

@@ -239,6 +239,74 @@ parsers.register("hermes")(lambda text: S.tool_calls(text))
 parsers.register("channel")(lambda text: S.channel_calls(text))
 
 
+class Tool:
+    """What a model can call: a state per instance, made by ``create``, changed by ``execute``, rated by ``reward``."""
+
+    def create(self, instance) -> dict:
+        return {}
+
+    def execute(self, state: dict, arguments: dict) -> tuple[str, float]:
+        """(response, reward of the step)."""
+        return "", 0.0
+
+    def reward(self, state: dict) -> float:
+        return 0.0
+
+    def release(self, state: dict) -> None:
+        """When an instance has ended."""
+
+
+tools = Registry("tool")
+
+
+@tools.register("calc_gsm8k_reward")
+class Gsm8kTool(Tool):
+    """Rates submitted answers; a step costs 0.05 unless its answer is better than the one before."""
+
+    def create(self, instance) -> dict:
+        return {"score": 0.0}
+
+    def execute(self, state: dict, arguments: dict) -> tuple[str, float]:
+        score = float(str(arguments.get("answer", "")).strip() == str(arguments.get("ground_truth", "")).strip())
+        step, state["score"] = 0.0 if score > state["score"] else -0.05, score
+        return f"Current parsed answer: {arguments.get('answer', '')} with score {score}", step
+
+    def reward(self, state: dict) -> float:
+        return state["score"]
+
+
+def run_tool(df: DataFrame, name: str, instance: str = "conv_id", order: str = "turn", arguments: str = "arguments") -> DataFrame:
+    """(instance, order, response, reward) of each call, arguments as JSON, in order within an instance; and at its end (instance, null, null, the tool's own reward).
+
+    Calls whose arguments are no JSON object get an error as response and 0. An instance is replayed by one task, in batches.
+    """
+    import json
+
+    kind = tools.get(name)
+    tool = kind() if isinstance(kind, type) else kind
+
+    def step(key, held: dict, row: tuple) -> list[tuple]:
+        at, text = row
+        if "state" not in held:
+            held["state"] = tool.create(key)
+        try:
+            given = json.loads(text)
+            response, reward = tool.execute(held["state"], given) if isinstance(given, dict) else ("error: arguments are no object", 0.0)
+        except (TypeError, ValueError):
+            response, reward = "error: arguments are no JSON", 0.0
+        return [(key, at, response, float(reward))]
+
+    def finish(key, held: dict) -> list[tuple]:
+        if "state" not in held:
+            return []
+        reward = float(tool.reward(held["state"]))
+        tool.release(held["state"])
+        return [(key, None, None, reward)]
+
+    kinds = f"{instance} {df.schema[instance].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, response string, reward double"
+    return queues.replay(df, instance, [order], [order, arguments], kinds, dict, step, finish)
+
+
 @dispatchers.register("one_to_all")
 def one_to_all(df: DataFrame, n: int, **_) -> DataFrame:
     """Every worker gets every row."""
@@ -300,6 +368,11 @@ def direct_rollout_method(df: DataFrame, n: int, **_) -> DataFrame:
     raise NotImplementedError("rollout methods are called directly, not dispatched")
 
 
+def all_gather(df: DataFrame, n: int) -> DataFrame:
+    """Rows of all workers for every worker: ``worker`` has them, ``source`` is where each comes from."""
+    return one_to_all(df.withColumnRenamed("worker", "source"), n)
+
+
 def collect_rows(df: DataFrame) -> DataFrame:
     """Results of all workers as one table, without padding."""
     return (df.where(~F.col("is_pad")).drop("is_pad") if "is_pad" in df.columns else df).drop("worker")

@@ -40,6 +40,10 @@ MATH_SUFFIX = " Let's think step by step and output the final answer within \\bo
 GSM8K_SUFFIX = ' Let\'s think step by step and output the final answer after "####".'
 
 
+BOXED_SUFFIX = "\n\nPlease reason step by step, and put your final answer within \\boxed{}."
+LETTER_SUFFIX = "\n\nPlease reason step by step, and put your final answer (only the choice letter) within \\boxed{}."
+
+
 def gsm8k(df: DataFrame, variant: str = "plain", **options) -> DataFrame:
     """``question`` and ``answer`` (with #### number). Variants: ``plain``, ``sft`` (messages), ``tool``, ``interaction``, ``agent``."""
     truth = F.translate(F.regexp_extract("answer", "#### (-?[0-9.,]+)", 1), ",", "")
@@ -68,9 +72,9 @@ def math_rows(df: DataFrame, source: str = "math", **options) -> DataFrame:
     return rl_row(t, source, F.concat("problem", F.lit(MATH_SUFFIX)), F.col("__truth"), "math", **options)
 
 
-def exam_rows(df: DataFrame, source: str, question: str = "question", answer: str = "answer", language: str = "en", **options) -> DataFrame:
-    """Competition problems with one final answer, for evaluation only: the question with the boxed suffix, the answer as text."""
-    text = F.concat(F.col(question), F.lit(MATH_SUFFIX))
+def exam_rows(df: DataFrame, source: str, question: str = "question", answer: str = "answer", language: str = "en", suffix: str = MATH_SUFFIX, **options) -> DataFrame:
+    """Competition problems with one final answer, for evaluation only: the question with a suffix, the answer as text; rows without one go."""
+    text = F.concat(F.trim(question), F.lit(suffix))
     return rl_row(df.where(F.col(answer).isNotNull()), source, text, F.col(answer).cast("string"), "math", split="test", language=F.lit(language), **options)
 
 
@@ -83,6 +87,13 @@ def turn_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return g.select(conv, messages, *(["tools"] if tools else []))
 
 
+def choice_rows(df: DataFrame, source: str, question: str, right: str, wrong: list[str], key: str, seed: int = 0, **options) -> DataFrame:
+    """Questions with lettered choices in a seeded order of their own, asking for the letter; the truth is the letter of the right one."""
+    t = shuffled_choices(df, question, right, wrong, key, seed)
+    text = F.concat(F.regexp_replace("prompt", r"(?m)^([A-H])\) ", "$1. "), F.lit(LETTER_SUFFIX))
+    return rl_row(t, source, text, F.col("answer"), "general", split="test", **options)
+
+
 def clean_activity(text: Column) -> Column:
     """Without titles in brackets and doubled spaces."""
     out = F.replace(F.trim(text), F.lit(" [title]"), F.lit(". "))

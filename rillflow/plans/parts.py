@@ -370,3 +370,55 @@ def verified_answers(spark, d):
 def strict_boxes(spark, d):
     text = F.when(F.col("seq_id") % 2 == 0, "<think>a</think>\\boxed{1}").otherwise("\\boxed{1}")
     return sequences(spark, d).select("seq_id", S.geometry_score(F.lit(0.0), text).alias("format"))
+
+
+@query("gathered_rows", "SELECT n_nationkey AS k, CAST(n_regionkey AS INTEGER) AS source, CAST(w AS INTEGER) AS worker FROM nation, range(5) r(w)")
+def gathered_rows(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("int").alias("worker"))
+    return plugins.all_gather(n, 5).select("k", "source", "worker")
+
+
+@query("tool_calls_replayed", """WITH c AS (SELECT o_custkey AS conv_id, o_orderkey AS turn, CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM orders),
+ x AS (SELECT *, lag(s, 1, 0.0::DOUBLE) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c)
+ SELECT conv_id, turn, CASE WHEN s > p THEN 0.0::DOUBLE ELSE -0.05::DOUBLE END AS reward FROM x UNION ALL SELECT conv_id, NULL, arg_max(s, turn) FROM c GROUP BY conv_id""")
+def tool_calls_replayed(spark, d):
+    given = F.to_json(F.struct(F.when(F.col("k") % 3 == 0, "7").otherwise("8").alias("answer"), F.lit("7").alias("ground_truth")))
+    calls = orders(spark, d).select(F.col("c").alias("conv_id"), F.col("k").alias("turn"), given.alias("arguments"))
+    return plugins.run_tool(calls, "calc_gsm8k_reward").select("conv_id", "turn", "reward")
+
+
+@query("merged_maps", "SELECT n_nationkey AS k, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, CAST(2 AS INTEGER) AS n FROM nation")
+def merged_maps(spark, d):
+    n = table(spark, d, "nation")
+    left = F.create_map(F.lit("name"), F.col("n_name"))
+    right = F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("name"), F.col("n_name"))
+    t = n.select(F.col("n_nationkey").alias("k"), B.union_maps(left, right).alias("m"))
+    return t.select("k", F.element_at("m", "name").alias("name"), F.element_at("m", "region").alias("region"), F.size("m").alias("n"))
+
+
+@query("preference_metrics", f"""WITH {SEQ} SELECT round(avg(score), 6) AS "reward/score/mean", round(max(score), 6) AS "reward/score/max", round(min(score), 6) AS "reward/score/min", round(avg(score / 2), 6) AS "actor/chosen_logps",
+ round(avg(len), 6) AS "response_length/mean", CAST(max(len) AS BIGINT) AS "response_length/max", CAST(min(len) AS BIGINT) AS "response_length/min", round(avg(CASE WHEN len = 4 THEN 1.0 ELSE 0.0 END), 6) AS "response_length/clip_ratio",
+ round(avg(n), 6) AS "prompt_length/mean", CAST(max(n) AS BIGINT) AS "prompt_length/max", CAST(min(n) AS BIGINT) AS "prompt_length/min", round(avg(CASE WHEN n = 7 THEN 1.0 ELSE 0.0 END), 6) AS "prompt_length/clip_ratio" FROM seq""")
+def preference_metrics(spark, d):
+    s = advantage.scored(sequences(spark, d)).select("score", (F.col("score") / 2).alias("chosen_logps"), M.mask_count("mask").alias("response_length"), F.size("rewards").cast("long").alias("prompt_length"))
+    out = metrics.preference_metrics(s, 4, 7)
+    return out.select(*[r(f"`{c}`").alias(c) for c in out.columns])
+
+
+@query("dump_with_extras", "SELECT n_nationkey AS sample_id, n_name AS output, length(n_name) AS size FROM nation")
+def dump_with_extras(spark, d):
+    """Extras that cover all samples are dumped, those of some samples are not."""
+    at = folder(spark, "extras")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("sample_id"), F.lit(1).alias("step"), F.col("n_name").alias("output"))
+    whole = n.select("sample_id", F.char_length("output").cast("long").alias("size"))
+    io.dump_rollouts(n, at, (whole, n.where("sample_id < 3").select("sample_id", F.lit(1).alias("partial"))))
+    back = spark.read.json(at)
+    return back.select("sample_id", "output", "size") if "partial" not in back.columns else back
+
+
+@query("choice_rows", r"SELECT 'gpqa-diamond' AS data_source, CAST(1 AS INTEGER) AS turns, true AS right_letter FROM nation")
+def choice_rows(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("Which?").alias("q"), F.concat(F.lit("yes "), "n_name").alias("a"), F.lit("no 1").alias("b"), F.lit("no 2").alias("c"), F.lit("no 3").alias("e"))
+    t = prompt(prep.choice_rows(n, "gpqa-diamond", "q", "a", ["b", "c", "e"], "k"))
+    right = F.contains("asked", F.concat(F.lit("\n"), "truth", F.lit(". yes "))) & F.contains("asked", F.lit("choice letter"))
+    return t.select("data_source", "turns", right.alias("right_letter"))

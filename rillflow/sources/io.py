@@ -52,8 +52,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), mode:
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def dump_rollouts(df: DataFrame, path: str) -> None:
-    """JSON lines of samples, a folder per ``step``."""
+def dump_rollouts(df: DataFrame, path: str, extras: tuple[DataFrame, ...] = (), key: str = "sample_id") -> None:
+    """JSON lines of samples, a folder per ``step``. Of ``extras``, frames by sample, those with a row for every sample are joined, others left out."""
+    n = df.count() if extras else 0
+    for e in extras:
+        if e.count() == n:
+            df = df.join(e, key)
     df.write.mode("append").partitionBy("step").json(path)
 
 
