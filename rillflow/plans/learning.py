@@ -9,7 +9,7 @@ from rillflow.operators import advantage as A
 from rillflow.operators import losses as L
 from rillflow.operators import offpolicy as O
 from rillflow.plans.frames import ROLL, SEQ, TOK, rollouts, sequences, tokens
-from rillflow.plans.registry import query
+from rillflow.plans.registry import ORACLES, query
 
 
 def r(c, digits: int = 6):
@@ -374,6 +374,35 @@ def offpolicy_correction(spark, d):
     return t.agg(F.sum("old_mask").cast("long").alias("before"), F.sum("mask").cast("long").alias("after"), r(F.sum("is_weight"), 4).alias("weights"))
 
 
-@query("correction_metrics")
+def metric_ctes(k: str, ratio: str, weight: str, upper: float, low: float, token: bool) -> str:
+    """Common table expressions that end in ``m_k``, one row of the metrics of a ratio."""
+    share = lambda c: f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)"
+    top, bottom, high, under = ("t_max", "t_min", "t_high", "t_low") if token else ("s_max", "s_min", "s_high", "s_low")
+    return f"""x_{k} AS (SELECT t.seq_id, t.mask, exp({ratio}) * {weight} AS w, {ratio} AS lr FROM tok t JOIN s USING (seq_id)), y_{k} AS (SELECT *, greatest(least(w, {upper}), {low}) AS c FROM x_{k}),
+ q_{k} AS (SELECT seq_id, sum(mask * w) / {N} AS m, any_value(lr) AS lr FROM y_{k} GROUP BY seq_id),
+ t_{k} AS (SELECT sum(mask * w) / {N} AS mean, sum(mask * c) / {N} AS cm, sum(mask * c * c) / {N} AS cq, max(CASE WHEN mask <> 0 THEN w END) AS t_max, min(CASE WHEN mask <> 0 THEN w END) AS t_min,
+  sum(CASE WHEN mask <> 0 AND w > {upper} THEN 1.0 ELSE 0.0 END) / {N} AS t_high, sum(CASE WHEN mask <> 0 AND w < {low} THEN 1.0 ELSE 0.0 END) / {N} AS t_low FROM y_{k}),
+ u_{k} AS (SELECT avg(m) AS seq_mean, stddev_samp(m) AS seq_std, max(m) AS seq_max, min(m) AS seq_min, max(abs(m - 1)) AS seq_max_deviation, {share(f"m > {upper}")} AS seq_fraction_high, {share(f"m < {low}")} AS seq_fraction_low,
+  exp(least(max(lr), 20)) AS s_max, exp(min(lr)) AS s_min, {share(f"lr > ln({upper})")} AS s_high, {share(f"lr < ln({low})")} AS s_low FROM q_{k}),
+ m_{k} AS (SELECT round(mean, 6) AS mean, round({top}, 6) AS max, round({bottom}, 6) AS min, round(round(sqrt(greatest(cq - cm * cm, 0)), 6), 5) AS std, round(1 / (cq / pow(cm + 1e-8, 2)), 6) AS eff_sample_size, round({high}, 6) AS fraction_high, round({under}, 6) AS fraction_low,
+  round(seq_mean, 6) AS seq_mean, round(seq_std, 6) AS seq_std, round(seq_max, 6) AS seq_max, round(seq_min, 6) AS seq_min, round(seq_max_deviation, 6) AS seq_max_deviation, round(seq_fraction_high, 6) AS seq_fraction_high, round(seq_fraction_low, 6) AS seq_fraction_low FROM t_{k}, u_{k})"""
+
+
+RATIO_NAMES = "mean max min std eff_sample_size fraction_high fraction_low seq_mean seq_std seq_max seq_min seq_max_deviation seq_fraction_high seq_fraction_low".split()
+DIAGNOSED = "training_ppl training_log_ppl rollout_ppl rollout_log_ppl log_ppl_diff log_ppl_abs_diff log_ppl_diff_max log_ppl_diff_min ppl_ratio chi2_seq kl k3_kl chi2_token".split()
+
+
+@query("is_metrics_token", f"{SUMS}, {metric_ctes('a', '(old_lp - rollout_lp)', 'mask', 1.05, '(1 / 1.05)', True)} SELECT * FROM m_a")
+def is_metrics_token(spark, d):
+    return rounded(O.ratio_metrics(tokens(spark, d), "token", 1.05)).withColumn("std", F.round("std", 5))
+
+
+@query("correction_metrics", f"""{SUMS}, {metric_ctes('a', '(old_lp - rollout_lp)', 'mask', 1.05, '(1 / 1.05)', True)}, {metric_ctes('b', '(s / (n + 1e-8))', '1', 1.02, 0.98, False)},
+ d AS ({ORACLES['offpolicy_diagnostics']}), g AS (SELECT seq_id, mask, CASE WHEN w >= 0.98 AND w <= 1.02 THEN 0.0 ELSE 1.0 END AS gone FROM x_b), h AS (SELECT seq_id, max(gone) AS any_gone FROM g GROUP BY seq_id),
+ v AS (SELECT seq_id, mask, CASE WHEN old_lp - rollout_lp < ln(0.93) THEN 1.0 ELSE 0.0 END AS bad FROM tok), z AS (SELECT seq_id, CASE WHEN sum(mask * bad) > 0 THEN 1.0 ELSE 0.0 END AS b FROM v GROUP BY seq_id)
+ SELECT {', '.join(f'd.{c} AS rollout_corr_{c}' for c in DIAGNOSED)}, {', '.join(f'm_a.{c} AS rollout_corr_rollout_is_{c}' for c in RATIO_NAMES)}, {', '.join(f'm_b.{c} AS rollout_corr_rollout_rs_{c}' for c in RATIO_NAMES)},
+ (SELECT round(sum(mask * gone) / {N}, 6) FROM g) AS rollout_corr_rollout_rs_masked_fraction, (SELECT round(avg(any_gone), 6) FROM h) AS rollout_corr_rollout_rs_seq_masked_fraction,
+ (SELECT round(avg(b), 6) FROM z) AS rollout_corr_rollout_is_veto_fraction, (SELECT round(sum(mask * bad) / {N}, 6) FROM v) AS rollout_corr_rollout_is_catastrophic_token_fraction FROM d, m_a, m_b""")
 def correction_metrics(spark, d):
-    return rounded(O.correction_metrics(tokens(spark, d), "token", 1.05, "geometric", 1.02, 0.98, 0.93))
+    out = rounded(O.correction_metrics(tokens(spark, d), "token", 1.05, "geometric", 1.02, 0.98, 0.93))
+    return out.withColumns({c: F.round(c, 5) for c in out.columns if c.endswith("_std") and "seq" not in c})
