@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
+from rillflow.llm.common import scope
 from rillflow.llm.labelled import fit_rows, held_out
 from rillflow.llm.quality_rules import STOP_WORDS
 from rillflow.llm.toxicity import APART
@@ -203,9 +204,10 @@ def add_up(x: np.ndarray, model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, options: Gam = Gam(), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"):
     ship(docs.sparkSession)
-    rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col, options.max_bytes)
     schema = "place long, y int, " + ", ".join(f"{n} double" for n in NAMES)
-    found = rows.mapInArrow(W.tidy(featured), schema).toPandas().sort_values(["place", "y", *NAMES])
+    with scope():
+        rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col, options.max_bytes)
+        found = rows.mapInArrow(W.tidy(featured), schema).toPandas().sort_values(["place", "y", *NAMES])
     return fit_tables(found[list(NAMES)].to_numpy(), found["y"].to_numpy().astype(float), options)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import words as W
+from rillflow.llm.common import scope
 from rillflow.llm.labelled import fit_rows, held_out
 from rillflow.session import ship
 
@@ -133,8 +134,9 @@ def learned(options: Ftrl):
 def fit(docs: DataFrame, labels: DataFrame, options: Ftrl = Ftrl(), label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
     """(codes, weights, bias), or None where no row is labelled. The fit set is :func:`rillflow.llm.labelled.fit_rows`."""
     ship(docs.sparkSession)
-    rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col, options.max_bytes).repartition(1)
-    found = rows.mapInArrow(W.tidy(learned(options)), "code long, weight double").toPandas()
+    with scope():
+        rows = fit_rows(docs, labels, label_col, options.max_rows, id_col, text_col, options.max_bytes).repartition(1)
+        found = rows.mapInArrow(W.tidy(learned(options)), "code long, weight double").toPandas()
     if not len(found):
         return None
     codes, weights = found["code"].to_numpy(), found["weight"].to_numpy()
