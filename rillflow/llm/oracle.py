@@ -78,6 +78,33 @@ p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i,
 q AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(q.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+ID_CRC = """CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_transform(range(0, strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INTEGER + 1, 1))::BIGINT),
+ lambda a, y: xor(a >> 8, t[CAST(xor(a, y) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295) END"""
+
+OP13 = f"""WITH RECURSIVE {CRC[: CRC.index(",\ncrc AS")]},
+l AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {ID_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS found FROM documents, tab),
+r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+tree AS (SELECT lang, 0 AS lv, pos, leaf AS d, n FROM r UNION ALL SELECT lang, lv + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, lv, n, pos // 2),
+s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lv, pos, subroot AS d, n FROM s UNION ALL SELECT lv + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lv, n, pos // 2),
+a AS (SELECT id, t.lv, (r.pos >> t.lv) % 2 AS side, b.d FROM r JOIN (SELECT DISTINCT lang, lv FROM tree WHERE n > 1) t ON t.lang IS NOT DISTINCT FROM r.lang
+ LEFT JOIN tree b ON b.lang IS NOT DISTINCT FROM r.lang AND b.lv = t.lv AND b.pos = xor(r.pos >> t.lv, 1)),
+c AS (SELECT id, 1000 + t.lv AS lv, (s.pos >> t.lv) % 2 AS side, b.d FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang, (SELECT DISTINCT lv FROM top WHERE n > 1) t
+ LEFT JOIN top b ON b.lv = t.lv AND b.pos = xor(s.pos >> t.lv, 1)),
+p AS (SELECT id, sha256(coalesce(string_agg(d, '' ORDER BY lv), '')) AS proof, list(CASE WHEN d IS NULL THEN 'N' WHEN side = 1 THEN 'L' || d ELSE 'R' || d END ORDER BY lv) AS steps FROM (FROM a UNION ALL FROM c) GROUP BY id),
+f AS (SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+ list_reduce(coalesce(steps, []), lambda x, y: sha256(CASE y[1] WHEN 'N' THEN x WHEN 'L' THEN y[2:] || x ELSE x || y[2:] END), found) AS folded_root
+ FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p USING (id))
+SELECT *, folded_root = root AS verified FROM f"""
+
 SQL = {
     "op1_interleaved_shards": OP1,
     "op2_poisson_mixture": OP2,
@@ -85,4 +112,5 @@ SQL = {
     "op7_minhash_near_dedup": OP7,
     "op9_quality_rules": OP9,
     "op10_decontamination": OP10,
+    "op13_merkle_manifest": OP13,
 }

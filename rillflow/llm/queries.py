@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
+from rillflow.llm import decontaminate, html_extract, line_dedup, manifest, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from rillflow.llm.common import table
 from rillflow.llm.oracle import SQL
 
@@ -77,6 +77,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents")
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(marked, manifest.leaf(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])).otherwise(manifest.leaf(*[F.col(c) for c in fields]))
+    proofs = manifest.manifest(docs, fields, found=tampered)
+    out = manifest.verify(proofs, "found")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict:
     return {
         "op1_interleaved_shards": op1_interleaved_shards,
@@ -89,6 +99,7 @@ def queries() -> dict:
         "op8_quality_model": op8_quality_model,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
