@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, html_extract, line_dedup, manifest, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
+from rillflow.llm import alignment, decontaminate, html_extract, line_dedup, manifest, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from rillflow.llm.common import table
 from rillflow.llm.oracle import SQL
 
 
-#: A vocabulary of the public tokenizers; never copied into the repository.
+#: Files of the public tokenizers; never copied into the repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_LEVEL, PIECES)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     docs = table(spark, sf_dir, "documents")
@@ -99,6 +105,7 @@ def queries() -> dict:
         "op8_quality_model": op8_quality_model,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
+        "op12_token_alignment": op12_token_alignment,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
