@@ -22,10 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from rillflow.llm.common import materialise, scope, stratum
-from rillflow.operators.batch import ranged
+from rillflow.llm.common import materialise, numbered, scope, stratum
 from rillflow.session import ship
 
 HEX = 64
@@ -163,18 +161,6 @@ def descend(rounds: list[DataFrame], tops: DataFrame, fanout: int, k: int, info:
     return tops
 
 
-def numbered(nodes: DataFrame, order: list[Column]) -> DataFrame:
-    """``nodes`` (part and others) with ``pos`` from 0 in ``order`` within the part, and its rows ``n``, by a range sort."""
-    rows = ranged(nodes, [F.col("part"), *order])
-    cells = rows.groupBy("part", "__p").agg(F.min("__l").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    every = Window.partitionBy("part")
-    before = every.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per part and range partition that holds it.
-    cells = cells.select("part", "__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("n"))
-    pos = F.col("__l") - F.col("__first") + F.col("__before")
-    return rows.join(cells, ["part", "__p"]).withColumn("pos", pos).drop("__p", "__l", "__first", "__before")
-
-
 def manifest(
     docs: DataFrame, fields: list[str], part_col: str = "lang", id_col: str = "doc_id", fanout: int = 2, block: int = BLOCK, **carried: Column
 ) -> DataFrame:

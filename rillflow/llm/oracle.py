@@ -105,6 +105,12 @@ f AS (SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, coa
  FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p USING (id))
 SELECT *, folded_root = root AS verified FROM f"""
 
+OP11 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(16 + length(regexp_replace(role, '([\\<>])', '\\\1', 'g')) + length(regexp_replace(text, '(\\|</?turn)', '\\\1', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
 SQL = {
     "op1_interleaved_shards": OP1,
     "op2_poisson_mixture": OP2,
@@ -112,5 +118,6 @@ SQL = {
     "op7_minhash_near_dedup": OP7,
     "op9_quality_rules": OP9,
     "op10_decontamination": OP10,
+    "op11_chat_format": OP11,
     "op13_merkle_manifest": OP13,
 }

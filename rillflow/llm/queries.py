@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import alignment, decontaminate, html_extract, line_dedup, manifest, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
+from rillflow.llm import alignment, chat, decontaminate, html_extract, line_dedup, manifest, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from rillflow.llm.common import table
 from rillflow.llm.oracle import SQL
 
@@ -79,6 +79,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_LEVEL, PIECES)
 
@@ -105,6 +112,7 @@ def queries() -> dict:
         "op8_quality_model": op8_quality_model,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
+        "op11_chat_format": op11_chat_format,
         "op12_token_alignment": op12_token_alignment,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
