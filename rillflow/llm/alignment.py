@@ -39,7 +39,7 @@ from rillflow.session import ship
 #: A single space that no white space touches.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of segments and their results that a worker keeps, roughly.
-KEEP_BYTES = 96 << 20
+KEEP_BYTES = 160 << 20
 #: Pairs of a document that are put together at a time.
 PAIRS = 1 << 21
 #: Pairs of a segment from which on they are not written out but kept as groups.
@@ -70,7 +70,7 @@ class ByteLevel:
         self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -148,7 +148,7 @@ def product(a: list[int], b: list[int], wide: int) -> tuple[np.ndarray, np.ndarr
     return (ua[:, None] * wide + ub).reshape(-1), (ca[:, None] * cb).reshape(-1)
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Found:
     """What a segment gives; ``times`` only where a pair is linked in another number than it stands in ``pairs``, ``groups`` only where its pairs are too many to keep."""
 
@@ -172,6 +172,7 @@ class Aligner:
         self.names = [str(i) for i in range(max(len(self.a.bytes), self.wide))]
         self.cuts = self.a.cuts and self.b.cuts
         self.kept: dict[str, Found | None] = {}
+        self.older: dict[str, Found | None] = {}
         self.held = 0
 
     def segments(self, text: str) -> list[str]:
@@ -179,48 +180,72 @@ class Aligner:
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
     def learn(self, segments: list[str]) -> None:
+        a_bytes, b_bytes = self.a.bytes.__getitem__, self.b.bytes.__getitem__
         for seg, a, b in zip(segments, self.a.encode(segments), self.b.encode(segments), strict=True):
             whole = (" " + seg).encode()
-            same = b"".join([self.a.bytes[i] for i in a]) == whole == b"".join([self.b.bytes[i] for i in b])
-            found = self.kept[seg] = self.align(a, b) if same else None
-            self.held += 400 + 2 * len(whole) + (found and len(found.text) + 72 * len(found.pairs) or 0)
+            same = b"".join(map(a_bytes, a)) == whole == b"".join(map(b_bytes, b))
+            self.keep(seg, self.align(a, b) if same else None)
+
+    def keep(self, seg: str, found: Found | None) -> None:
+        self.kept[seg] = found
+        self.held += 300 + 2 * len(seg) + (len(found.text) + 40 * len(found.pairs) if found else 0)
 
     def align(self, a: list[int], b: list[int]) -> Found:
-        names, out, shown, i, j = self.names, Found(len(a), len(b)), [], 0, 0
+        names, wide, shown, pairs, n_links, i, j, large = self.names, self.wide, [], [], 0, 0, 0, False
         groups = self.machine.groups(a, b)
-        out.n_groups = len(groups)
-        out.groups, many = [], 0
         for k, m in groups:
-            ga, gb = a[i:k], b[j:m]
-            i, j = k, m
-            shown.append(",".join([names[x] for x in ga]) + "|" + ",".join([names[x] for x in gb]))
-            out.groups.append((ga, gb))
-            out.n_links += len(ga) * len(gb)
-            many += len(set(ga)) * len(set(gb)) if len(ga) * len(gb) > WIDE else len(ga) * len(gb)
-        out.text = ";".join(shown)
-        if many <= WIDE:
-            for ga, gb in out.groups:
-                if len(ga) * len(gb) > 64:
-                    pairs, times = product(ga, gb, self.wide)
-                    out.times = (out.times or [1] * len(out.pairs)) + times.tolist()
-                    out.pairs += pairs.tolist()
+            links = (k - i) * (m - j)
+            n_links += links
+            if links == 1:
+                x, y = a[i], b[j]
+                shown.append(names[x] + "|" + names[y])
+                pairs.append(x * wide + y)
+            else:
+                ga, gb = a[i:k], b[j:m]
+                shown.append(",".join([names[x] for x in ga]) + "|" + ",".join([names[y] for y in gb]))
+                if links <= 64:
+                    for x in ga:
+                        x *= wide
+                        pairs += [x + y for y in gb]
                 else:
-                    out.pairs += [x * self.wide + y for x in ga for y in gb]
-                    if out.times:
-                        out.times += [1] * (len(ga) * len(gb))
-            out.groups = None
+                    large = True
+            i, j = k, m
+        out = Found(len(a), len(b), len(groups), n_links, ";".join(shown), pairs)
+        return self.large(out, a, b, groups) if large else out
+
+    def large(self, out: Found, a: list[int], b: list[int], groups: list[tuple[int, int]]) -> Found:
+        """With large groups: a group's distinct pairs and how often each, or the groups themselves where they are too many to keep."""
+        parts, i, j = [], 0, 0
+        for k, m in groups:
+            parts.append((a[i:k], b[j:m]))
+            i, j = k, m
+        out.pairs = []
+        if sum(len(set(ga)) * len(set(gb)) for ga, gb in parts) > WIDE:
+            out.groups = parts
+            return out
+        each = [product(ga, gb, self.wide) for ga, gb in parts]
+        out.pairs = [p for pairs, _ in each for p in pairs.tolist()]
+        out.times = [t for _, times in each for t in times.tolist()]
         return out
 
     def slice(self, texts: list[str | None]) -> list[list[Found] | None]:
-        """What the segments of each text give; None for texts without tokens."""
-        if self.held > KEEP_BYTES:
-            self.kept, self.held = {}, 0
-            self.machine = Transducer(self.a.bytes, self.b.bytes)
-        cut = [self.cut(t) if t else None for t in texts]
-        new = dict.fromkeys(s for segs in cut if segs for s in segs if s not in self.kept)
-        if new:
-            self.learn(list(new))
-        found = [segs and list(map(self.kept.__getitem__, segs)) for segs in cut]
+        """What the segments of each text give; None for texts without tokens.
+
+        Of what is kept, one half is what was met since the other half was full; the rest is let go then.
+        """
+        if self.held > KEEP_BYTES // 2:
+            self.older, self.kept, self.held = self.kept, {}, 0
+            if len(self.machine.states) > 1 << 18:
+                self.machine = Transducer(self.a.bytes, self.b.bytes)
+        cut = [self.cut(t) if t else [] for t in texts]
+        unmet = set(chain.from_iterable(cut)) - self.kept.keys()
+        if unmet:
+            old = unmet & self.older.keys()
+            for s in old:
+                self.keep(s, self.older[s])
+            if new := list(unmet - old):
+                self.learn(new)
+        found = [list(map(self.kept.__getitem__, segs)) for segs in cut]
         return [x if x and None not in x else None for x in found]
 
     def cut(self, text: str) -> list[str]:

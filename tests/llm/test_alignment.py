@@ -97,15 +97,15 @@ def test_empty_table(spark, empty):
 
 def test_many_pairs_come_in_parts(own, monkeypatch):
     """Groups too wide to keep their pairs, and documents whose pairs come in several rows."""
-    monkeypatch.setattr(alignment, "WIDE", 3)
+    monkeypatch.setattr(alignment, "WIDE", 80)
     monkeypatch.setattr(alignment, "PAIRS", 40)
-    own.kept, own.held = {}, 0
+    own.kept, own.older, own.held = {}, {}, 0
     for text in ["x" * 500 + "abc" * 50 + " déjà vu", "日本語のテキスト" * 20, *mixed(50, 9)]:
         parts = list(own.pairs_of(own.slice([text])[0]))
         got = {int(p): int(t) for pairs, times in parts for p, t in zip(pairs, times)}
         assert len(got) == sum(len(p) for p, _ in parts)
         assert got == {a * own.wide + b: n for (a, b), n in links(own, text)[4].items()}
-    own.kept, own.held = {}, 0
+    own.kept, own.older, own.held = {}, {}, 0
 
 
 def test_documents_in_several_rows(spark, own, monkeypatch):
@@ -119,7 +119,11 @@ def test_memory_is_let_go_without_a_trace(own, monkeypatch):
     texts = mixed(300, 11)
     first = [[f.text for f in x] if x else None for x in own.slice(texts)]
     monkeypatch.setattr(alignment, "KEEP_BYTES", 0)
-    assert [[f.text for f in x] if x else None for x in own.slice(texts)] == first
+    for _ in range(3):
+        assert [[f.text for f in x] if x else None for x in own.slice(texts)] == first
+    own.slice(["other words"])
+    own.slice(["more words"])
+    assert len(own.kept) + len(own.older) < 8
 
 
 def test_transducer_by_hand():
