@@ -19,6 +19,7 @@ the others in a join by pair, where by then no key has many rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -42,6 +43,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 KEEP_BYTES = 160 << 20
 #: Pairs of a document that are put together at a time.
 PAIRS = 1 << 21
+#: Segments that are encoded at a time.
+RUN = 64
 #: Pairs of a segment from which on they are not written out but kept as groups.
 WIDE = 1 << 14
 
@@ -169,6 +172,7 @@ class Aligner:
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.machine = Transducer(self.a.bytes, self.b.bytes)
         self.wide = len(self.b.bytes)
+        self.sizes = [np.array([len(x) for x in table]) for table in (self.a.bytes, self.b.bytes)]
         self.names = [str(i) for i in range(max(len(self.a.bytes), self.wide))]
         self.cuts = self.a.cuts and self.b.cuts
         self.kept: dict[str, Found | None] = {}
@@ -180,38 +184,68 @@ class Aligner:
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
     def learn(self, segments: list[str]) -> None:
-        a_bytes, b_bytes = self.a.bytes.__getitem__, self.b.bytes.__getitem__
-        for seg, a, b in zip(segments, self.a.encode(segments), self.b.encode(segments), strict=True):
-            whole = (" " + seg).encode()
-            same = b"".join(map(a_bytes, a)) == whole == b"".join(map(b_bytes, b))
-            self.keep(seg, self.align(a, b) if same else None)
+        """Segments that white space neither begins nor ends are encoded many at a time, as the text that they make in a row."""
+        plain, others = [], []
+        for s in segments:
+            (plain if self.cuts and s and not s[0].isspace() and not s[-1].isspace() else others).append(s)
+        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)] + [[s] for s in others]
+        texts = [" ".join(r) for r in runs]
+        for run, text, a, b in zip(runs, texts, self.a.encode(texts), self.b.encode(texts), strict=True):
+            whole = (" " + text).encode()
+            if b"".join(map(self.a.bytes.__getitem__, a)) == whole == b"".join(map(self.b.bytes.__getitem__, b)):
+                i = j = 0
+                ends = np.cumsum([len(s.encode()) + 1 for s in run])
+                for seg, k, m in zip(run, self.upto(a, 0, ends), self.upto(b, 1, ends), strict=True):
+                    self.keep(seg, self.align(a[i:k], b[j:m]))
+                    i, j = k, m
+            elif len(run) == 1:
+                self.keep(run[0], None)
+            else:
+                for seg in run:
+                    self.learn([seg])
+
+    def upto(self, ids: list[int], side: int, ends: np.ndarray) -> list[int]:
+        """How many of the tokens lie before each of the byte offsets, at all of which a token ends."""
+        return (np.searchsorted(np.cumsum(self.sizes[side][ids]), ends) + 1).tolist()
 
     def keep(self, seg: str, found: Found | None) -> None:
         self.kept[seg] = found
         self.held += 300 + 2 * len(seg) + (len(found.text) + 40 * len(found.pairs) if found else 0)
 
     def align(self, a: list[int], b: list[int]) -> Found:
-        names, wide, shown, pairs, n_links, i, j, large = self.names, self.wide, [], [], 0, 0, 0, False
-        groups = self.machine.groups(a, b)
-        for k, m in groups:
-            links = (k - i) * (m - j)
-            n_links += links
-            if links == 1:
-                x, y = a[i], b[j]
+        """Runs the transducer; most groups are of one token on each side."""
+        names, wide, empty, shown, pairs, n_links, large = self.names, self.wide, self.machine.empty, [], [], 0, False
+        i, j, n = 0, 0, len(a)
+        while i < n:
+            x, y = a[i], b[j]
+            state = empty[x][y]
+            if state is empty:
+                i += 1
+                j += 1
+                n_links += 1
                 shown.append(names[x] + "|" + names[y])
                 pairs.append(x * wide + y)
-            else:
-                ga, gb = a[i:k], b[j:m]
-                shown.append(",".join([names[x] for x in ga]) + "|" + ",".join([names[y] for y in gb]))
-                if links <= 64:
-                    for x in ga:
-                        x *= wide
-                        pairs += [x + y for y in gb]
+                continue
+            k, m = i + 1, j + 1
+            while state is not empty:
+                if state.side:
+                    state = state[b[m]]
+                    m += 1
                 else:
-                    large = True
-            i, j = k, m
-        out = Found(len(a), len(b), len(groups), n_links, ";".join(shown), pairs)
-        return self.large(out, a, b, groups) if large else out
+                    state = state[a[k]]
+                    k += 1
+            ga, gb = a[i:k], b[j:m]
+            i, j, links = k, m, (k - i) * (m - j)
+            n_links += links
+            shown.append(",".join([names[x] for x in ga]) + "|" + ",".join([names[y] for y in gb]))
+            if links <= 64:
+                for x in ga:
+                    x *= wide
+                    pairs += [x + y for y in gb]
+            else:
+                large = True
+        out = Found(n, len(b), len(shown), n_links, ";".join(shown), pairs)
+        return self.large(out, a, b, self.machine.groups(a, b)) if large else out
 
     def large(self, out: Found, a: list[int], b: list[int], groups: list[tuple[int, int]]) -> Found:
         """With large groups: a group's distinct pairs and how often each, or the groups themselves where they are too many to keep."""
@@ -295,6 +329,7 @@ def aligner(a: bytes, b: bytes) -> Aligner:
 def worker(shared, groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*shared.value)
+        gc.disable()  # many small objects are kept, none in a cycle
         for batch in batches:
             texts = batch.column(0)
             for first, end, _, _ in W.slices(texts):
@@ -317,7 +352,13 @@ def worker(shared, groups: bool):
                 if at:
                     yield emit(batch, at, rows, shown, groups)
 
-    return W.tidy(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return W.tidy(tidied)
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
