@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import masked as M
 from rillflow.functions import seeded
+from rillflow.operators import scans
 
 Estimator = Callable[..., DataFrame]
 _estimators: dict[str, Estimator] = {}
@@ -328,3 +329,52 @@ def pf_ppo_weights(df: DataFrame, method: str = "pow", power: float = 2.0) -> Co
     if method == "max_random":
         return F.when(F.col("score") == F.col("__max"), 0.4).otherwise(0.1)
     raise ValueError(f"unknown method {method!r}")
+
+
+# ---------------------------------------------------------------- long form: sequences of any length
+
+
+def _whitened(df: DataFrame, value: str) -> DataFrame:
+    return M.whiten(df, value, out="advantages").withColumn("advantages", F.col("advantages") * F.col("mask"))
+
+
+def gae_tokens(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, key: str = "seq_id", at: str = "pos") -> DataFrame:
+    """Long form of ``gae``: a row per token (``reward``, ``value``, ``mask``) gets ``advantages`` and ``returns``.
+
+    From the right, (next value, advantage) goes through an affine map per token of the mask and unchanged through
+    the others, so that no sequence has to fit one array or one task.
+    """
+    on = F.col("mask") != 0
+    numbers = [0.0, 0.0, gamma, gamma * lam]
+    maps = [F.when(on, M.double(x)) for x in numbers] + [F.when(on, F.col("value")), F.when(on, F.col("reward") - F.col("value"))]
+    raw = scans.scan(df, [key], [F.col(at).desc()], scans.Affine(2), maps, [0.0, 0.0], ["__next", "__a"]).drop("__next")
+    return _whitened(raw.withColumn("returns", F.col("__a") + F.col("value")), "__a").drop("__a")
+
+
+def reinforce_plus_plus_tokens(df: DataFrame, gamma: float = 1.0, key: str = "seq_id", at: str = "pos") -> DataFrame:
+    """Long form of ``reinforce_plus_plus``: discounted returns that masked tokens cut off, whitened into advantages."""
+    keep = F.col("mask").cast("double")
+    to_come = scans.scan(df, [key], [F.col(at).desc()], scans.Affine(), [keep * gamma, keep * F.col("reward")], [0.0], ["__later"], before=True)
+    return _whitened(to_come.withColumn("returns", F.col("reward") + M.double(gamma) * F.col("__later")).drop("__later"), "returns")
+
+
+def to_come(df: DataFrame, value: Column, out: str = "returns", key: str = "seq_id", at: str = "pos") -> DataFrame:
+    """Long form of sums of each token's value and all that follow in its sequence."""
+    return scans.running_sums(df, [key], [F.col(at).desc()], {out: value})
+
+
+def remax_tokens(df: DataFrame, baseline: str = "reward_baseline", key: str = "seq_id", at: str = "pos") -> DataFrame:
+    """Long form of ``remax``."""
+    out = to_come(df, F.when(F.col("mask") != 0, F.col("reward") * F.col("mask")), key=key, at=at)
+    return out.withColumn("advantages", F.col("returns") - F.col(baseline) * F.col("mask"))
+
+
+def prime_rloo_tokens(df: DataFrame, column: str = "reward", weight: float = 1.0, whitened: bool = True, key: str = "seq_id", at: str = "pos", uid: str = "uid") -> DataFrame:
+    """Long form of ``prime_rloo`` for one stream of token rewards: leave-one-out baselines on masked means per sequence."""
+    own = df.groupBy(F.col(uid).alias("__u"), F.col(key).alias("__k")).agg((M.m_sum(column) / F.greatest(F.sum("mask"), F.lit(1))).alias("__m"))
+    stats = own.groupBy("__u").agg(F.sum("__m").alias("__s"), F.count(F.lit(1)).cast("double").alias("__n"))
+    g = df.join(stats, F.col(uid).eqNullSafe(F.col("__u"))).drop("__u")
+    some, others = F.col("__n") > 1, F.greatest(F.col("__n") - 1, F.lit(1.0))
+    scaled = (F.col(column) * F.when(some, F.col("__n") / others).otherwise(1.0) - F.when(some, F.col("__s") / others).otherwise(0.0)) * weight
+    out = to_come(g, F.when(F.col("mask") != 0, scaled * F.col("mask")), key=key, at=at).drop("__s", "__n")
+    return _whitened(out, "returns") if whitened else out.withColumn("advantages", F.col("returns"))

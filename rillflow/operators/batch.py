@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rillflow.functions import seeded
-from rillflow.scratch import materialise
+from rillflow.scratch import discard, materialise
 
+#: Rows of a key, or of a result, that one task may sort.
+MOST = 1 << 18
 #: Low bits of ``monotonically_increasing_id`` that number rows within a partition.
 _LOCAL = (1 << 33) - 1
 
@@ -45,6 +47,32 @@ def row_index(df: DataFrame, order_by, name: str = "row_idx") -> DataFrame:
     return rows.join(F.broadcast(counts), "__p").withColumn(name, F.col("__before") + F.col("__l")).drop("__p", "__l", "__before")
 
 
+def index_within(df: DataFrame, keys: list[str], order_by, name: str, most: int = MOST) -> DataFrame:
+    """Row numbers from 0 within each key, in the given order, without one task for a hot key.
+
+    Keys of at most ``most`` rows are numbered by a window. Where a count shows greater ones, their rows are range-sorted by
+    key and order, so that each takes as many tasks as it fills, and numbered from the counts of the partitions before.
+    ``order_by`` should tell a key's rows apart, else equal ones may change places. Null keys are keys.
+    """
+    orders = _orders(order_by)
+    window = F.row_number().over(Window.partitionBy(*keys).orderBy(*orders)).cast("long") - 1
+    hot = df.groupBy(F.struct(*keys).alias("__k")).count().where(F.col("count") > most).select("__k")
+    hot = materialise(hot, "hot-keys")
+    if hot.isEmpty():
+        discard(hot)
+        return df.withColumn(name, window)
+    tagged = df.withColumn("__k", F.struct(*keys))
+    cold = tagged.join(hot, "__k", "left_anti").withColumn(name, window)
+    rows = ranged(tagged.join(hot, "__k"), ["__k", *orders])
+    cells = rows.groupBy("__k", "__p").agg(F.min("__l").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # One row per hot key and range partition that holds it.
+    earlier = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("__k", "__p", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    at = F.col("__l") - F.col("__first") + F.col("__before")
+    numbered = rows.join(cells, ["__k", "__p"]).withColumn(name, at).drop("__p", "__l", "__first", "__before")
+    return cold.unionByName(numbered).drop("__k")
+
+
 def running_total(df: DataFrame, value: str, order_by, name: str = "__upto") -> DataFrame:
     """Sums of ``value`` up to and including each row, in a total order: partition sums first, windows within partitions."""
     rows = ranged(df, order_by)
@@ -272,11 +300,13 @@ def curriculum(df: DataFrame, stats: DataFrame, key: str, priority: Column, name
 
 
 def first_samples(df: DataFrame, n: int, key: str, seed: int | None = None) -> DataFrame:
-    """The first ``n`` rows by key, or ``n`` rows at random, without replacement."""
+    """The first ``n`` rows by key, or ``n`` rows at random, without replacement; more than :data:`MOST` come from a range sort, not from one task."""
     if n < 0:
         return df
     order = [F.col(key)] if seed is None else [shuffle_order(df, key, seed), F.col(key)]
-    return df.orderBy(*order).limit(n)
+    if n <= MOST:
+        return df.orderBy(*order).limit(n)
+    return row_index(df, order, "__i").where(F.col("__i") < n).drop("__i")
 
 
 def flatten_trajectories(df: DataFrame, step_columns: list[str], name: str = "step") -> DataFrame:

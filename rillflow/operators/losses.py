@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import masked as M
 from rillflow.functions import seeded
+from rillflow.operators import order
 
 _losses: dict[str, Callable[..., DataFrame]] = {}
 
@@ -43,7 +44,7 @@ def aggregate_loss(df: DataFrame, loss: str, mode: str = "token-mean", seq: str
                    dp_size: int = 1, global_batch: int | None = None, batch_tokens: int | None = None, also: dict[str, str] | None = None) -> DataFrame:
     """One row with ``loss``: token losses over the mask, averaged as ``mode`` says, and the masked means ``also`` (name to column), all in one pass.
 
-    Sequences without any token of the mask don't count among sequences. ``norm`` replaces the greatest sequence length in
+    Sequences without any token of the mask don't count among sequences; without any token at all the loss is null. ``norm`` replaces the greatest sequence length in
     ``seq-mean-token-sum-norm``; ``global_batch`` and ``batch_tokens`` replace what this frame counts, and ``dp_size``
     scales for a mean over workers.
     """
@@ -52,7 +53,7 @@ def aggregate_loss(df: DataFrame, loss: str, mode: str = "token-mean", seq: str
     also = also or {}
     if mode == "token-mean":
         n = F.lit(float(batch_tokens)) if batch_tokens else F.sum(mask).cast("double")
-        return df.agg((M.m_sum(loss, mask) / n * dp_size).alias("loss"), *[M.m_mean(c, mask).alias(k) for k, c in also.items()])
+        return df.agg((F.try_divide(M.m_sum(loss, mask), n) * dp_size).alias("loss"), *[M.m_mean(c, mask).alias(k) for k, c in also.items()])
     own = [M.m_sum(c, mask).alias(f"__{k}") for k, c in also.items()]
     rows = df.groupBy(seq).agg(M.m_sum(loss, mask).alias("s"), F.sum(mask).alias("n"), F.count(F.lit(1)).alias("t"), *own)
     some = F.col("n") > 0
@@ -168,26 +169,26 @@ def geo_mean(df: DataFrame, low: float = 0.2, high: float = 0.2, **agg) -> DataF
     return rows.agg(F.avg(-F.col("a") * F.col("r") * F.col("w")).alias("loss"), *means)
 
 
-def covariance(df: DataFrame) -> tuple[DataFrame, int]:
-    """With ``cov``, (advantage - its masked mean) (log-probability - its masked mean), and the number of tokens of the mask.
-
-    The two means and the number, one row, are found when the plan is built: how many tokens are selected depends on it.
-    """
-    a, b, n = df.agg(m_avg("advantage"), m_avg("log_prob"), F.sum("mask")).first()
-    return df.withColumn("cov", (F.col("advantage") - F.lit(a)) * (F.col("log_prob") - F.lit(b))), int(n or 0)
+def covariance(df: DataFrame) -> DataFrame:
+    """With ``cov``, (advantage - its masked mean) (log-probability - its masked mean), and ``__n``, the number of tokens of the mask."""
+    t = M.with_totals(df, m_avg("advantage").alias("__ma"), m_avg("log_prob").alias("__ml"), F.coalesce(F.sum("mask"), F.lit(0)).cast("long").alias("__n"))
+    return t.withColumn("cov", (F.col("advantage") - F.col("__ma")) * (F.col("log_prob") - F.col("__ml"))).drop("__ma", "__ml")
 
 
 def m_avg(v: str, m: str = "mask") -> Column:
     return F.avg(F.when(F.col(m) != 0, F.col(v)))
 
 
+def chosen(ratio: float) -> Column:
+    """How many tokens: a share of those of the mask, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.col("__n") * F.lit(float(ratio))))
+
+
 @register("kl_cov")
 def kl_cov(df: DataFrame, ratio: float = 0.0002, coefficient: float = 1.0, mode: str = "token-mean", tie: tuple[str, ...] = ("seq_id", "pos"), **agg) -> DataFrame:
     """A KL term on the tokens of greatest covariance, max(1, int(n ratio)) of the n tokens of the mask; ties by ``tie``."""
-    t, n = covariance(df)
-    k = max(1, int(n * ratio))
-    top = t.where("mask != 0").orderBy(F.col("cov").desc(), *tie).limit(k).select(*tie, F.lit(True).alias("__top"))
-    t = t.join(top, list(tie), "left")
+    t = covariance(df)
+    t = order.flag_first(t, -F.col("cov"), chosen(ratio), [F.col(c) for c in tie], "__top", F.col("mask") != 0, ["__n"])
     plain = -F.col("advantage") * F.exp(F.col("log_prob") - F.col("old_lp"))
     t = t.withColumn("__l", F.when(F.col("__top"), plain + coefficient * F.abs(F.col("log_prob") - F.col("old_lp"))).otherwise(plain))
     t = t.withColumn("__abs", F.abs(F.col("log_prob") - F.col("old_lp")))
@@ -198,14 +199,14 @@ def kl_cov(df: DataFrame, ratio: float = 0.0002, coefficient: float = 1.0, mode:
 def clip_cov(df: DataFrame, ratio: float = 0.0002, bounds: tuple[float, float] = (1.0, 5.0), low: float = 0.2, high: float = 0.2,
              mode: str = "token-mean", seed: int = 0, tie: tuple[str, ...] = ("seq_id", "pos"), **agg) -> DataFrame:
     """PPO in which random tokens of covariance within ``bounds``, not clipped already, lose their gradient; seeded by their key."""
-    t, n = covariance(df)
+    t = covariance(df)
     a, r = F.col("advantage"), F.exp(F.col("log_prob") - F.col("old_lp"))
     first, second = -a * r, -a * clipped(r, low, high)
     t = t.withColumns({"__l": F.greatest(first, second), "__by": second > first})
-    k = max(1, int(n * ratio))
-    open_ = t.where((F.col("mask") != 0) & ~F.col("__by") & (F.col("cov") > bounds[0]) & (F.col("cov") < bounds[1]))
-    chosen = open_.orderBy(seeded.order(seed, *tie), *tie).limit(k).select(*tie, F.lit(0.0).alias("__keep"))
-    t = t.join(chosen, list(tie), "left").withColumn("__keep", F.coalesce("__keep", F.lit(1.0)))
+    open_ = (F.col("mask") != 0) & ~F.col("__by") & (F.col("cov") > bounds[0]) & (F.col("cov") < bounds[1])
+    key = seeded.order(seed, *tie)
+    t = order.flag_first(t, seeded.unit(seed, *tie), chosen(ratio), [key, *map(F.col, tie)], "__out", open_, ["__n"])
+    t = t.withColumn("__keep", F.when(F.col("__out"), 0.0).otherwise(1.0))
     t = t.withColumns({"__l": F.col("__l") * F.col("__keep"), "__clip": (F.col("__keep") == 0).cast("double")})
     return aggregate_loss(t, "__l", mode, also={"pg_clipfrac": "__clip"}, **agg)
 

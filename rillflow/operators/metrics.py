@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from rillflow.functions import masked as M
 from rillflow.functions import seeded
+from rillflow.operators import order
+from rillflow.operators.batch import index_within
 from rillflow.session import ship
 
 
@@ -228,14 +230,17 @@ def agent_performance(df: DataFrame) -> DataFrame:
 
 
 def assembly_stats(df: DataFrame, seconds: str = "processing_time", start: str = "version_start", end: str = "version_end") -> DataFrame:
-    """Times with exact interpolated percentiles, partial rollouts (whose version changed), their greatest span, and distinct versions."""
+    """Times with exact interpolated percentiles, partial rollouts (whose version changed), their greatest span, and distinct versions.
+
+    Percentiles come from :func:`order.quantiles`, so that no task holds the distinct times.
+    """
     span = F.col(end) - F.col(start)
-    p = [F.percentile(seconds, F.lit(q / 100)).alias(f"p{q}") for q in (50, 95, 99)]
+    p = order.quantiles(df, seconds, {f"p{q}": q / 100 for q in (50, 95, 99)})
     return df.agg(
-        F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.min(seconds).alias("min"), *p,
+        F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.min(seconds).alias("min"),
         F.sum((span > 0).cast("long")).alias("partial_count"), F.avg((span > 0).cast("double")).alias("partial_ratio"),
         F.max(span).alias("max_partial_span"), F.count_distinct(end).alias("version_diversity"),
-    )
+    ).crossJoin(F.broadcast(p))
 
 
 #: Metrics whose rule doesn't follow from their name (fixed values).
@@ -317,14 +322,20 @@ def token_differences(a: str, b: str, mask: str) -> Column:
 
 
 def reduce_timing(df: DataFrame) -> DataFrame:
-    """(name, mean, all values sorted) over ranks."""
-    return df.groupBy("name").agg(F.avg("seconds").alias("mean"), F.sort_array(F.collect_list("seconds")).alias("values"))
+    """(name, mean, n, min, p50, max) of the seconds of all ranks; :func:`gathered_timing` has the values themselves."""
+    sums = df.groupBy("name").agg(F.avg("seconds").alias("mean"), F.count("seconds").alias("n"), F.min("seconds").alias("min"), F.max("seconds").alias("max"))
+    half = order.quantiles(df, "seconds", {"p50": 0.5}, ["name"]).withColumnRenamed("name", "__name")
+    return sums.join(half, F.col("name").eqNullSafe(F.col("__name")), "left").select("name", "mean", "n", "min", "p50", "max")
+
+
+def gathered_timing(df: DataFrame) -> DataFrame:
+    """(name, place, seconds): every value of every rank, ascending within the name, as rows: a name of any size is no one task's."""
+    return index_within(df.select("name", "seconds"), ["name"], ["seconds"], "place")
 
 
 def tail_ratio(df: DataFrame, seconds: str = "seconds", top: float = 0.1) -> DataFrame:
-    """Mean time, extremes and the share of workers beyond the quantile 1 - ``top``, with the time of the slowest tail over the mean."""
-    cut = df.agg(F.percentile(seconds, F.lit(1 - top)).alias("__cut"))
-    t = df.crossJoin(F.broadcast(cut))
+    """The extremes of the workers' times, and the share of workers beyond the exact quantile 1 - ``top``."""
+    t = df.crossJoin(F.broadcast(order.quantiles(df, seconds, {"__cut": 1 - top})))
     return t.agg(F.min(seconds).alias("min"), F.max(seconds).alias("max"), F.avg((F.col(seconds) > F.col("__cut")).cast("double")).alias("tail_ratio"))
 
 
@@ -393,9 +404,8 @@ def trajectory_index(df: DataFrame, index: str, order: str) -> DataFrame:
 
     ``order`` is a dense row number; a run is found by the difference of two row numbers, without a global window.
     """
-    w = Window.partitionBy(index).orderBy(order)
-    runs = df.withColumn("__run", F.col(order) - F.row_number().over(w))
-    return runs.withColumn("rollout_n", (F.row_number().over(Window.partitionBy(index, "__run").orderBy(order)) - 1).cast("int")).drop("__run")
+    runs = index_within(df, [index], [order], "__i").withColumn("__run", F.col(order) - F.col("__i")).drop("__i")
+    return index_within(runs, [index, "__run"], [order], "rollout_n").withColumn("rollout_n", F.col("rollout_n").cast("int")).drop("__run")
 
 
 def sanitise(name: Column) -> Column:

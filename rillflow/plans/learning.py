@@ -406,3 +406,21 @@ def is_metrics_token(spark, d):
 def correction_metrics(spark, d):
     out = rounded(O.correction_metrics(tokens(spark, d), "token", 1.05, "geometric", 1.02, 0.98, 0.93))
     return out.withColumns({c: F.round(c, 5) for c in out.columns if c.endswith("_std") and "seq" not in c})
+
+
+@query("adv_gae_long", ORACLES["adv_gae"])
+def adv_gae_long(spark, d):
+    out = A.gae_tokens(tokens(spark, d), gamma=0.9, lam=0.95)
+    return out.select("seq_id", F.col("pos").cast("long").alias("pos"), r("advantages", 5).alias("adv"), r("returns").alias("ret"))
+
+
+@query("adv_reinforce_pp_long", ORACLES["adv_reinforce_pp"])
+def adv_reinforce_pp_long(spark, d):
+    out = A.reinforce_plus_plus_tokens(tokens(spark, d), gamma=0.9)
+    return out.select("seq_id", F.col("pos").cast("long").alias("pos"), r("advantages", 5).alias("adv"), r("returns").alias("ret"))
+
+
+@query("adv_remax_long", ORACLES["adv_remax"])
+def adv_remax_long(spark, d):
+    out = A.remax_tokens(tokens(spark, d).withColumn("reward_baseline", F.lit(0.25)))
+    return out.select("seq_id", F.col("pos").cast("long").alias("pos"), r("advantages").alias("adv"), r("returns").alias("ret"))

@@ -15,7 +15,10 @@ def queue_drop_oldest(spark, d):
     return queues.newest(rollouts(spark, d), 10, "uid", ["ts", "id"]).select("id", "uid")
 
 
-@query("queue_fates")
+@query("queue_fates", f"""WITH RECURSIVE {ROLL}, e AS (SELECT uid AS queue, id, k % 3 = 0 AS get, row_number() OVER (PARTITION BY uid ORDER BY id) AS n FROM roll),
+ w AS (SELECT queue, n, get, 0 AS held FROM e WHERE n = 1 UNION ALL SELECT e.queue, e.n, e.get, CASE WHEN w.get THEN greatest(w.held - 1, 0) ELSE least(w.held + 1, 5) END FROM w JOIN e ON e.queue = w.queue AND e.n = w.n + 1)
+ SELECT queue, count(*) FILTER (NOT get) AS produced, count(*) FILTER (get AND held > 0) AS consumed, count(*) FILTER (NOT get AND held = 5) AS dropped,
+ count(*) FILTER (NOT get) - count(*) FILTER (get AND held > 0) - count(*) FILTER (NOT get AND held = 5) AS queued FROM w GROUP BY queue HAVING count(*) FILTER (NOT get) > 0""")
 def queue_fates(spark, d):
     log = rollouts(spark, d).select(F.col("uid").alias("queue"), F.col("id").alias("seq"), F.when(F.col("k") % 3 == 0, "get").otherwise("put").alias("kind"))
     return queues.queue_statistics(queues.drop_oldest(log, 5))
@@ -50,9 +53,19 @@ def flush_windows(spark, d):
     return f.groupBy("flush", "data_source").agg(r(F.avg("score")).alias("value"))
 
 
-@query("token_bucket")
+#: Seconds of the first day, and a divisor that keeps times off the ties of rounding.
+EPOCH, UNIT = 1_704_067_200, 0.97
+
+
+@query("token_bucket", f"""WITH RECURSIVE {ROLL}, e AS (SELECT uid AS key, (epoch_us(ts) / 1e6 - {EPOCH}) / {UNIT} AS t, abs(score) AS tokens FROM roll),
+ o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, tokens) AS n FROM e),
+ a AS (SELECT key, n, t, tokens, t AS start, 50.0 - tokens AS level FROM o WHERE n = 1
+ UNION ALL SELECT key, n, t, tokens, CASE WHEN full_ < need THEN now_ + (need - full_) / 0.01 ELSE now_ END, CASE WHEN full_ < need THEN need ELSE full_ END - tokens
+ FROM (SELECT *, least(tokens, 50.0) AS need, least(50.0, level + (now_ - start) * 0.01) AS full_ FROM (SELECT o.*, a.start, a.level, greatest(o.t, a.start) AS now_ FROM a JOIN o ON o.key = a.key AND o.n = a.n + 1)))
+ SELECT key, round(t, 3) AS t, round(tokens, 3) AS tokens, round(start, 3) AS start FROM a""")
 def token_bucket(spark, d):
-    e = rollouts(spark, d).select(F.col("uid").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("t"), F.abs("score").alias("tokens"))
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - EPOCH) / UNIT
+    e = rollouts(spark, d).select(F.col("uid").alias("key"), t.alias("t"), F.abs("score").alias("tokens"))
     return rounded(queues.token_bucket(e, 0.01, 50.0), "key", digits=3)
 
 

@@ -301,10 +301,10 @@ def token_differences(spark, d):
     return s.select("seq_id", metrics.token_differences("old_lp", "rollout_lp", "mask").alias("diff"))
 
 
-@query("timing_reduce", f"WITH {ROLL} SELECT data_source AS name, round(avg(score), 6) AS mean, CAST(count(*) AS INTEGER) AS n FROM roll GROUP BY data_source")
+@query("timing_reduce", f"WITH {ROLL} SELECT data_source AS name, round(avg(score), 6) AS mean, CAST(count(*) AS INTEGER) AS n, round(quantile_cont(score, 0.5), 6) AS p50 FROM roll GROUP BY data_source")
 def timing_reduce(spark, d):
     t = metrics.reduce_timing(rollouts(spark, d).select(F.col("data_source").alias("name"), F.col("score").alias("seconds")))
-    return t.select("name", r("mean").alias("mean"), F.size("values").alias("n"))
+    return t.select("name", r("mean").alias("mean"), F.col("n").cast("int").alias("n"), r("p50").alias("p50"))
 
 
 @query("timing_tail", f"WITH {ROLL}, c AS (SELECT quantile_cont(score, 0.9) AS q FROM roll) SELECT round(min(score), 6) AS min, round(max(score), 6) AS max, round(avg(CASE WHEN score > q THEN 1.0 ELSE 0.0 END), 6) AS tail_ratio FROM roll, c")

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
+from rillflow.operators import scans
+from rillflow.operators.batch import index_within
+from rillflow.scratch import materialise, scope
 from rillflow.session import ship
 
 
@@ -40,31 +42,33 @@ def replay(df: DataFrame, key: str, order: list[str], columns: list[str], schema
 
 
 def drop_oldest(df: DataFrame, capacity: int, queue: str = "queue", order: str = "seq", kind: str = "kind") -> DataFrame:
-    """What becomes of each ``put`` of an ordered log of puts and gets: ``fate`` is ``got``, ``dropped`` or ``queued``.
+    """What becomes of each ``put`` of an ordered log of puts and gets: (queue, seq, fate), ``got``, ``dropped`` or ``queued``.
 
-    A queue holds ``capacity`` samples; a put to a full one drops the oldest, a get from an empty one gets nothing.
-    Queues are independent and have names that are not null; the state of a replay is the samples held. Puts and gets
-    of one queue are a sequence by nature: one task replays each queue, in Python and in batches, so that the longest
-    log bounds the time. For logs of puts alone :func:`newest` needs no replay.
+    A queue holds ``capacity`` samples, one at least; a put to a full one drops the oldest, a get from an empty one gets nothing; any
+    kind but ``put`` is a get. Nothing is replayed: a queue's length is a walk between 0 and its capacity, each step of which is
+    a clamp, so that a queue with most of the log is many tasks' work. Samples leave in the order they came, so that
+    the n-th get that finds one, or put that finds the queue full, takes the n-th put.
     """
-    from collections import deque
-
-    def step(name, held: deque, row: tuple) -> list[tuple]:
-        at, what = row
-        if what != "put":
-            return [(name, held.popleft(), "got")] if held else []
-        out = [(name, held.popleft(), "dropped")] if len(held) >= capacity else []
-        held.append(at)
-        return out
-
-    kinds = f"{queue} {df.schema[queue].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, fate string"
-    return replay(df, queue, [order], [order, kind], kinds, deque, step, lambda name, held: [(name, i, "queued") for i in held])
+    if capacity < 1:
+        raise ValueError("a queue holds one sample at least")
+    put = F.col("kind") == "put"
+    log = df.select(F.col(queue).alias("queue"), F.col(order).alias("seq"), F.coalesce(F.col(kind), F.lit("")).alias("kind"))
+    step = F.when(put, 1.0).otherwise(-1.0)
+    walk = scans.scan(log, ["queue"], ["seq"], scans.Clamp(), [step, F.lit(0.0), F.lit(float(capacity))], [0.0], ["held"], before=True)
+    with scope() as kept:
+        walk = materialise(walk, "queue-lengths")
+        kept.append(walk)
+    puts = index_within(walk.where(put).select("queue", "seq"), ["queue"], ["seq"], "n")
+    fate = F.when(put & (F.col("held") >= capacity), "dropped").when(~put & (F.col("held") > 0), "got")
+    left = index_within(walk.select("queue", "seq", fate.alias("fate")).where("fate is not null"), ["queue"], ["seq"], "n")
+    left = left.select(F.col("queue").alias("__q"), F.col("n").alias("__n"), "fate")
+    out = puts.join(left, F.col("queue").eqNullSafe(F.col("__q")) & (F.col("n") == F.col("__n")), "left")
+    return out.select(F.col("queue").alias(queue), F.col("seq").alias(order), F.coalesce("fate", F.lit("queued")).alias("fate"))
 
 
 def newest(df: DataFrame, capacity: int, queue: str, order: list[str]) -> DataFrame:
     """Of puts alone, what a queue still holds: the last ``capacity`` of each."""
-    w = Window.partitionBy(queue).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= capacity).drop("__n")
+    return index_within(df, [queue], [F.col(c).desc() for c in order], "__n").where(F.col("__n") < capacity).drop("__n")
 
 
 def queue_statistics(df: DataFrame, queue: str = "queue") -> DataFrame:
@@ -128,20 +132,21 @@ def staleness_budget(required: int, threshold: float, sync_steps: int) -> int:
 
 def admitted(df: DataFrame, budget: int, version: str = "param_version", order: list[str] = ("seq",), queue_size: str | None = None, max_queue: int | None = None) -> DataFrame:
     """With ``admitted``: whether generation goes on at a sample: its version's budget is not used up and the queue has room."""
-    at = F.row_number().over(Window.partitionBy(version).orderBy(*order))
-    ok = at <= budget
+    ok = F.col("__n") < budget
     if queue_size and max_queue is not None:
         ok = ok & (F.col(queue_size) < max_queue)
-    return df.withColumn("admitted", ok)
+    return index_within(df, [version], list(order), "__n").withColumn("admitted", ok).drop("__n")
 
 
 def version_resets(df: DataFrame, order: list[str] = ("seq",), key: str = "stream") -> DataFrame:
-    """Rows of kind ``version`` (with ``active``, ``cancelled``, ``queued``) and ``sample``: ``stale``, the count since the last version on top of what it found in flight."""
-    w = Window.partitionBy(key).orderBy(*order)
-    t = df.withColumn("epoch", F.sum((F.col("kind") == "version").cast("long")).over(w))
+    """Rows of kind ``version`` (with ``active``, ``cancelled``, ``queued``) and ``sample``: ``stale``, the count since the last version on top of what it found in flight.
+
+    A version sets the count and a sample adds one: an affine step each, so that a long stream is many tasks' work.
+    """
     base = F.coalesce(F.col("active"), F.lit(0)) + F.coalesce(F.col("cancelled"), F.lit(0)) + F.coalesce(F.col("queued"), F.lit(0))
-    own = F.when(F.col("kind") == "version", base).otherwise(1)
-    return t.withColumn("stale", F.sum(own).over(Window.partitionBy(key, "epoch").orderBy(*order)))
+    version = F.col("kind") == "version"
+    maps = [F.when(version, 0.0).otherwise(1.0), F.when(version, base).otherwise(1)]
+    return scans.scan(df, [key], list(order), scans.Affine(), maps, [0.0], ["stale"]).withColumn("stale", F.col("stale").cast("long"))
 
 
 def lifecycle(df: DataFrame, sample: str = "sample_id", order: str = "ts") -> DataFrame:
@@ -154,10 +159,9 @@ def lifecycle(df: DataFrame, sample: str = "sample_id", order: str = "ts") -> Da
 
 def full_batches(df: DataFrame, size: int, key: str, order: list[str]) -> DataFrame:
     """With ``batch``: every ``size`` samples in order; an unfinished batch is left out."""
-    w = Window.partitionBy(key).orderBy(*order)
-    t = df.withColumn("__n", F.row_number().over(w) - 1).withColumn("batch", F.expr(f"__n div {size}"))
-    full = t.groupBy(F.col(key).alias("__k"), F.col("batch").alias("__b")).count().where(F.col("count") == size)
-    return t.join(full, (F.col(key) == F.col("__k")) & (F.col("batch") == F.col("__b")), "left_semi").drop("__n")
+    t = index_within(df, [key], list(order), "__n").withColumn("batch", F.expr(f"__n div {size}"))
+    n = df.groupBy(F.col(key).alias("__k")).agg(F.expr(f"count(1) div {size}").alias("__full"))
+    return t.join(n, F.col(key).eqNullSafe(F.col("__k"))).where(F.col("batch") < F.col("__full")).drop("__n", "__k", "__full")
 
 
 def flush_windows(df: DataFrame, every: int, step: str = "step") -> DataFrame:
@@ -166,24 +170,19 @@ def flush_windows(df: DataFrame, every: int, step: str = "step") -> DataFrame:
 
 
 def token_bucket(df: DataFrame, rate: float, capacity: float, key: str = "key", at: str = "t", tokens: str = "tokens") -> DataFrame:
-    """(key, t, tokens, start): when each request may start, requests of a key in order of their times.
+    """(key, t, tokens, start): when each request may start, requests of a key in order of their times, then tokens.
 
-    The bucket fills at ``rate`` up to ``capacity``; a request larger than the bucket waits until it is full and overdraws it.
+    The bucket fills at ``rate`` up to ``capacity``; a request larger than the bucket waits until it is full and overdraws it. What
+    a request leaves behind is the time at which the bucket was empty, in effect, and the time it started; both are the
+    greatest of sums of what it found, its own time and numbers of its own. Such steps compose, so that a hot key's
+    requests are many tasks' work. Requests without a time or tokens start never and change nothing.
     """
-
-    def step(name, bucket: dict, row: tuple) -> list[tuple]:
-        t, n = row
-        now = max(t, bucket.get("clock", t))
-        level = min(capacity, bucket.get("level", capacity) + (now - bucket.get("clock", now)) * rate)
-        need = min(n, capacity)
-        if level < need:
-            now, level = now + (need - level) / rate, need
-        bucket.update(level=level - n, clock=now)
-        return [(name, t, n, now)]
-
-    kinds = f"{key} {df.schema[key].dataType.simpleString()}, {at} double, {tokens} double, start double"
-    src = df.select(key, F.col(at).cast("double").alias(at), F.col(tokens).cast("double").alias(tokens))
-    return replay(src, key, [at, tokens], [at, tokens], kinds, dict, step)
+    n, t = F.col("__n"), F.col("__t")
+    src = df.select(key, F.col(at).cast("double").alias("__t"), F.col(tokens).cast("double").alias("__n"))
+    over = (n - capacity) / rate
+    maps = [n / rate, over, F.least(n, F.lit(float(capacity))) / rate, F.when(n.isNotNull(), 0.0), t + over, t]
+    out = scans.scan(src, [key], ["__t", "__n"], scans.MaxPlus(2), maps, [-scans.INF, -scans.INF], ["__empty", "start"])
+    return out.select(key, t.alias(at), n.alias(tokens), F.when(t.isNotNull() & n.isNotNull(), F.col("start")).alias("start"))
 
 
 def backoff(attempt: int, longest: float = 30.0) -> float:
