@@ -22,8 +22,8 @@ are split. Tables of links, roots and buckets are of known size and broadcast be
 
 Rules: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer words than a shingle are one shingle;
 null and empty texts and texts without words have an empty set and no links; whole texts are read, however
-long. Ids are of any type that has an order. Rows that repeat a ``doc_id`` with another text are judged by
-their own texts, but classes of equal sets that have the same smallest id share a vertex. Rows without an
+long. Ids are of any type that has an order. Where an id comes with several texts, which one pass over digests
+tells, each id and text gets a number that stands for the id. Rows without an
 id are linked with nothing and kept. An empty table gives an empty table.
 """
 
@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import words as W
-from rillflow.llm.common import discard, materialise
+from rillflow.llm.common import discard, materialise, scope
+from rillflow.operators.batch import row_index
 from rillflow.session import ship
 
 U64 = np.uint64
@@ -378,9 +379,45 @@ def judge(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[Data
     return judged.select("id", "n", root.alias("root")), [prints, moved]
 
 
+def text_digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+
+
+def texts_of_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(id, digest, no), written: a number for each id and text, in the order of ids; None where no id has several texts."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(text_col).alias("digest")).where("id is not null")
+    if rows.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").isEmpty():
+        return None
+    with scope() as kept:
+        numbered = materialise(row_index(rows.distinct(), ["id", "digest"], "no"), "texts-of-ids")
+        kept.append(numbered)
+    return numbered
+
+
+def judge_texts(docs: DataFrame, numbers: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """:func:`judge` with the numbers of :func:`texts_of_ids` for ids; rows without an id have none."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_digest(text_col).alias("digest"))
+    return judge(rows.join(numbers.hint("merge"), ["id", "digest"], "left").select("no", "text"), plan, "no", "text")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``."""
-    out = judge(docs, plan, id_col, text_col)[0]
+    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``.
+
+    An id with several texts is one document that is linked with whatever any of them is near. Null and empty texts, texts
+    without words and rows without an id are linked with nothing and kept; repeated rows come back as often as
+    they came, an empty table stays empty.
+    """
+    numbers = texts_of_ids(docs, id_col, text_col)
+    if numbers is None:
+        out = judge(docs, plan, id_col, text_col)[0]
+    else:
+        judged = judge_texts(docs, numbers, plan, id_col, text_col)[0]
+        one = numbers.groupBy("id").agg(F.min("no").alias("v"))
+        links = judged.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(numbers.join(one, "id").select(F.col("no").alias("u"), "v"))
+        found = components(links.where("u <> v").distinct()).select(F.col("id").alias("no"), F.col("root").alias("end"))
+        rooted = judged.select(F.col("id").alias("no"), "n").join(found, "no", "left").withColumn("end", F.coalesce("end", "no"))
+        rooted = rooted.join(numbers.select("no", "id"), "no", "left")
+        out = rooted.join(numbers.select(F.col("no").alias("end"), F.col("id").alias("root")), "end", "left").select("id", "n", "root")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept")
     )
@@ -389,10 +426,19 @@ def near_duplicates(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc
 def drop_near_duplicates(docs: DataFrame, plan: Plan = DROPPING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are near copies of one with a smaller id; all columns stay.
 
-    All rows of an id go if one of them does. Documents without words or without an id stay, an empty table stays
-    empty, columns may have any other names.
+    Where an id has several texts, each is judged by itself, and the text that sorts first stays of those that are near
+    each other, so that every text that goes has one that stays. Rows that repeat id and text go or stay
+    together. Documents without words or without an id stay, an empty table stays empty, columns may have any other names.
     """
-    judged, used = judge(docs, plan, id_col, text_col)
-    gone = materialise(judged.where("id <> root").select(F.col("id").alias("__gone")).distinct(), "gone")
+    numbers = texts_of_ids(docs, id_col, text_col)
+    if numbers is None:
+        judged, used = judge(docs, plan, id_col, text_col)
+        gone = materialise(judged.where("id <> root").select(F.col("id").alias("__gone")).distinct(), "gone")
+        discard(*used)
+        return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    judged, used = judge_texts(docs, numbers, plan, id_col, text_col)
+    gone = judged.where("id <> root").select(F.col("id").alias("no")).distinct().join(numbers, "no")
+    gone = materialise(gone.select(F.col("id").alias("__gone"), F.col("digest").alias("__digest")), "gone")
     discard(*used)
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    same = (F.col(f"`{id_col}`") == F.col("__gone")) & (text_digest(text_col) == F.col("__digest"))
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -43,7 +43,11 @@ def brute(rows, num=85):
             if 100 * both >= num * (len(s) + len(t) - both):
                 lo, hi = sorted((find(distinct[j][0]), find(min(v))))
                 parent[hi] = lo
-    root = lambda i, s: i if i is None or not s else find(min(by[s]))
+    for i, s in sets:  # an id with several texts is one document
+        if s and i is not None:
+            lo, hi = sorted((find(i), find(min(by[s]))))
+            parent[hi] = lo
+    root = lambda i, s: i if i is None else find(i)
     return sorted(((i, len(s), root(i, s), root(i, s) == i) for i, s in sets), key=str)
 
 
@@ -55,7 +59,8 @@ def test_corner_cases(docs, rows, empty):
     assert run(docs) == brute([(r[0], r[1]) for r in rows])
     assert run(empty) == []
     kept = near_dedup.drop_near_duplicates(docs.withColumn("n", F.lit("own")))
-    assert kept.columns == docs.columns + ["n"] and {r[0] for r in kept.collect()} == {1, 3, 4, 5, 6, 8, None, 9, 10, 11}
+    assert kept.columns == docs.columns + ["n"] and {r[0] for r in kept.collect()} == {1, 3, 4, 5, 6, 7, 8, None, 9, 10, 11}
+    assert sorted(r["text"][:8] for r in kept.where("doc_id = 7").collect()) == ["the same"]
 
 
 def test_documents(spark, sf_dir):
@@ -132,7 +137,7 @@ def test_ids_of_any_type(spark, rows):
     assert out.schema["component_id"].dataType.simpleString() == "string"
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(named)
     kept = near_dedup.drop_near_duplicates(df)
-    assert {r[0] for r in kept.collect()} == {f"id{i}" for i in (1, 3, 4, 5, 6, 8, 9, 10, 11)} | {None}
+    assert {r[0] for r in kept.collect()} == {f"id{i}" for i in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11)} | {None}
     whole = df.selectExpr("cast(substring(doc_id, 3) as int) as doc_id", "text")
     assert run(whole) == brute([(None if i is None else int(i[2:]), t) for i, t in named])
 
@@ -142,3 +147,45 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "u long, v long")
     got = {r["id"]: r["root"] for r in near_dedup.components(df).collect()}
     assert got == {i: 10 for i in range(10, 61)} | {i: 100 for i in range(100, 140)}
+
+
+def test_ids_with_several_texts(spark):
+    """Every text that goes has a copy, or a near one, that stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (3, a), (5, b), (9, b), (9, c), (9, c), (None, a), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df) == brute(rows)
+    assert {r[0]: r[2] for r in run(df)} == {5: 3, 3: 3, 9: 3, None: None, 7: 7}
+    kept = near_dedup.drop_near_duplicates(df, plan=near_dedup.PRODUCTION).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(3, a), (5, b), (9, c), (9, c), (0, a), (7, ""), (7, "")])
+
+
+def test_one_id_for_most_rows(spark):
+    import random
+
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        text = [w if r.random() < 0.995 else f"x{r.randrange(10**6)}" for w in base] if i % 2 else [f"y{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((1 if i % 3 else 100 + i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert run(df) == brute(rows)
+    kept = [(x["doc_id"], shingles(x["text"])) for x in near_dedup.drop_near_duplicates(df, plan=near_dedup.PRODUCTION).collect()]
+    alike = lambda s, t: 100 * len(s & t) >= 85 * len(s | t)
+    near = {i: {j for j, (_, t) in enumerate(rows) if alike(shingles(rows[i][1]), shingles(t))} for i in range(len(rows))}
+    reach = {}
+    for i in range(len(rows)):
+        if i not in reach:
+            todo, seen = [i], {i}
+            while todo:
+                for j in near[todo.pop()] - seen:
+                    seen.add(j)
+                    todo.append(j)
+            reach |= dict.fromkeys(seen, min(seen))
+    groups = {}
+    for i, root in reach.items():
+        groups.setdefault(root, []).append(i)
+    got = {(d, s) for d, s in kept}
+    for members in groups.values():
+        assert sum((rows[i][0], shingles(rows[i][1])) in got for i in members) == 1
