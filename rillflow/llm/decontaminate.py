@@ -6,8 +6,8 @@ only hits are shuffled. The broadcast holds each window once, however many items
 are measured first; a benchmark beyond ``max_broadcast_bytes`` is met by one sort-merge join on the window
 hash instead, again with one scan that explodes, and candidates are verified when they meet the texts.
 
-Windows that are in the same items share an item set, so that a document is joined with the sets it
-hits, not with every item of every window.
+Windows that are in the same items share an item set, and documents that hit the same sets share their union: item
+lists are put together once for each such union, not for each document, and need not come along with documents.
 """
 
 from __future__ import annotations
@@ -129,27 +129,38 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     max_broadcast_bytes: int = 64 << 20,
+    lists: bool = True,
 ) -> DataFrame:
     """Per row of ``docs``: id, a checksum of its text, n_words, hit positions (ascending) and the items found.
 
     Columns: ``id_col`` (any type; not one of the other names), ``text_crc``, ``n_words`` long, ``hits array<int>`` (0-based
-    words inside any occurrence of a window), ``items array<string>`` (sorted as strings); no other column of
-    ``docs`` is read. Null and empty texts have no words, whole texts are read, however long. Rows that repeat both
+    words inside any occurrence of a window), ``items array<string>`` (sorted as strings), or, without ``lists``, ``n_items`` and
+    the digest ``items_sha256`` of the list; no other column of ``docs`` is read. Null and empty texts have no words, whole texts are read, however long. Rows that repeat both
     id and text come back as often as they came. An empty benchmark hits nothing, an empty table stays empty.
     """
     windows, sets = benchmark_windows(benchmark, width, item_col, text_col)
     found = materialise(hit_positions(docs, windows, id_col, text_col, max_broadcast_bytes), "window-hits")
     discard(windows)
-    none = F.array().cast("array<string>")
-    clean = found.where(F.size("sets") == 0).select("__id", "text_crc", "__n", "__rows", "hits", none.alias("items"))
-    hit = found.where(F.size("sets") > 0).select("__id", "text_crc", "__n", "__rows", "hits", F.explode("sets").alias("w_set")).join(sets.hint("merge"), "w_set")
-    hit = hit.groupBy("__id", "text_crc", "__n", "__rows", "hits").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return clean.unionByName(hit).select(
+    # Documents that hit the same sets, as copies of a passage do, share their list: it is put together once.
+    found = found.withColumn("__sets", F.sort_array("sets"))
+    some = materialise(found.where(F.size("sets") > 0).select("__sets").distinct(), "set-unions")
+    each = some.select("__sets", F.explode("__sets").alias("w_set")).join(sets.hint("merge"), "w_set")
+    unions = each.groupBy("__sets").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    if not lists:
+        unions = unions.select("__sets", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    unions = materialise(unions, "items-of-sets")
+    discard(some, sets)
+    out = found.join(unions.hint("merge"), "__sets", "left")
+    if lists:
+        told = [F.coalesce("items", F.array().cast("array<string>")).alias("items")]
+    else:
+        told = [F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256")]
+    return out.select(
         F.col("__id").alias(id_col),
         "text_crc",
         F.col("__n").cast("long").alias("n_words"),
         "hits",
-        "items",
+        *told,
         F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))).alias("__copy"),
     ).drop("__copy")
 

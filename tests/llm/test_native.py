@@ -195,3 +195,19 @@ def test_poisson_mixture(docs, empty, spark, sf_dir):
     assert mixing.mix(docs, epochs=3.0).columns == docs.columns
     assert mixing.mix(docs.withColumn("copy", F.lit("x")), epochs=3.0).where("copy <> 'x'").count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixture_places(empty).count() == 0
+
+
+def test_lists_of_items_are_put_together_once_for_documents_that_share_them(spark):
+    """A passage that every item and most documents hold: one union, however many documents."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    bench = spark.createDataFrame([(f"i{k}", f"{passage} own{k} " + " ".join(f"q{k}x{j}" for j in range(10))) for k in range(40)], "item_id string, text string")
+    rows = [(i, f"a b {passage} c{i}") for i in range(200)] + [(1000, " ".join(f"q7x{j}" for j in range(10))), (1001, "nothing"), (1002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r["items"] for r in decontaminate.contamination(docs, bench).collect()}
+    assert whole[0] == sorted(f"i{k}" for k in range(40)) and whole[1000] == ["i7"] and whole[1001] == whole[1002] == []
+    short = decontaminate.contamination(docs, bench, lists=False)
+    for r in short.collect():
+        want = whole[r["doc_id"]]
+        assert r["n_items"] == len(want) and r["items_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    text = short._jdf.queryExecution().executedPlan().toString()
+    assert "flatten" not in text and "collect_list" not in text
