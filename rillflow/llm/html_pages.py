@@ -2,7 +2,9 @@
 
 A page is an article between menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments, in tags or in ``div`` elements whose class or id names them, with invented words of random
-syllables throughout, so that only structure and names tell content from the rest.
+syllables throughout, so that only structure and names tell content from the rest. Some articles have no
+element of their own but stand in the body beside the rest, some have names of random syllables, some are a
+block or two, and some pages are paragraphs or plain text alone.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ class Maker:
             return f'<{tag} {how}="{name}">', f"</{tag}>"
         return f"<{tag}>", f"</{tag}>"
 
+    def unknown(self) -> str:
+        """A name that says nothing."""
+        return self.r.choice(["-", "_", ""]).join("".join(self.r.choices(self.parts, k=2)) for _ in range(self.r.randint(1, 2)))
+
     def links(self, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(n)) + "</ul>"
 
@@ -105,15 +111,26 @@ class Maker:
         if r.random() < 0.2:
             body = f"<div>{body}</div>"
         kind = r.random()
-        if kind < 0.45:
+        if kind < 0.35:
             return f"<article>{body}</article>"
-        if kind < 0.6:
+        if kind < 0.5:
             return f"<main>{body}</main>"
+        if kind < 0.65:
+            return body
+        if kind < 0.8:
+            tag = r.choice(["div", "div", "section"])
+            return f'<{tag} {r.choice(["class", "id"])}="{self.unknown()}">{body}</{tag}>' if r.random() < 0.8 else f"<{tag}>{body}</{tag}>"
         a, b = self.named("content", ["div", "section", "article"])
         return a + body + b
 
     def page(self) -> str:
         r = self.r
+        bare = r.random()
+        if bare < 0.08:  # paragraphs, or text, and nothing else
+            tag = r.choice(["p", "p", "div", ""])
+            texts = [self.words(4, 80) + MARK for _ in range(r.choice([1, 1, 2, 3, 5]) if tag else 1)]
+            inner = "".join(f"<{tag}>{t}</{tag}>" if tag else t for t in texts)
+            return inner if r.random() < 0.5 else f"<html><body>{inner}</body></html>"
         before = [self.junk(k) for k in r.sample(["header", "nav", "ad", "notice", "form", "aside", "share"], r.randint(0, 4))]
         after = [self.junk(k) for k in r.sample(["footer", "aside", "ad", "comments", "form", "notice", "nav", "share"], r.randint(0, 5))]
         main = self.article()
@@ -124,7 +141,7 @@ class Maker:
 
 
 def labelled(n: int = 500, seed: int = 1) -> list[tuple[Tree, list[int]]]:
-    """n pages as trees with a label per node: runs of content, and the elements that hold any such run but are no wrapper of junk."""
+    """n pages as trees with a label per node: runs of content, and the elements that hold any such run."""
     maker, out = Maker(seed), []
     for _ in range(n):
         tree = read(maker.page())
@@ -137,7 +154,6 @@ def labelled(n: int = 500, seed: int = 1) -> list[tuple[Tree, list[int]]]:
             if tree.parent[i] >= 0:
                 own[tree.parent[i]] += own[i]
                 rest[tree.parent[i]] += rest[i]
-        outer = {"html", "body", "head"}
-        labels = [int(o > 0 and t not in outer) for o, t in zip(own, tree.tag)]
+        labels = [int(o > 0 and t != "head") for o, t in zip(own, tree.tag)]
         out.append((tree, labels))
     return out

@@ -42,13 +42,59 @@ def test_messages_equal_enumeration():
     z, ones = 0.0, np.zeros(n)
     for y in itertools.product((0, 1), repeat=n):
         y = np.array(y)
-        s = (forest.x @ w) @ y + sum(pairs[forest.kind[i], y[forest.parent[i]], y[i]] for i in range(n) if forest.parent[i] >= 0)
+        s = forest.score(w) @ y + sum(pairs[forest.kind[i], y[forest.parent[i]], y[i]] for i in range(n) if forest.parent[i] >= 0)
         z += np.exp(s)
         ones += np.exp(s) * y
     assert np.allclose(p, ones / z) and np.isclose(log_z, np.log(z))
     assert np.allclose(joint[1:][forest.parent[1:] >= 0].sum(axis=(1, 2)), 1)
 
 
+def test_features_times_weights_and_sums_agree():
+    forest = html_extract.Forest([t for t, _ in html_pages.labelled(20, seed=5)])
+    rng = np.random.default_rng(1)
+    dense = np.stack([forest.score(e) for e in np.eye(html_extract.N_FEATURES)], 1)
+    w, p = rng.normal(size=html_extract.N_FEATURES), rng.random(len(forest.parent))
+    assert np.allclose(dense @ w, forest.score(w)) and np.allclose(dense.T @ p, forest.total(p))
+
+
+LINES = ["A heading of the page", "The first paragraph tells what happened in the town and who was there to see it happen.", "The second one goes on for a while and says, in some more words, what came of it.",
+         "The third is shorter, but still a sentence.", "At the end there is one more paragraph that closes the story for good."]
+MENU = '<ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul>'
+WRAPS = ["", "<div>", '<div class="mw-parser-output">', '<section class="zq-91">', '<div id="kolumne">', '<div class="css-1x2y3z">', '<div class="artikeltext__absatz">', "<section>", "<main>", "<article>"]
+
+
+def wrapped(inner, start):
+    tag = re.match(r"<(\w+)", start)
+    return start + inner + (f"</{tag[1]}>" if tag else "")
+
+
+def test_articles_under_names_and_in_layouts_that_no_training_page_has():
+    for n in (5, 3, 2):
+        inner = f"<h1>{LINES[0]}</h1>" + "".join(f"<p>{x}</p>" for x in LINES[1:n])
+        for start in WRAPS:
+            for menu in (f"<nav>{MENU}</nav>", f'<div class="menu">{MENU}</div>', ""):
+                page = f"<html><head><title>t</title></head><body>{menu}{wrapped(inner, start)}<footer><p>Copyright 2020 by us. All rights reserved.</p></footer></body></html>"
+                assert html_extract.main_texts([page], html_extract.trained()) == ["\n\n".join(LINES[:n])], (n, start, menu)
+
+
+def test_pages_of_paragraphs_or_text_alone():
+    model, want = html_extract.trained(), "\n\n".join(LINES[1:3])
+    pages = [f"<p>{LINES[1]}</p><p>{LINES[2]}</p>", f"<body><p>{LINES[1]}</p><p>{LINES[2]}</p></body>", f"<html><body><div>{LINES[1]}</div><div>{LINES[2]}</div></body></html>"]
+    assert html_extract.main_texts(pages, model) == [want] * 3
+    assert html_extract.main_texts([LINES[1], f"<p>{LINES[1]}</p>", f"<body>{LINES[1]}</body>"], model) == [LINES[1]] * 3
+
+
+def test_memory_of_a_long_page():
+    import tracemalloc
+
+    page = "<html><body>" + "<div class=post><p>some words of a long page</p></div>" * 60_000 + "</body></html>"
+    tracemalloc.start()
+    html_extract.main_texts([page], html_extract.trained())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 34 * len(page)  # 30 MB of such a page take 1 GB
+
+
 def test_reader():
     blocks = lambda page: [t for t in html_tree.read(page).text if t]
     assert blocks("<p>a &amp;&nbsp;b<br>c<p>d <b>e\n\n f</b>") == ["a & b c", "d e f"]
