@@ -1,14 +1,17 @@
-"""Balancing sequences by work: exact partitioners for a batch, and a serpentine deal for whole tables."""
+"""Balancing sequences by work: exact partitioners for a batch, and for whole tables a deal over the histogram of lengths and a serpentine one."""
 
 from __future__ import annotations
 
 import heapq
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.operators.batch import row_index
+from rillflow.operators.batch import index_within, row_index
+from rillflow.scratch import materialise
 from rillflow.session import ship
 
 
@@ -141,6 +144,60 @@ def serpentine(df: DataFrame, length: str, k: int, key: str, name: str = "part")
     return indexed.withColumn(name, F.when(place < k, place).otherwise(2 * k - 1 - place).cast("int")).drop("__i")
 
 
+#: Parts that a histogram is dealt to at a time: a step per length looks at the loads of all parts.
+MOST_PARTS = 1 << 16
+
+
+def loads_of(counts: list[tuple[int, int]], parts: int, equal: bool = False) -> tuple[list[tuple[int, int, list[int]]], np.ndarray]:
+    """([(length, rows that every part gets, parts that get one more)], load of each part) for counts of rows by length.
+
+    Every part gets the same rows of a length as far as they go; what is left goes, from the greatest length down, to the
+    parts that are lightest so far, or with ``equal`` to the lightest of those with the fewest rows.
+    """
+    load, rows, out = np.zeros(parts), np.zeros(parts, np.int64), []
+    for length, n in sorted(counts, reverse=True):
+        every, left = divmod(n, parts)
+        order = np.lexsort((load, rows)) if equal else np.argsort(load, kind="stable")
+        extra = order[:left]
+        load += every * length
+        load[extra] += length
+        rows[extra] += 1
+        out.append((length, every, extra.tolist()))
+    return out, load
+
+
+def deal(df: DataFrame, length: str, parts: int, key: str, name: str = "part", equal: bool = False) -> DataFrame:
+    """Rows of a table of any size dealt to ``parts`` with loads (sums of ``length``) as even as the greatest-first rule makes them.
+
+    Only a histogram is solved, a row per distinct length; rows are numbered within their length, in the order of ``key``, and
+    their number says where they go. ``equal``: counts of parts differ by one at most. Null lengths count as 0.
+    """
+    if not 0 < parts <= MOST_PARTS:
+        raise ValueError(f"1 to {MOST_PARTS} parts")
+    spark, own = df.sparkSession, F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long"))
+    sized = df.withColumn("__size", own)
+    counts = [(r[0], r[1]) for r in sized.groupBy("__size").count().collect()]
+    plan, _ = loads_of(counts, parts, equal)
+    table = pa.table({"__len": pa.array([p[0] for p in plan], pa.int64()), "__every": pa.array([p[1] for p in plan], pa.int64()), "__extra": pa.array([p[2] for p in plan], pa.list_(pa.int32()))})
+    where = materialise(spark.createDataFrame(table), "parts-of-lengths")
+    # At most (parts - 1) places a length.
+    where = F.broadcast(where) if sum(len(p[2]) for p in plan) <= 1 << 22 else where.hint("merge")
+    numbered = index_within(sized, ["__size"], [key], "__i")
+    over = F.col("__i") - F.col("__every") * parts
+    part = F.when(over < 0, F.pmod("__i", F.lit(parts))).otherwise(F.get("__extra", over.cast("int"))).cast("int")
+    return numbered.join(where, F.col("__size") == F.col("__len")).withColumn(name, part).drop("__size", "__i", "__len", "__every", "__extra")
+
+
+def table_micro_batches(df: DataFrame, length: str, max_tokens: int, key: str, group_rows: int = 4096) -> DataFrame:
+    """(group, key, part, place): a whole table in micro-batches of balanced work, of about ``max_tokens`` tokens as :func:`micro_batches` makes them.
+
+    The histogram deals rows to groups of like lengths, about ``group_rows`` each, and each group is divided by itself.
+    """
+    groups = max(1, -(-df.count() // group_rows))
+    dealt = deal(df.select(key, F.col(length).cast("long").alias(length)), length, groups, key, "group")
+    return assign(dealt, "group", key, length, lambda lengths: micro_batches(lengths, max_tokens))
+
+
 def least_loaded(df: DataFrame, request: str, order: list[str], servers: int, name: str = "server") -> DataFrame:
     """A server for each request id, the same for every turn: ids go, in the order of their first turn, to the server that has had the fewest.
 

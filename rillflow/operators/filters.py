@@ -26,7 +26,7 @@ def dynamic_sampling(df: DataFrame, metric: str, prompts: int, group: str = "uid
     used = order.where(F.col("__rank") < prompts)
     if max_batches and used.where(F.col("__b") < max_batches).count() < prompts:
         raise ValueError(f"{max_batches} batches hold fewer than {prompts} mixed prompts")
-    return kept.join(used.select(F.col(group).alias("__g")), F.col(group) == F.col("__g"), "left_semi")
+    return kept.join(used.select(F.col(group).alias("__g")), F.col(group).eqNullSafe(F.col("__g")), "left_semi")
 
 
 def accuracy_band(df: DataFrame, acc: str, length: str, low: float, high: float, max_length: int, oversample: float, group: str = "uid", order: str = "seq_id") -> DataFrame:
@@ -48,7 +48,7 @@ def not_aborted(length: str = "response_length") -> Column:
 def sample_groups(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """All rows of at most k groups, chosen by a seeded hash."""
     chosen = df.select(F.col(group).alias("__g")).distinct().orderBy(seeded.order(seed, "__g"), "__g").limit(k)
-    return df.join(chosen, F.col(group) == F.col("__g"), "left_semi")
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("__g")), "left_semi")
 
 
 def within_length(df: DataFrame, tokens: Column, limit: int) -> DataFrame:

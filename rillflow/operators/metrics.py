@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from rillflow.functions import masked as M
 from rillflow.functions import seeded
-from rillflow.operators import order
-from rillflow.operators.batch import index_within
+from rillflow.operators import order, scans
+from rillflow.operators.batch import MOST, index_within
 from rillflow.session import ship
 
 
@@ -359,16 +359,29 @@ def device_tflops(name: str) -> float:
 def pair_accuracy(df: DataFrame, score: str, acc: str, uid: str = "uid", order: str = "idx") -> DataFrame:
     """Mean over prompts of how often scores order pairs as ``acc`` does, weighted by the difference in ``acc``; 0.5 where none differ.
 
-    Pairs are those of one prompt: an equi-join on it, with the order as the rest of the condition.
+    No pair is formed. Rows of a prompt get a rank by ``acc``; two of them part at the highest bit in which their ranks differ.
+    Among rows that agree in the bits above, in the order of scores (then of ``order``), each with a 1 there counts the
+    earlier ones with a 0 and their sum: a row per bit of the ranks, n log n in all. A prompt with very many rows goes through
+    a composed scan, others through a window. Pairs with a null score count as not in order, rows with a null ``acc`` not at all.
     """
-    a = df.select(F.col(uid).alias("u"), F.col(order).alias("i"), F.col(score).alias("s"), F.col(acc).cast("double").alias("a"))
-    b = a.select(F.col("u").alias("v"), F.col("i").alias("j"), F.col("s").alias("t"), F.col("a").alias("b"))
-    pairs = a.join(b, (F.col("u") == F.col("v")) & (F.col("i") < F.col("j")))
-    gap = F.abs(F.col("a") - F.col("b"))
-    same = ((F.col("s") - F.col("t") > 0) == (F.col("a") - F.col("b") > 0)).cast("double")
-    rows = pairs.groupBy("u").agg(F.sum(same * gap).alias("x"), F.sum(gap).alias("y"))
-    everyone = df.select(F.col(uid).alias("u")).distinct().join(rows, "u", "left")
-    return everyone.agg(F.avg(F.coalesce(F.try_divide("x", "y"), F.lit(0.5))).alias("accuracy"))
+    rows = df.select(F.col(uid).alias("u"), F.col(order).alias("i"), F.col(score).alias("s"), F.col(acc).cast("double").alias("a")).where("a is not null and u is not null")
+    ranked = index_within(rows, ["u"], ["a", "i"], "r")
+    n = rows.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranked.join(n, F.col("u") == F.col("v")).drop("v")
+    bits = F.length(F.bin(F.greatest(F.col("n") - 1, F.lit(1))))
+    level = ranked.where("s is not null and n > 1").withColumn("b", F.explode(F.sequence(F.lit(0), bits - 1)))
+    level = level.select("u", "b", F.expr("shiftright(r, b + 1)").alias("g"), "s", "i", "a", "n", (F.expr("shiftright(r, b)") % 2 == 1).alias("up"))
+    low = {"c": F.when(~F.col("up"), 1.0).otherwise(0.0), "t": F.when(~F.col("up"), F.col("a")).otherwise(0.0)}
+    w = Window.partitionBy("u", "b", "g").orderBy("s", "i").rowsBetween(Window.unboundedPreceding, 0)
+    below = level.where(F.col("n") <= MOST).withColumns({c: F.sum(v).over(w) for c, v in low.items()})
+    hot = level.where(F.col("n") > MOST)
+    if not n.where(F.col("n") > MOST).isEmpty():
+        below = below.unionByName(scans.running_sums(hot, ["u", "b", "g"], ["s", "i"], low))
+    same = below.where("up").groupBy(F.col("u").alias("v")).agg(F.sum(F.col("a") * F.col("c") - F.col("t")).alias("x"))
+    gaps = ranked.groupBy("u").agg(F.sum((2 * F.col("r") + 1 - F.col("n")) * F.col("a")).alias("y"))
+    found = gaps.join(same, F.col("u") == F.col("v"), "left").select("u", F.coalesce("x", F.lit(0.0)).alias("x"), "y")
+    everyone = df.select(F.col(uid).alias("u")).distinct().join(found, "u", "left")
+    return everyone.agg(F.avg(F.when(F.col("y") > 0, F.col("x") / F.col("y")).otherwise(0.5)).alias("accuracy"))
 
 
 def absolute_accuracy(df: DataFrame, score: str, acc: str) -> DataFrame:

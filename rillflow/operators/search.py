@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import batched, chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from rillflow.scratch import materialise
@@ -30,20 +28,17 @@ def pool(hidden: str, mask: str, how: str = "mean") -> Column:
     return F.transform(total, lambda x: x / n)
 
 
-#: Bytes of query vectors that are broadcast for one pass over a corpus, and of scores that a task holds at once.
-QUERY_BYTES, SCORE_BYTES = 64 << 20, 32 << 20
+#: Rows of a block of vectors, bytes of the blocks that one task meets all queries with, and of scores that it holds at once.
+BLOCK, GROUP_BYTES, SCORE_BYTES = 1024, 256 << 20, 32 << 20
 
 
-def best_of(q: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
-    """(scores, ids) of the k best rows of all batches (id, vector) for each query; ties by the smaller id, fewer where there are fewer."""
+def best_of(q: np.ndarray, k: int, parts: Iterator[tuple[pa.Array, np.ndarray]]):
+    """(scores, ids) of the k best rows of all parts (ids, matrix) for each query; ties by the smaller id, fewer where there are fewer."""
     best_s, best_d = np.zeros((len(q), 0)), None
-    for batch in batches:
-        batch = batch.filter(batch.column(1).is_valid())
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+    for names, x in parts:
+        ids = names.to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)[order]
+        ids, x = ids[order], x[order]
         top = min(k, len(ids))
         s, d = np.empty((len(q), top)), np.empty((len(q), top), ids.dtype)
         rows = max(1, SCORE_BYTES // (8 * len(ids)))
@@ -61,39 +56,58 @@ def best_of(q: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
     return best_s, best_d
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
+def blocks(df: DataFrame, name: str, vector: str, rows: int, label: str) -> DataFrame:
+    """(no, ids, vectors), written: rows with a vector, packed ``rows`` to a block where they stand; vectors lie one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                flat = part.column(1).flatten().cast(pa.float64())
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names=["ids", "vectors"])
+
+    kind = df.schema[name].dataType.simpleString()
+    packed = df.select(name, vector).mapInArrow(run, f"ids array<{kind}>, vectors array<double>")
+    return materialise(packed.withColumn("no", F.monotonically_increasing_id()), label)
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank from 1) of the k best inner products; ties by the smaller doc id.
 
-    The query set passes the driver in blocks of ``block`` vectors (as many as ``QUERY_BYTES`` hold), each broadcast for
-    one pass over the corpus; a task multiplies matrices and keeps its own k best per query, so that k rows per query and
-    task are shuffled. Ids are of any type with an order; rows without a vector are no candidates.
+    Both sides are packed into blocks, which meet on the executors: blocks of the corpus are dealt to groups, each group's are
+    joined with all blocks of queries, and a task multiplies one matrix with another and keeps its k best per
+    query until the next block of queries comes, so that k rows per query and group are shuffled. Nothing passes the driver but
+    the numbers of blocks. Ids are of any type with an order; rows without a vector are no candidates and ask nothing.
     """
     ship()
-    spark, parts = corpus.sparkSession, []
-    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
-    block = block or max(1024, QUERY_BYTES // (8 * max(1, first[0] if first else 1)))
-    name_kind = queries.schema[query_id].dataType
-    kinds = f"query_id {name_kind.simpleString()}, doc_id {corpus.schema[doc_id].dataType.simpleString()}, score double"
-    name_type = to_arrow_type(name_kind)
-
-    def search(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            head = next(batches, None)
-            if head is None:
-                return
-            scores, ids = best_of(q, k, chain([head], batches))
-            if ids is not None:
-                asked = pa.array(names, name_type).take(pa.array(np.repeat(np.arange(len(names)), ids.shape[1])))
-                yield pa.RecordBatch.from_arrays([asked, pa.array(ids.ravel(), head.column(0).type), pa.array(scores.ravel())], names=["query_id", "doc_id", "score"])
-
-        return run
-
-    vectors = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
-    for part in batched(vectors.toLocalIterator(), block):
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
-        parts.append(corpus.select(doc_id, vector).mapInArrow(search(shared), kinds))
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kinds)
+    spark = corpus.sparkSession
+    asked, stored = blocks(queries, query_id, vector, block, "query-blocks"), blocks(corpus, doc_id, vector, block, "corpus-blocks")
+    n, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(8 * F.size("vectors").cast("long")), F.lit(0))).first()
+    groups = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))))
+    name_kind, doc_kind = asked.schema["ids"].dataType.elementType, stored.schema["ids"].dataType.elementType
+    kinds = f"query_id {name_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score double"
+
+    def matrix(cells: pa.Array, i: int, rows: int) -> np.ndarray:
+        return cells[i].values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (no, ids and vectors of the queries, ids and vectors of the corpus); those of one block of queries come in a row."""
+        pairs = ((batch, i) for batch in batches for i in range(batch.num_rows))
+        for _, own in groupby(pairs, key=lambda x: x[0].column(0)[x[1]].as_py()):
+            batch, i = next(own)
+            names = batch.column(1)[i].values
+            q = matrix(batch.column(2), i, len(names))
+            parts = ((b.column(3)[j].values, matrix(b.column(4), j, len(b.column(3)[j]))) for b, j in chain([(batch, i)], own))
+            scores, ids = best_of(q, k, parts)
+            who = names.take(pa.array(np.repeat(np.arange(len(names)), ids.shape[1])))
+            yield pa.RecordBatch.from_arrays([who, pa.array(ids.ravel(), batch.column(3).type.value_type), pa.array(scores.ravel())], names=["query_id", "doc_id", "score"])
+
+    left = asked.select("no", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    right = stored.select(F.pmod(F.hash("no"), F.lit(groups)).alias("g"), F.col("ids").alias("d_ids"), F.col("vectors").alias("d"))
+    met = left.hint("merge").join(right, "g").select("no", "q_ids", "q", "d_ids", "d")
+    found = met.mapInArrow(run, kinds)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("query_id").alias(query_id), F.col("doc_id").alias(doc_id), "score", "rank")
