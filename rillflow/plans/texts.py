@@ -240,4 +240,4 @@ def default_scores(spark, d):
                      7: line("Answer: ", F.when(F.col("doc_id") % 2 == 0, "B").otherwise("C")), 8: line("<answer>", said, "</answer>")}, line("Answer: ", said))
     truth = pick({5: line('{"inputs": ["0"], "outputs": ["', n, '"]}'), 7: F.lit("B"), 8: line('{"target": ["', n, '"]}')}, n)
     t = docs(spark, d).select("doc_id", F.get(F.array(*map(F.lit, SOURCES)), k.cast("int")).alias("data_source"), response.alias("response"), truth.alias("ground_truth"))
-    return S.default_score(t).select("doc_id", "data_source", r("score").alias("score"))
+    return S.default_score(t, run_programs=True).select("doc_id", "data_source", r("score").alias("score"))

@@ -96,7 +96,7 @@ SCORED = [
 
 def test_every_source_scores(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(SCORED)], "i int, data_source string, response string, ground_truth string, want double")
-    got = {r["i"]: (r["score"], r["want"]) for r in S.default_score(df).collect()}
+    got = {r["i"]: (r["score"], r["want"]) for r in S.default_score(df, run_programs=True).collect()}
     assert all(abs(a - b) < 1e-9 for a, b in got.values()), [(SCORED[i][0], v) for i, v in got.items() if v[0] != v[1]]
     named = {s for s in S.sources() if not s.endswith("*")}
     assert {s for s, *_ in SCORED} | {"numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc"} >= named
@@ -104,6 +104,13 @@ def test_every_source_scores(spark):
     assert S.default_score(golds).first()["score"] == 1.0
 
 
+def test_programs_are_run_on_demand_only(spark):
+    df = spark.createDataFrame([("apps", "print(1)", "{}", [True, False, False, True]), ("taco", "x", "{}", []), ("math_dapo", "Answer: 3", "3", None)], "data_source string, response string, ground_truth string, case_results array<boolean>")
+    assert [r["score"] for r in S.default_score(df).collect()] == [0.5, 0.0, 1.0]
+    with pytest.raises(Exception, match="run_programs"):
+        S.default_score(df.drop("case_results")).collect()
+
+
 def test_limits_of_programs():
     from rillflow.functions import cases
 
