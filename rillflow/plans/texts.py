@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import answers
 from rillflow.functions import scoring as S
-from rillflow.operators import filters, plugins, prep
+from rillflow.operators import calls, filters, plugins, prep
 from rillflow.plans.frames import TOK, conversations, sequences, table, tokens
 from rillflow.plans.learning import r
 from rillflow.plans.registry import query
+from rillflow.streaming import fields as E
 
 
 def docs(spark, d):
@@ -241,3 +242,25 @@ def default_scores(spark, d):
     truth = pick({5: line('{"inputs": ["0"], "outputs": ["', n, '"]}'), 7: F.lit("B"), 8: line('{"target": ["', n, '"]}')}, n)
     t = docs(spark, d).select("doc_id", F.get(F.array(*map(F.lit, SOURCES)), k.cast("int")).alias("data_source"), response.alias("response"), truth.alias("ground_truth"))
     return S.default_score(t, run_programs=True).select("doc_id", "data_source", r("score").alias("score"))
+
+
+@query("tool_call_rows", """WITH c AS (SELECT doc_id, unnest(range(0, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END)) AS place FROM documents)
+ SELECT doc_id // 4 AS conv_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id, place) AS INTEGER) AS call, 'search' AS name, '{"q":' || doc_id % 2 || '}' AS arguments,
+ row_number() OVER (PARTITION BY doc_id // 4, doc_id % 2 ORDER BY doc_id, place) > 1 AS repeated FROM c""")
+def tool_call_rows(spark, d):
+    """Four documents are a conversation, whose calls ask one of two things."""
+    one = F.concat(F.lit('<tool_call>{"name":"search","arguments":{"q":'), (F.col("doc_id") % 2).cast("string"), F.lit("}}</tool_call>"))
+    said = F.concat(F.lit("before "), one, F.when(F.col("doc_id") % 3 == 0, one).otherwise(F.lit("<tool_call>{not json</tool_call>")))
+    t = docs(spark, d).select(F.expr("doc_id div 4").alias("conv_id"), "doc_id", said.alias("text"))
+    return calls.conversation_calls(t, turn="doc_id")
+
+
+@query("task_readiness", """SELECT event_id::VARCHAR AS sample_id, task, CASE task WHEN 'actor' THEN '{"k":"' || json_extract_string(props, '$.k') || '","kind":' || CASE WHEN event_id % 7 = 0 THEN 'null' ELSE '"' || event_type || '"' END || '}'
+ ELSE '{"k":"' || json_extract_string(props, '$.k') || '"}' END AS fields FROM events, (VALUES ('actor'), ('critic')) t(task)
+ WHERE event_id % 3 <> 0 AND (task = 'critic' OR event_id % 2 = 0 OR event_id % 7 = 0) AND NOT (task = 'critic' AND event_id % 5 = 0)""")
+def task_readiness(spark, d):
+    """Two fields of events arrive on their own, some only as an end mark; one task has taken some samples."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", F.get_json_object("props", "$.k").alias("k"))
+    kind = E.arrivals(e.where("id % 2 = 0 or id % 7 = 0"), "id", "kind", F.when(F.col("id") % 7 != 0, F.col("event_type")))
+    took = E.taken(e.where("id % 5 = 0").withColumn("task", F.lit("critic")), "id", "task")
+    return E.readiness(E.united(kind, E.arrivals(e.where("id % 3 <> 0"), "id", "k", F.col("k")), took), {"actor": ["kind", "k"], "critic": ["k"]})
