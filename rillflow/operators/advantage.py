@@ -46,6 +46,19 @@ def compute(df: DataFrame, estimator: str, **options) -> DataFrame:
     return get(estimator)(df, **options)
 
 
+def compute_by(df: DataFrame, estimator: str, **options) -> DataFrame:
+    """Each row by the estimator that the column ``estimator`` names: (all columns, advantages, returns).
+
+    Estimators are as many as are registered, so that the plan is a union of that many at most; a name that is not registered raises.
+    """
+    asked = sorted(r[0] or "null" for r in df.select(estimator).distinct().collect())
+    parts = [get(n)(df.where(F.coalesce(F.col(estimator), F.lit("null")) == n), **options.get(n, {})).select(*df.columns, "advantages", "returns") for n in asked]
+    out = parts[0] if parts else df.withColumns({"advantages": F.array().cast("array<double>"), "returns": F.array().cast("array<double>")})
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def scored(df: DataFrame) -> DataFrame:
     """With ``score``, the sum of the rewards."""
     return df.withColumn("score", M.array_sum("rewards"))

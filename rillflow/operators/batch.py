@@ -125,6 +125,29 @@ def append_lists(df: DataFrame, key: str, columns: list[str], order_by: str) ->
     return rows.select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
 
 
+def to_columns(df: DataFrame, rows: str) -> DataFrame:
+    """A column of rows (an array of structs) as a column per field, each an array in the order of the rows; other columns stay."""
+    fields = df.schema[rows].dataType.elementType.names
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != rows], *[F.col(f"`{rows}`.`{f}`").alias(f) for f in fields])
+
+
+def collate(df: DataFrame, batch: str, padded: dict[str, object], left: bool = False, mask: str | None = None) -> DataFrame:
+    """Array columns filled up, each with its value, to the longest of their batch; ``mask`` names a column of 1 for entries that were there.
+
+    Lengths are one aggregate per batch, joined back, so that rows of a batch stay rows. A null array is an empty one;
+    the mask is of the first column named.
+    """
+    own = df.withColumns({c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in padded})
+    most = own.groupBy(F.col(batch).alias("__b")).agg(*[F.max(F.size(c)).alias(f"__n{i}") for i, c in enumerate(padded)])
+    t = own.join(most, F.col(batch).eqNullSafe(F.col("__b")))
+    fill = lambda c, i, v: F.array_repeat(F.lit(v).cast(df.schema[c].dataType.elementType), F.col(f"__n{i}") - F.size(c))
+    both = lambda a, b: F.concat(b, a) if left else F.concat(a, b)
+    first = next(iter(padded))
+    more = {mask: both(F.transform(first, lambda x: F.lit(1)), F.array_repeat(F.lit(0), F.col("__n0") - F.size(first)))} if mask else {}
+    t = t.withColumns(more | {c: both(F.col(c), fill(c, i, v)) for i, (c, v) in enumerate(padded.items())})
+    return t.drop("__b", *[f"__n{i}" for i in range(len(padded))])
+
+
 def from_rows(spark, rows: list[dict], schema: T.StructType | str | None = None) -> DataFrame:
     """Rows as dictionaries to columns; rows with other keys than the first raise."""
     if rows and any(set(r) != set(rows[0]) for r in rows):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rillflow.functions import masked as M
@@ -427,6 +428,24 @@ def sanitise(name: Column) -> Column:
     return F.regexp_replace(s, "[^/\\w.\\- :]", "_")
 
 
+def flatten_fields(df: DataFrame, keys: list[str], sep: str = "/") -> DataFrame:
+    """(keys, name, value) of every other field, however deep: names of structs joined by ``sep``, values as text; arrays and maps are values."""
+    found = []
+
+    def walk(column: Column, kind: T.DataType, name: str) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(column[f.name], f.dataType, f"{name}{sep}{f.name}" if name else f.name)
+        else:
+            nested = isinstance(kind, (T.ArrayType, T.MapType))
+            found.append(F.struct(F.lit(name).alias("name"), (F.to_json(column) if nested else column.cast("string")).alias("value")))
+
+    for f in df.schema.fields:
+        if f.name not in keys:
+            walk(F.col(f"`{f.name}`"), f.dataType, f.name)
+    return df.select(*keys, F.explode(F.array(*found)).alias("x")).select(*keys, "x.name", "x.value")
+
+
 def flatten_config(config: dict, sep: str = "/") -> dict[str, object]:
     """Nested dictionaries and lists to ``a/b/0`` names."""
     out: dict[str, object] = {}

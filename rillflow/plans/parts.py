@@ -14,7 +14,7 @@ from rillflow.operators import advantage, balance, losses, metrics, offpolicy, p
 from rillflow.operators import batch as B
 from rillflow.plans.frames import SEQ, TOK, sequences, table, tokens
 from rillflow.plans.learning import r
-from rillflow.plans.registry import query
+from rillflow.plans.registry import ORACLES, query
 from rillflow.plans.tables import ORD, orders
 from rillflow.scratch import scratch_dir
 from rillflow.sources import io
@@ -106,16 +106,29 @@ def listed_columns(spark, d):
     return g.select("c", F.get("k", F.lit(0)).alias("first"), F.element_at("p", -1).alias("last"), F.size("k").alias("n"))
 
 
-@query("rows_to_columns", "SELECT i AS id, 'v' || i AS name FROM range(5) t(i)")
+@query("rows_to_columns", "SELECT user_id AS u, list(event_id ORDER BY event_id)[1] AS first, list(event_type ORDER BY event_id)[-1] AS last, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY user_id")
 def rows_to_columns(spark, d):
-    return B.from_rows(spark, [{"id": i, "name": f"v{i}"} for i in range(5)], "id long, name string")
+    """A user's events as rows of one column, then as columns."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("u")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("rows"))
+    c = B.to_columns(e, "rows")
+    return c.select("u", F.get("event_id", F.lit(0)).alias("first"), F.element_at("event_type", -1).alias("last"), F.size("value").alias("n"))
+
+
+@query("padded_batches", """WITH c AS (SELECT conv_id, conv_id // 8 AS batch, list(length(text) ORDER BY turn) AS x FROM conversations GROUP BY conv_id), m AS (SELECT batch, max(len(x)) AS n FROM c GROUP BY batch)
+ SELECT conv_id, CAST(n AS INTEGER) AS n, CAST(len(x) AS INTEGER) AS real, CAST(list_sum(x) - (n - len(x)) AS BIGINT) AS total FROM c JOIN m USING (batch)""")
+def padded_batches(spark, d):
+    """Lengths of turns, eight conversations a batch, filled up with -1."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("l")))).alias("x"))
+    c = B.collate(c.select("conv_id", F.expr("conv_id div 8").alias("batch"), F.col("x.l").alias("x")), "batch", {"x": -1}, mask="m")
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, v: t + v)
+    return c.select("conv_id", F.size("x").alias("n"), add("m").cast("int").alias("real"), add("x").alias("total"))
 
 
 @query("generation_batch", "SELECT o_orderkey AS k, o_custkey AS uid, o_totalprice AS p FROM orders")
 def generation_batch(spark, d):
     o = orders(spark, d).withColumnRenamed("c", "uid")
     given, kept = B.generation_inputs(o, ["k", "s"])
-    B.assert_equal(given.select("uid").limit(3).orderBy("uid"), given.select("uid").limit(3).orderBy("uid"))
+    B.assert_equal(given.select("uid").where("uid < 5"), orders(spark, d).where("c < 5").select(F.col("c").alias("uid")))
     return B.union_columns(given.select("k", "uid"), o.select("k", *[c for c in kept.columns if c != "uid"]), "k").select("k", "uid", "p")
 
 
@@ -172,10 +185,13 @@ def sample_log(spark, d):
     return metrics.log_samples(orders(spark, d), "k", 16).select("k")
 
 
-@query("config_names", "SELECT * FROM (VALUES ('a/b/0', '1'), ('a/b/1', '2'), ('a/c', 'x'), ('d', '{}')) t(name, value)")
+@query("config_names", """SELECT n_nationkey AS k, unnest(['of/name', 'of/region/name', 'of/region/no']) AS name, unnest([n_name, r_name, r_regionkey::VARCHAR]) AS value FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def config_names(spark, d):
-    flat = metrics.flatten_config({"a": {"b": [1, 2], "c": "x"}, "d": {}})
-    return B.from_rows(spark, [{"name": k, "value": str(v)} for k, v in flat.items()], "name string, value string")
+    """Nested settings of every nation as flat names."""
+    n, g = table(spark, d, "nation"), table(spark, d, "region")
+    region = F.struct(F.col("r_name").alias("name"), F.col("r_regionkey").alias("no"))
+    t = n.join(g, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("name"), region.alias("region")).alias("of"))
+    return metrics.flatten_fields(t, ["k"])
 
 
 @query("correction_preset", f"""WITH {TOK}, s AS (SELECT seq_id, sum(mask * (old_lp - rollout_lp)) AS d FROM tok GROUP BY seq_id)
@@ -306,10 +322,54 @@ def scheduled_samples(spark, d):
 # ---------------------------------------------------------------- N, C20: registries and dispatch
 
 
-@query("registered_names", "SELECT * FROM (VALUES ('advantage', 13), ('loss', 10), ('reward manager', 6), ('dispatch mode', 9)) t(kind, n)")
+@query("registered_names", f"""SELECT g.seq_id, g.adv FROM ({ORACLES["adv_grpo"]}) g JOIN orders ON o_orderkey = g.seq_id WHERE o_custkey % 2 = 0
+ UNION ALL SELECT l.seq_id, l.adv FROM ({ORACLES["adv_rloo"]}) l JOIN orders ON o_orderkey = l.seq_id WHERE o_custkey % 2 = 1""")
 def registered_names(spark, d):
-    counts = {"advantage": len(advantage.names()), "loss": len(losses.names()), "reward manager": len(plugins.reward_managers.items), "dispatch mode": len(plugins.dispatchers.items)}
-    return B.from_rows(spark, [{"kind": k, "n": n} for k, n in counts.items()], "kind string, n int")
+    """Every prompt by the estimator that it names, looked up in the registry."""
+    s = sequences(spark, d).withColumn("estimator", F.when(F.col("uid") % 2 == 0, "grpo").otherwise("rloo"))
+    return advantage.compute_by(s, "estimator").select("seq_id", r(M.array_sum("advantages"), 5).alias("adv"))
+
+
+@query("merged_tests", """SELECT doc_id, '{"inputs":["' || doc_id || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"' || n_chars || '"' ELSE '' END || '],"outputs":["a"' || CASE WHEN doc_id % 2 = 0 THEN ',"b"' ELSE '' END || ']}' AS cases FROM documents""")
+def merged_tests(spark, d):
+    """A public case of every document and a private one of every second."""
+    case = lambda c, out: F.concat(F.lit('[{"input":"'), c.cast("string"), F.lit(f'","output":"{out}"}}]'))
+    t = table(spark, d, "documents").select("doc_id", case(F.col("doc_id"), "a").alias("public"), F.when(F.col("doc_id") % 2 == 0, case(F.col("n_chars"), "b")).alias("private"))
+    return t.select("doc_id", prep.merged_tests("public", "private").alias("cases"))
+
+
+class Refused(Exception):
+    status = 404
+
+
+def served(text: str, truth: str) -> float:
+    """A service that refuses what has no source; such an error is final."""
+    if truth == "refused":
+        raise Refused
+    return float(len(text))
+
+
+@query("reward_manager_rate_limited", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE * length(event_type) END AS score FROM events")
+def reward_manager_rate_limited(spark, d):
+    """Events scored by a service of a million calls a minute; a third of them is refused for good and counts 0."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("response"), F.when(F.col("event_id") % 3 == 0, "refused").otherwise("ok").alias("ground_truth"))
+    t = e.withColumns({"response_length": F.lit(2), "max_length": F.lit(3)})
+    out = plugins.reward_managers.get("rate_limited")(t, served, per_minute=1e9, seconds=30.0)
+    return out.select("id", F.get("rewards", F.lit(1)).alias("score"))
+
+
+@query("dataset_prompts", "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 3000 ORDER BY md5('11:' || doc_id), doc_id LIMIT 150")
+def dataset_prompts(spark, d):
+    made = plugins.datasets.get("prompts")(spark, [f"{d}/documents.parquet"], max_tokens=3000, token_count=lambda df: F.col("n_chars"), max_samples=150, key="doc_id", seed=11)
+    return made.select("doc_id", "n_chars")
+
+
+@query("dataset_generated", "SELECT doc_id, lang FROM documents UNION ALL SELECT -doc_id, lang FROM documents WHERE lang = 'de'")
+def dataset_generated(spark, d):
+    """The prompts and one more for each, of which those in one language stay."""
+    more = lambda df: df.withColumn("doc_id", -F.col("doc_id"))
+    made = plugins.datasets.get("generated")(spark, [f"{d}/documents.parquet"], generate=more, keep=F.col("lang") == "de")
+    return made.select("doc_id", "lang")
 
 
 @query("custom_function", "SELECT doc_id, 2.0::DOUBLE * length(lang) AS score FROM documents")
