@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillflow.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
-from rillflow.llm.queries import VOCABULARY
+from rillflow.llm import alignment, chat, decontaminate, html_extract, line_dedup, manifest, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
+from rillflow.llm.queries import BYTE_LEVEL, PIECES, VOCABULARY
 
 #: What operators call their own columns, in the open and inside.
 NAMES = (
@@ -53,6 +53,9 @@ def operators(labels, bench):
         "contamination": (lambda d: decontaminate.contamination(d, bench), False),
         "contamination_shuffled": (lambda d: decontaminate.contamination(d, bench, max_broadcast_bytes=0), False),
         "drop_contaminated": (lambda d: decontaminate.drop_contaminated(d, bench), True),
+        "format_conversations": (lambda d: chat.format_conversations(d, conv_col="source", turn_col="doc_id", role_col="source"), False),
+        "alignment": (lambda d: alignment.alignment(d, BYTE_LEVEL, PIECES), False),
+        "manifest": (lambda d: manifest.verify(manifest.manifest(d, ["doc_id", "text"], part_col="source")), False),
         "remove_spans": (lambda d: decontaminate.remove_spans(d, bench), True),
     }
 
