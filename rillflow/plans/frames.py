@@ -13,9 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task sorts or joins at a time.
+TASK_ROWS = 250_000
+
+
+def task_count(df: DataFrame) -> int:
+    """How many tasks a table is dealt to: by its rows, and no fewer than there are cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form: line items are tokens, orders sequences, customers prompts. The divisors keep sums off the ties of rounding."""
+    """Long form: line items are tokens, orders sequences, customers prompts. The divisors keep sums off the ties of rounding.
+
+    Dealt by sequence over as many tasks as there are rows for, so that a task's memory does not grow with the table; what
+    goes by sequence afterwards shuffles nothing again.
+    """
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("uid"))
+    n = task_count(line)
+    line, orders = line.repartition(n, "l_orderkey"), orders.repartition(n, "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     t = line.join(orders, "l_orderkey").withColumn("pos", F.row_number().over(w) - 1)
     return t.select(
