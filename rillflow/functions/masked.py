@@ -175,7 +175,10 @@ def random_mask(key: Column, length: int, valid: tuple[float, float] = (0.1, 0.8
     u = lambda i: seeded.unit(seed, key, F.lit(i))
     start = F.floor(u(1) * left * length)
     n = F.floor((u(2) * (valid[1] - valid[0]) + valid[0]) * length)
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ((i >= start) & (i < start + n)).cast("int"))
+    # A lambda would draw both numbers at every place.
+    before, ones = F.least(start, F.lit(length)), F.least(n, length - F.least(start, F.lit(length)))
+    parts = [F.array_repeat(F.lit(value), F.greatest(k, F.lit(0)).cast("int")) for value, k in ((0, before), (1, ones), (0, length - before - ones))]
+    return F.concat(*parts)
 
 
 # ---------------------------------------------------------------- long form: one row is one token
