@@ -1,7 +1,11 @@
 """What grows with the tables is dealt by their rows: tasks, processes and Python steps stay in proportion."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from rillflow.functions import answers, cases
 from rillflow.functions import masked as M
 from rillflow.plans import frames
 
@@ -25,3 +29,28 @@ def test_random_masks_draw_once(spark):
         assert list(x["m"]) == [int(start <= i < start + n) for i in range(10)]
         seen.add(start + n > 10)
     assert seen == {True, False}
+
+
+def test_bleu_of_a_batch_is_that_of_its_pairs(monkeypatch):
+    r = random.Random(1)
+    text = lambda: None if r.random() < 0.05 else " ".join(r.choice("abcd") for _ in range(r.randrange(9)))
+    c, d = [text() for _ in range(800)], [text() for _ in range(800)]
+    want = [answers.bleu(a or "", b or "") for a, b in zip(c, d)]
+    assert 0 in want and max(want) > 0.5
+    for chars in (1 << 18, 40, 1):
+        monkeypatch.setattr(answers, "BLEU_CHARS", chars)
+        assert answers._bleu(pd.Series(c, dtype=object), pd.Series(d, dtype=object)).tolist() == want
+    assert not len(answers._bleu(pd.Series([], dtype=object), pd.Series([], dtype=object)))
+
+
+def test_a_case_costs_no_start_of_an_interpreter():
+    run = cases.output_of
+    assert run("print(int(input()) + 5)", "3") == "8\n"
+    before = cases._Launcher.get().process.pid
+    assert [run(f"print({i})", "") for i in range(20)] == [f"{i}\n" for i in range(20)] and cases._Launcher.get().process.pid == before
+    assert run("import sys\nprint(1)\nsys.exit(3)", "") is None and run("import sys\nprint(1)\nsys.exit(0)", "") == "1\n"
+    assert run("import sys\nfor x in sys.stdin: print(x.strip(), end='|')", "a\nb\né") == "a|b|é|" and len(run("print('x' * 3000000)", "")) == 3000001
+    assert run("class A:\n    def __del__(self): print('gone')\na = A()\nimport atexit\natexit.register(print, 'end')\nprint(__name__)", "") == "__main__\nend\ngone\n"
+    assert run("import threading, time\nthreading.Thread(target=lambda: (time.sleep(0.2), print('t'))).start()\nprint('m')", "") == "m\nt\n"
+    assert run("print(1, flush=True)\nimport time\ntime.sleep(60)", "", seconds=1) is None
+    assert run("import os\nos.kill(os.getppid(), 9)", "") is None and run("print(5)", "") == "5\n"  # another launcher
