@@ -126,56 +126,105 @@ def best_worst(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+#: Greatest group that is resampled together with others of its size, and cells of such a block.
+TOGETHER, BLOCK_CELLS = 64, 1 << 20
+
+
 def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
     """The same by resampling, seeded alike for each key: (keys, n, name, mean, std) for best, worst and, with ``vote``, maj.
 
-    One group is the samples of one prompt and variable: a handful.
+    One group is the samples of one prompt and variable: a handful. Groups of one size draw alike, so that those of a batch
+    are resampled together.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
     known: dict[tuple[int, int], np.ndarray] = {}
 
     def drawn(total: int, n: int):
-        """Blocks of draws by row. Groups of one size draw alike, so those of small ones are kept."""
+        """Blocks of draws by row; those of small groups are kept."""
         if (total, n) in known:
             yield known[total, n]
             return
         rng, block = np.random.RandomState(seed), max(1, (1 << 20) // total)
-        if draws <= block and total <= 64:
+        if draws <= block and total <= TOGETHER:
             known[total, n] = rng.choice(total, size=(draws, n), replace=True)
             yield known[total, n]
             return
         for a in range(0, draws, block):
             yield rng.choice(total, size=(min(block, draws - a), n), replace=True)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy(float)
-        out, total = [], len(x)
-        codes, kinds = pd.factorize(pdf[vote], use_na_sentinel=False) if vote else (None, ())
-        grid = [2**k for k in range(1, 20) if 2**k < total] + [total] if total > 1 else []
-        for n in grid:
-            found = {"best": [], "worst": [], **({"maj": []} if vote else {})}
-            for at in drawn(total, n):
-                found["best"].append(x[at].max(axis=1))
-                found["worst"].append(x[at].min(axis=1))
-                if vote:  # the first draw of the vote with most draws, of equals the one drawn first
-                    row = np.arange(len(at))
-                    cell = codes[at] + row[:, None] * len(kinds)
-                    counts = np.bincount(cell.ravel(), minlength=len(at) * len(kinds))
-                    found["maj"].append(x[at[row, counts[cell].argmax(axis=1)]])
-            found = {name: np.concatenate(v) for name, v in found.items()}
-            out += [(n, name, float(v.mean()), float(v.std())) for name, v in found.items()]
-        frame = pd.DataFrame(out, columns=["n", "name", "mean", "std"])
-        for k in keys:
-            frame[k] = pdf[k].iloc[0]
-        return frame[[*keys, "n", "name", "mean", "std"]]
+    def one(x: np.ndarray, codes: np.ndarray | None, n: int) -> dict[str, np.ndarray]:
+        found = {"best": [], "worst": [], **({"maj": []} if vote else {})}
+        total, kinds = len(x), int(codes.max()) + 1 if vote else 0
+        for at in drawn(total, n):
+            found["best"].append(x[at].max(axis=1))
+            found["worst"].append(x[at].min(axis=1))
+            if vote:  # the first draw of the vote with most draws, of equals the one drawn first
+                row = np.arange(len(at))
+                cell = codes[at] + row[:, None] * kinds
+                counts = np.bincount(cell.ravel(), minlength=len(at) * kinds)
+                found["maj"].append(x[at[row, counts[cell].argmax(axis=1)]])
+        return {name: np.concatenate(v)[None] for name, v in found.items()}
+
+    def many(x: np.ndarray, codes: np.ndarray | None, n: int) -> dict[str, np.ndarray]:
+        """Of groups of one size, a row each, with their draws side by side."""
+        (at,) = drawn(x.shape[1], n)
+        best, worst = x[:, at[:, 0]], x[:, at[:, 0]]
+        for j in range(1, n):
+            y = x[:, at[:, j]]
+            np.maximum(best, y, out=best)
+            np.minimum(worst, y, out=worst)
+        found = {"best": best, "worst": worst}
+        if vote:
+            c = [codes[:, at[:, j]] for j in range(n)]
+            top, place = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int8)
+            for j in range(n):
+                times = np.zeros(best.shape, np.int8)
+                for k in range(n):
+                    times += c[k] == c[j]
+                np.copyto(place, np.int8(j), where=times > top)
+                np.maximum(top, times, out=top)
+            found["maj"] = np.take_along_axis(x, at[np.arange(draws), place], 1)
+        return found
+
+    def resampled(x: np.ndarray, codes: np.ndarray | None) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+        total = x.shape[1]
+        for n in [2**k for k in range(1, 20) if 2**k < total] + [total] if total > 1 else []:
+            found = many(x, codes, n) if total <= TOGETHER and draws * total <= 1 << 20 else one(x[0], codes[0] if vote else None, n)
+            for name, v in found.items():
+                yield n, name, v.mean(axis=1), v.std(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            start = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            inner = lists.flatten().flatten()
+            values = inner[1].to_numpy(zero_copy_only=False)
+            votes = pd.factorize(inner[2].to_pandas(), use_na_sentinel=False)[0] if vote else None
+            for total in np.unique(size):
+                own = np.flatnonzero(size == total)
+                step = max(1, BLOCK_CELLS // max(draws, int(total))) if total <= TOGETHER else 1
+                for a in range(0, len(own), step):
+                    part = own[a : a + step]
+                    cells = start[part][:, None] + np.arange(total)
+                    codes = None
+                    if vote:  # numbered anew within a group, so that they are small
+                        rank = pd.factorize((np.arange(len(part))[:, None] * (int(votes.max()) + 1) + votes[cells]).ravel())[0].reshape(cells.shape)
+                        codes = (rank - rank.min(axis=1, keepdims=True)).astype(np.int8 if total <= TOGETHER else np.int64)
+                    names = [batch.column(i).take(pa.array(part)) for i in range(len(keys))]
+                    for n, name, mean, std in resampled(values[cells], codes):
+                        cols = [pa.array(np.full(len(part), n, np.int32)), pa.array([name] * len(part)), pa.array(mean), pa.array(std)]
+                        yield pa.RecordBatch.from_arrays([*names, *cols], names=[*keys, "n", "name", "mean", "std"])
 
     ship()
-    columns = [*dict.fromkeys([*keys, value, order, *([vote] if vote else [])])]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*columns).groupBy(*keys).applyInPandas(run, f"{kinds}, n int, name string, mean double, std double")
+    # The order first, its nulls at the end; then what has been one sort of it.
+    row = F.struct(F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("at")).alias("o"), F.col(value).cast("double").alias("x"), *([F.col(vote).alias("v")] if vote else []))
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return g.mapInArrow(run, f"{kinds}, n int, name string, mean double, std double")
 
 
 def validation_metrics(df: DataFrame, variables: list[str], source: str = "data_source", uid: str = "uid") -> DataFrame:

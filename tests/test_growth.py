@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rillflow.functions import answers, cases
 from rillflow.functions import masked as M
+from rillflow.operators import metrics
 from rillflow.plans import frames
 
 
@@ -54,3 +57,35 @@ def test_a_case_costs_no_start_of_an_interpreter():
     assert run("import threading, time\nthreading.Thread(target=lambda: (time.sleep(0.2), print('t'))).start()\nprint('m')", "") == "m\nt\n"
     assert run("print(1, flush=True)\nimport time\ntime.sleep(60)", "", seconds=1) is None
     assert run("import os\nos.kill(os.getppid(), 9)", "") is None and run("print(5)", "") == "5\n"  # another launcher
+
+
+def resampled(x, votes, n, draws):
+    """Best, worst and majority of each draw, one by one."""
+    at = np.random.RandomState(42).choice(len(x), size=(draws, n), replace=True)
+    best, worst, maj = [], [], []
+    for row in at:
+        own = [votes[i] for i in row]
+        best.append(max(x[i] for i in row))
+        worst.append(min(x[i] for i in row))
+        maj.append(x[max(row, key=lambda i: own.count(votes[i]))])
+    return {"best": best, "worst": worst, "maj": maj}
+
+
+@pytest.mark.parametrize("together", [64, 0])
+def test_groups_of_a_size_are_resampled_together(spark, monkeypatch, together):
+    monkeypatch.setattr(metrics, "TOGETHER", together)
+    r = random.Random(2)
+    groups = {(s, u): [(i, r.random(), r.choice([None, 1, 2])) for i in range(n)] for s in ("a", None) for u, n in enumerate([1, 2, 5, 5, 5, 9, 70])}
+    rows = [(s, u, i, x, v) for (s, u), own in groups.items() for i, x, v in own]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, u int, i int, x double, v int").repartition(3)
+    out = metrics.bootstrap(df, ["s", "u"], "x", "i", vote="v", draws=40)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x["s"], x["u"], x["n"], x["name"]): (x["mean"], x["std"]) for x in out.collect()}
+    want = {}
+    for (s, u), own in groups.items():
+        k = len(own)
+        for n in [m for m in (2, 4, 8, 16, 32, 64) if m < k] + ([k] if k > 1 else []):
+            for name, v in resampled([x for _, x, _ in own], [v for _, _, v in own], n, 40).items():
+                want[s, u, n, name] = (pytest.approx(np.mean(v)), pytest.approx(np.std(v)))
+    assert got == want
