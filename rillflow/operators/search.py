@@ -124,26 +124,38 @@ def beside(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if sum(x or 0 for x in size) <= max_bytes else df.hint("merge")
 
 
+#: Bytes of texts whose words a task counts, and pairs of a query and a document that it adds up.
+COUNT_BYTES, TASK_PAIRS = 8 << 20, 1 << 20
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", k1: float = 0.9, b: float = 0.4, max_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best by BM25.
 
+    Documents are dealt by their id over as many tasks as their bytes and, for the scores, their pairs with queries ask for, so
+    that what a task holds does not grow with the corpus, and words and scores of a document are added up where it lies.
     Texts are split once: only words of the queries are counted, and a row without a word stands for each document and
-    carries its length. Frequencies are summed before the shuffle and written, as both document frequencies and scores
-    come from them. What grows with the queries (their words, and which query has which) is broadcast up to ``max_bytes``
-    as measured, else joined by sort-merge. The k best of a query are cut per task before they meet.
+    carries its length. Frequencies are written, as both document frequencies and scores come from them. What grows with the
+    queries (their words, and which query has which) is broadcast up to ``max_bytes`` as measured, else joined by sort-merge.
+    The k best of a query are cut per task before they meet.
     """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    size = corpus.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     q = materialise(queries.select(query_id, F.explode(F.array_distinct(terms(F.col(text)))).alias("term")), "query-words")
     words = materialise(q.select("term").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))), "words")
-    docs = corpus.select(doc_id, terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
+    dealt = corpus.select(doc_id, text).repartition(max(cores, -(-size // COUNT_BYTES)), doc_id)
+    docs = dealt.select(doc_id, terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
     every = docs.select(doc_id, "len", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(beside(words, max_bytes), "term")
     tf = materialise(every.groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf")), "frequencies")
     totals = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
     found = tf.where("term <> ''")
     df_ = materialise(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+    asked = q.groupBy("term").agg(F.count(F.lit(1)).alias("qf"))
+    pairs = min(df_.join(asked, "term").agg(F.sum(F.col("df") * F.col("qf"))).first()[0] or 0, (totals.first()["n"] or 0) * q.select(query_id).distinct().count())
     t = found.join(beside(df_, max_bytes), "term").crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = t.withColumn("w", weight).join(beside(q, max_bytes), "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("score"))
+    t = t.select(doc_id, "term", weight.alias("w")).repartition(max(cores, -(-pairs // TASK_PAIRS)), doc_id)
+    scored = t.join(beside(q, max_bytes), "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), doc_id)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

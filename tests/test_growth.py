@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import answers, cases
 from rillflow.functions import masked as M
-from rillflow.operators import metrics
+from rillflow.operators import metrics, search
 from rillflow.plans import frames
 
 
@@ -89,3 +89,18 @@ def test_groups_of_a_size_are_resampled_together(spark, monkeypatch, together):
             for name, v in resampled([x for _, x, _ in own], [v for _, _, v in own], n, 40).items():
                 want[s, u, n, name] = (pytest.approx(np.mean(v)), pytest.approx(np.std(v)))
     assert got == want
+
+
+def test_documents_are_dealt_by_bytes_and_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    docs = spark.createDataFrame([(i % 190, text(r.randrange(30))) for i in range(200)] + [(500, None)], "doc_id long, text string")
+    qs = spark.createDataFrame([(i, text(3)) for i in range(12)], "query_id long, text string")
+    got = lambda out: sorted((x["query_id"], x["doc_id"], x["rank"], round(x["score"], 9)) for x in out.collect())
+    want, dealt = got(search.bm25(docs, qs, 3)), []
+    monkeypatch.setattr(search, "COUNT_BYTES", 400)
+    monkeypatch.setattr(search, "TASK_PAIRS", 50)
+    plain = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *by: (dealt.append(n), plain(self, n, *by))[1])
+    assert got(search.bm25(docs, qs, 3)) == want and len(want) == 36
+    assert len(dealt) == 2 and min(dealt) > 10
