@@ -26,15 +26,18 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: line items are tokens, orders sequences, customers prompts. The divisors keep sums off the ties of rounding.
 
     Dealt by sequence over as many tasks as there are rows for, so that a task's memory does not grow with the table; what
-    goes by sequence afterwards shuffles nothing again.
+    goes by sequence afterwards shuffles nothing again. A task's orders, as many as that deal allows, are looked up in a
+    hash table, as each sort would hold a page of 64 MB. Keys are renamed behind the deal: Spark would deal bare exchanges
+    anew over spark.sql.shuffle.partitions where those are more.
     """
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("uid"))
-    n = task_count(line)
-    line, orders = line.repartition(n, "l_orderkey"), orders.repartition(n, "l_orderkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    t = line.join(orders, "l_orderkey").withColumn("pos", F.row_number().over(w) - 1)
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = max(task_count(line), task_count(orders))
+    line = line.repartition(n, "l_orderkey").withColumnRenamed("l_orderkey", "seq_id")
+    orders = orders.repartition(n, "o_orderkey").select(F.col("o_orderkey").alias("seq_id"), F.col("o_custkey").alias("uid"))
+    w = Window.partitionBy("seq_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = line.join(orders.hint("shuffle_hash"), "seq_id").withColumn("pos", F.row_number().over(w) - 1)
     return t.select(
-        F.col("l_orderkey").alias("seq_id"), "uid", "pos", (F.col("l_linestatus") == "O").cast("int").alias("mask"),
+        "seq_id", "uid", "pos", (F.col("l_linestatus") == "O").cast("int").alias("mask"),
         (F.col("l_extendedprice") / 97531.0).alias("reward"), (F.col("l_quantity") / 49.0).alias("value"), (-F.col("l_discount") / 0.97).alias("old_lp"),
         (-F.col("l_tax") / 1.03).alias("rollout_lp"), (-(F.col("l_discount") + F.col("l_tax")) / 1.99).alias("log_prob"), ((F.col("l_quantity") - 25.5) / 1.01).alias("advantage"),
     )

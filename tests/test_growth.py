@@ -13,6 +13,20 @@ from rillflow.operators import metrics, search
 from rillflow.plans import frames
 
 
+@pytest.fixture
+def conf(spark):
+    """Sets a session's settings for one test."""
+    before = {}
+
+    def put(key, value):
+        before.setdefault(key, spark.conf.get(key))
+        spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 def test_tokens_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(frames, "TASK_ROWS", 50)
     n = frames.table(spark, sf_dir, "lineitem").count() // 50
@@ -22,6 +36,28 @@ def test_tokens_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
     assert frames.sequences(spark, sf_dir).rdd.getNumPartitions() >= n  # by sequence, nothing is shuffled again
 
 
+def test_tokens_hold_one_sort_and_keep_their_deal(spark, sf_dir, conf, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 500)
+    n = -(-frames.table(spark, sf_dir, "lineitem").count() // 500)
+    conf("spark.sql.shuffle.partitions", str(n + 30))
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = frames.tokens(spark, sf_dir)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Sort [") == 1  # that of the positions
+    assert t.rdd.getNumPartitions() == n
+
+
+def test_orders_count_in_the_deal_of_tokens(spark, tmp_path, monkeypatch):
+    line = "l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_linestatus string, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame([(1, 2, 1, 1, 9.0, "O", 1.0, 0.0, 0.0), (1, 1, 1, 1, 9.0, "F", 1.0, 0.0, 0.0)], f"l_orderkey long, {line}").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").union(spark.sql("SELECT 1L, 8L")).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(frames, "TASK_ROWS", 20)
+    t = frames.tokens(spark, str(tmp_path))
+    assert t.rdd.getNumPartitions() == 16  # 301 orders, 2 line items
+    assert sorted((x["seq_id"], x["pos"]) for x in t.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3)]  # an order that comes twice: one numbering
+    assert {(x["uid"], x["mask"]) for x in t.collect()} == {(1, 0), (1, 1), (8, 0), (8, 1)}
+
+
 def test_random_masks_draw_once(spark):
     df = spark.range(300).select("id", M.random_mask(F.col("id"), 10, (0.5, 1.0), 0.9, seed=1).alias("m"))
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
