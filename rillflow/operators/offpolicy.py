@@ -31,7 +31,7 @@ def ratios(df: DataFrame, level: str, seq: str = "seq_id") -> DataFrame:
     if level != "token":
         n = F.sum("mask") + M.EPS if level == "geometric" else F.lit(1.0)
         sums = t.groupBy(seq).agg((M.m_sum("log_ratio") / n).alias("__s"))
-        t = t.drop("log_ratio").join(sums, seq).withColumnRenamed("__s", "log_ratio")
+        t = t.drop("log_ratio").join(sums.hint("shuffle_hash"), seq).withColumnRenamed("__s", "log_ratio")
     return t.withColumn("weight", F.exp(M.clip("log_ratio", -BOUND, BOUND)))
 
 

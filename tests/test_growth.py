@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import answers, cases
 from rillflow.functions import masked as M
-from rillflow.operators import metrics, search
+from rillflow.operators import metrics, offpolicy, search
 from rillflow.plans import frames
 
 
@@ -58,6 +58,12 @@ def test_orders_count_in_the_deal_of_tokens(spark, tmp_path, monkeypatch):
     assert {(x["uid"], x["mask"]) for x in t.collect()} == {(1, 0), (1, 1), (8, 0), (8, 1)}
 
 
+def test_sums_of_ratios_are_joined_without_a_sort(spark, sf_dir, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for level in ("sequence", "geometric"):
+        assert "SortMergeJoin" not in offpolicy.ratios(frames.tokens(spark, sf_dir), level)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_random_masks_draw_once(spark):
     df = spark.range(300).select("id", M.random_mask(F.col("id"), 10, (0.5, 1.0), 0.9, seed=1).alias("m"))
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
