@@ -67,7 +67,7 @@ def scored(df: DataFrame) -> DataFrame:
 def with_group(df: DataFrame, *aggregates: Column, key: str = "uid") -> DataFrame:
     """With aggregates of the rows of the same key; null keys are one group."""
     stats = df.groupBy(F.col(key).alias("__key")).agg(*aggregates)
-    return df.join(stats, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    return df.join(stats.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def size() -> Column:

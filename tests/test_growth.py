@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import answers, cases
 from rillflow.functions import masked as M
-from rillflow.operators import metrics, offpolicy, search
+from rillflow.operators import advantage, metrics, offpolicy, search
 from rillflow.plans import frames
 
 
@@ -64,6 +64,15 @@ def test_sums_of_ratios_are_joined_without_a_sort(spark, sf_dir, conf):
         assert "SortMergeJoin" not in offpolicy.ratios(frames.tokens(spark, sf_dir), level)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_statistics_of_prompts_are_joined_without_a_sort(spark, sf_dir, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "uid string, seq_id int")
+    grouped = advantage.with_group(rows, F.count("*").alias("k"))
+    for df in (advantage.compute(frames.sequences(spark, sf_dir), "grpo"), grouped):
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["seq_id"], x["k"]) for x in grouped.collect()) == [(1, 2), (2, 2), (3, 1)]
+
+
 def test_random_masks_draw_once(spark):
     df = spark.range(300).select("id", M.random_mask(F.col("id"), 10, (0.5, 1.0), 0.9, seed=1).alias("m"))
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
