@@ -36,7 +36,7 @@ def accuracy_band(df: DataFrame, acc: str, length: str, low: float, high: float,
     """
     g = df.groupBy(F.col(group).alias("__g")).agg(F.avg(acc).alias("__a"), F.max(length).alias("__l"), F.min(order).alias("__o"))
     ok = (F.col("__a") >= low) & (F.col("__a") <= high) & (F.col("__l") < max_length - 1)
-    t = df.join(g.select("__g", "__o", ok.alias("passed")), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    t = df.join(g.select("__g", "__o", ok.alias("passed")).hint("shuffle_hash"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
     indexed = row_index(t, [F.col("passed").desc(), F.col("__o"), F.col(order)], "rank")
     return indexed.where(F.col("rank") < int(indexed.count() // oversample)).drop("__o")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import answers, cases
 from rillflow.functions import masked as M
-from rillflow.operators import advantage, metrics, offpolicy, search
+from rillflow.operators import advantage, filters, metrics, offpolicy, search
 from rillflow.plans import frames
 
 
@@ -73,6 +73,16 @@ def test_statistics_of_prompts_are_joined_without_a_sort(spark, sf_dir, conf):
     assert sorted((x["seq_id"], x["k"]) for x in grouped.collect()) == [(1, 2), (2, 2), (3, 1)]
 
 
+def test_accuracy_band_joins_groups_without_a_sort(spark, conf, monkeypatch):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.createDataFrame([("a", 1, 3, 1), ("a", 0, 3, 2), (None, 0, 3, 3), (None, 1, 3, 4), ("b", 1, 3, 5), ("c", 0, 3, 6)], "uid string, acc int, n int, seq_id int")
+    joined, numbered = [], filters.row_index
+    monkeypatch.setattr(filters, "row_index", lambda df, *a: (joined.append(df._jdf.queryExecution().executedPlan().toString()), numbered(df, *a))[1])
+    got = filters.accuracy_band(rows, "acc", "n", 0.2, 0.8, 10, 1.5).collect()
+    assert sorted((x["rank"], x["seq_id"], x["passed"]) for x in got) == [(0, 1, True), (1, 2, True), (2, 3, True), (3, 4, True)]
+    assert "SortMergeJoin" not in joined[0]
+
+
 def test_random_masks_draw_once(spark):
     df = spark.range(300).select("id", M.random_mask(F.col("id"), 10, (0.5, 1.0), 0.9, seed=1).alias("m"))
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
