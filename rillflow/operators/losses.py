@@ -184,11 +184,17 @@ def chosen(ratio: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(F.col("__n") * F.lit(float(ratio))))
 
 
+def read(df: DataFrame, tie: tuple[str, ...], agg: dict) -> DataFrame:
+    """The columns that a loss by covariance reads, so that no others are written."""
+    needed = {agg.get("seq", "seq_id"), agg.get("mask", "mask"), "mask", "old_lp", "log_prob", "advantage", *tie}
+    return df.select(*[c for c in df.columns if c in needed])
+
+
 @register("kl_cov")
 def kl_cov(df: DataFrame, ratio: float = 0.0002, coefficient: float = 1.0, mode: str = "token-mean", tie: tuple[str, ...] = ("seq_id", "pos"), **agg) -> DataFrame:
-    """A KL term on the tokens of greatest covariance, max(1, int(n ratio)) of the n tokens of the mask; ties by ``tie``."""
-    t = covariance(df)
-    t = order.flag_first(t, -F.col("cov"), chosen(ratio), [F.col(c) for c in tie], "__top", F.col("mask") != 0, ["__n"])
+    """A KL term on the tokens of greatest covariance, max(1, int(n ratio)) of the n tokens of the mask; those equal to 9 digits by ``tie``."""
+    t = covariance(read(df, tie, agg))
+    t = order.flag_first(t, -F.round("cov", 9), chosen(ratio), [F.col(c) for c in tie], "__top", F.col("mask") != 0, ["__n"])
     plain = -F.col("advantage") * F.exp(F.col("log_prob") - F.col("old_lp"))
     t = t.withColumn("__l", F.when(F.col("__top"), plain + coefficient * F.abs(F.col("log_prob") - F.col("old_lp"))).otherwise(plain))
     t = t.withColumn("__abs", F.abs(F.col("log_prob") - F.col("old_lp")))
@@ -199,7 +205,7 @@ def kl_cov(df: DataFrame, ratio: float = 0.0002, coefficient: float = 1.0, mode:
 def clip_cov(df: DataFrame, ratio: float = 0.0002, bounds: tuple[float, float] = (1.0, 5.0), low: float = 0.2, high: float = 0.2,
              mode: str = "token-mean", seed: int = 0, tie: tuple[str, ...] = ("seq_id", "pos"), **agg) -> DataFrame:
     """PPO in which random tokens of covariance within ``bounds``, not clipped already, lose their gradient; seeded by their key."""
-    t = covariance(df)
+    t = covariance(read(df, tie, agg))
     a, r = F.col("advantage"), F.exp(F.col("log_prob") - F.col("old_lp"))
     first, second = -a * r, -a * clipped(r, low, high)
     t = t.withColumns({"__l": F.greatest(first, second), "__by": second > first})

@@ -113,25 +113,30 @@ def flag_first(df: DataFrame, value: Column, k: Column, tie: list[Column], name:
     """``df`` with ``name``: whether a row is one of the first ``k`` by ``value``, ties by ``tie``, of those for which ``where`` holds.
 
     ``k`` is an expression over ``n`` (the rows that take part) and ``carry``; all rows are taken where there are no more. The flag is a
-    comparison with a threshold, four numbers found before, so that nothing is sorted or joined but rows that tie there. Rows with a null value or
-    equal in ``tie`` throughout aren't told apart: null is never first, and all equal rows at the threshold are.
+    comparison with a threshold, four numbers found before, so that nothing is sorted or joined but rows that tie there. ``df`` is written
+    once and read from there: a sum of doubles differs in its last digits from run to run, as partial results arrive in any order, and a value
+    made anew from it would miss the threshold. Rows with a null value or equal in ``tie`` throughout aren't told apart: null is never first, and
+    all equal rows at the threshold are.
     """
-    taking = df if where is None else df.where(where)
-    found = at_ranks(taking, value, {"x": F.least(k, F.col("n")) - 1}, carry=carry, cell=cell).first()
-    ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    if found["x"] is None:
-        return df.withColumn(name, F.lit(False))
-    rank, v, below, upto = found["x"]
-    more = rank + 1 - below
-    own = value.cast("double")
-    same = own == F.lit(v)
-    if more < upto - below:
-        tied = taking.where(same).select(*[t.alias(f"t{i}") for i, t in enumerate(tie)])
-        order = [F.col(f"t{i}") for i in range(len(tie))]
-        if upto - below <= cell:
-            last = tied.orderBy(*order).offset(more - 1).limit(1).first()
-        else:
-            last = row_index(tied, order, "at").where(F.col("at") == more - 1).first()
-        upto_last = F.struct(*[F.lit(last[f"t{i}"]).cast(tied.schema[f"t{i}"].dataType).alias(f"t{i}") for i in range(len(tie))])
-        same = same & (F.struct(*[t.alias(f"t{i}") for i, t in enumerate(tie)]) <= upto_last)
+    with scope() as kept:
+        df = materialise(df, "rows")
+        kept.append(df)
+        taking = df if where is None else df.where(where)
+        found = at_ranks(taking, value, {"x": F.least(k, F.col("n")) - 1}, carry=carry, cell=cell).first()
+        ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        if found["x"] is None:
+            return df.withColumn(name, F.lit(False))
+        rank, v, below, upto = found["x"]
+        more = rank + 1 - below
+        own = value.cast("double")
+        same = own == F.lit(v)
+        if more < upto - below:
+            tied = taking.where(same).select(*[t.alias(f"t{i}") for i, t in enumerate(tie)])
+            order = [F.col(f"t{i}") for i in range(len(tie))]
+            if upto - below <= cell:
+                last = tied.orderBy(*order).offset(more - 1).limit(1).first()
+            else:
+                last = row_index(tied, order, "at").where(F.col("at") == more - 1).first()
+            upto_last = F.struct(*[F.lit(last[f"t{i}"]).cast(tied.schema[f"t{i}"].dataType).alias(f"t{i}") for i in range(len(tie))])
+            same = same & (F.struct(*[t.alias(f"t{i}") for i, t in enumerate(tie)]) <= upto_last)
     return df.withColumn(name, F.coalesce(ok & ((own < F.lit(v)) | same), F.lit(False)))

@@ -1,10 +1,12 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import losses as L
 from rillflow.operators import offpolicy as O
+from rillflow.plans import registry
 
 
 @pytest.fixture
@@ -36,6 +38,19 @@ def test_every_registered_loss_gives_a_number(tokens):
         L.get("none")
 
 
+def test_covariances_equal_to_9_digits_tie(spark, tmp_path):
+    # Of the two greatest covariances the second is greater by the last digit of 0.1 + 0.02; the query's SQL rounds, and takes the first order.
+    items = [(1, 1.0, 0.06, 0.06), (2, 1.0, 0.1, 0.02), *[(k, 25.0 + k, 0.01, 0.01 * (k % 3)) for k in range(3, 11)]]
+    rows = [(k, 1, 1, 1, 9.0, "O", q, d, t) for k, q, d, t in items]
+    line = "l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_linestatus string, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, f"l_orderkey long, {line}").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 11).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert [tuple(x) for x in registry.queries()["loss_kl_cov"](spark, str(tmp_path)).collect()] == c.execute(registry.oracle_sql()["loss_kl_cov"]).fetchall()
+
+
 def test_a_later_loss_replaces_an_earlier_one():
     before = L.get("gpg")
     L.register("gpg")(len)

@@ -81,6 +81,15 @@ def test_many_samples_come_from_a_range_sort(spark, monkeypatch):
     assert sorted(r[0] for r in batch.first_samples(df, 200, "k", seed=3).collect()) == few
 
 
+def test_first_rows_by_values_that_differ_from_run_to_run(spark):
+    # In each run all values are shifted by the time, as a mean whose partial results arrive in another order shifts them.
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "id long, x double").repartition(3)
+    df = df.withColumn("v", F.col("x") + F.expr("unix_micros(current_timestamp()) % 1000000") * 1e-9)
+    for cell in (1 << 18, 4):
+        out = order.flag_first(df, F.col("v"), F.lit(13).cast("long"), [F.col("id")], "in", cell=cell)
+        assert sorted((r["x"], r["id"]) for r in out.where("in").collect()) == sorted((i % 5, i) for i in range(50))[:13]
+
+
 def test_losses_without_a_token(spark):
     schema = "seq_id long, pos int, mask int, old_lp double, log_prob double, advantage double"
     rows = [(1, 0, 0, -0.1, -0.2, 1.0), (1, 1, 0, -0.3, -0.2, 1.0)]
